@@ -114,47 +114,51 @@ def reconcile(statement: DataFrame, schedule: DataFrame, chart: DataFrame) -> Da
         .agg(at("date").alias("value"), at("prior_date").alias("prior_value"))
     )
 
-    # Tab lookup: the tab named like the line first, else any tab among the line's aliases.
+    # Tab lookup by name happens once per distinct label, not per entity: the tab
+    # named like the line first, else any tab among the line's aliases.
     aliases = exploded_aliases(chart).where("ord > 0")
-    tabs = schedule.groupBy("entity_id", "account").agg(F.count(F.lit(1)).alias("n")).select(
-        "entity_id", F.col("account").alias("tab"), alias_form(F.col("account")).alias("tab_norm"))
     line_key = (
         lines.select("description").distinct().withColumn("alias_norm", alias_form(F.col("description")))
-        .join(aliases, "alias_norm").groupBy("description")
-        .agg(F.min_by(F.struct("mapping_key", "category"), F.struct("line_no", "ord")).alias("m"))
-        .select("description", "m.mapping_key", "m.category")
+        .join(aliases, "alias_norm", "left").groupBy("description")
+        .agg(F.min("alias_norm").alias("desc_norm"), F.min_by(
+            F.struct("mapping_key", "category"), F.struct("line_no", "ord")).alias("m"))
+        .select("description", "desc_norm", "m.mapping_key", "m.category")
     )
-    tab_key = (
-        tabs.join(aliases.select("mapping_key", F.col("alias_norm").alias("tab_norm")), "tab_norm")
-        .groupBy("entity_id", "mapping_key").agg(F.min("tab").alias("alias_tab"))
+    tab_names = schedule.select(F.col("account").alias("tab")).distinct().withColumn("tab_norm", alias_form(F.col("tab")))
+    tab_keys = tab_names.join(aliases.select(F.col("alias_norm").alias("tab_norm"), F.col("mapping_key").alias("tab_key")),
+                              "tab_norm", "left")
+    candidates = (
+        line_key.join(tab_keys, (F.col("tab_norm") == F.col("desc_norm")) | (F.col("tab_key") == F.col("mapping_key")), "left")
+        .groupBy("description", "mapping_key", "category", "tab")
+        .agg(F.min(F.when(F.col("tab_norm") == F.col("desc_norm"), 0).otherwise(1)).alias("rank"))
     )
-    direct = tabs.groupBy("entity_id", "tab_norm").agg(F.min("tab").alias("direct_tab"))
+    # One row per (entity, tab) holding its few periods, so one join serves every date.
+    by_period = schedule.groupBy("entity_id", F.col("account").alias("tab")).agg(
+        F.map_from_entries(F.collect_list(F.struct("period_end", "amount"))).alias("by_period"))
+    tabs = by_period.join(candidates.where("tab IS NOT NULL"), "tab").groupBy("entity_id", "description").agg(
+        F.min_by(F.struct("tab", "by_period"), F.struct("rank", "tab")).alias("t"))
     mapped = (
-        lines.join(line_key, "description", "left")
-        .withColumn("tab_norm", alias_form(F.col("description")))
-        .join(direct, ["entity_id", "tab_norm"], "left")
-        .join(tab_key, ["entity_id", "mapping_key"], "left")
+        lines.join(candidates.select("description", "mapping_key", "category").distinct(), "description", "left")
+        .join(tabs, ["entity_id", "description"], "left")
     )
 
     zero_source = (F.col("value") == 0) & (F.col("prior_date").isNull() | (F.col("prior_value") == 0))
     skipped = is_skip_label(F.col("description"))
     mapped = mapped.withColumn("mapping_status", (
         F.when(zero_source, "Zero source").when(skipped, "Skipped")
-        .when(F.col("direct_tab").isNotNull() & F.col("mapping_key").isNull(), "Tab-only match")
-        .when(F.coalesce("direct_tab", "alias_tab").isNotNull(), "Mapped")
+        .when(F.col("t").isNotNull() & F.col("mapping_key").isNull(), "Tab-only match")
+        .when(F.col("t").isNotNull(), "Mapped")
         .when(F.col("mapping_key").isNotNull(), "Mapped but missing tab")
         .otherwise("Missing mapping")
     )).withColumn("compared", ~F.col("mapping_status").isin("Zero source", "Skipped")).withColumn(
-        "tab", F.when(F.col("compared"), F.coalesce("direct_tab", "alias_tab")))
+        "tab", F.when(F.col("compared"), F.col("t.tab")))
 
-    totals = schedule.select(F.col("entity_id"), F.col("account").alias("tab"), F.col("period_end").alias("date"),
-                             F.col("amount").alias("tab_total"))
     zero_with_adjacent = (F.col("value") == 0) & (F.col("prior_value") != 0)
-    tab_value = F.coalesce(F.col("tab_total"), F.when(zero_with_adjacent & F.col("tab").isNotNull(),
-                                                      F.lit(0).cast("decimal(20,2)")))
+    tab_value = F.coalesce(F.when(F.col("compared"), F.try_element_at("t.by_period", F.col("date"))),
+                           F.when(zero_with_adjacent & F.col("tab").isNotNull(), F.lit(0).cast("decimal(20,2)")))
     magnitude = (F.col("statement_type") == "IS") & compares_as_magnitude(F.col("description"), F.col("category"))
-    out = mapped.join(totals, ["entity_id", "tab", "date"], "left").withColumn("tab_value", tab_value).withColumn(
-        "magnitude", magnitude)
+    out = mapped.withColumn("tab_value", tab_value).withColumn("magnitude", magnitude).withColumn(
+        "prior_tab", F.when(F.col("compared"), F.try_element_at("t.by_period", F.col("prior_date"))))
     src = F.when(F.col("magnitude"), F.abs("value")).otherwise(F.col("value"))
     tab = F.when(F.col("magnitude"), F.abs("tab_value")).otherwise(F.col("tab_value"))
     return out.select(
@@ -165,21 +169,18 @@ def reconcile(statement: DataFrame, schedule: DataFrame, chart: DataFrame) -> Da
         F.when(F.col("compared"), F.abs(src - tab)).cast("decimal(20,2)").alias("diff"),
         F.when(F.col("compared"), _tie_status(src, tab, zero_with_adjacent)).otherwise("-").alias("match"),
         F.when(F.col("compared"), F.coalesce("mapping_key", F.lit("-"))).otherwise("-").alias("mapping_key"),
-        "mapping_status", "prior_date", "prior_value", "magnitude",
+        "mapping_status", "prior_date", "prior_value", "prior_tab", "magnitude",
     )
 
 
-def rescue_interim(recon: DataFrame, schedule: DataFrame) -> DataFrame:
+def rescue_interim(recon: DataFrame) -> DataFrame:
     """A Diff at a part-period cut becomes an interim diff where the prior period ties."""
-    prior = schedule.select("entity_id", F.col("account").alias("tab_account"), F.col("period_end").alias("prior_date"),
-                            F.col("amount").alias("prior_tab"))
-    joined = recon.join(prior, ["entity_id", "tab_account", "prior_date"], "left")
     gap = (F.year("date") - F.year("prior_date")) * 12 + F.month("date") - F.month("prior_date")
     src = F.when(F.col("magnitude"), F.abs("prior_value")).otherwise(F.col("prior_value"))
     tab = F.when(F.col("magnitude"), F.abs("prior_tab")).otherwise(F.col("prior_tab"))
     ties = tab.isNotNull() & _tie_status(src, tab, F.lit(False)).isin(MATCH, IMMATERIAL)
     rescued = (F.col("match") == DIFF) & (gap > 0) & (gap < FULL_PERIOD_MONTHS) & ties
-    return joined.withColumn("match", F.when(F.coalesce(rescued, F.lit(False)), INTERIM).otherwise(F.col("match")))
+    return recon.withColumn("match", F.when(F.coalesce(rescued, F.lit(False)), INTERIM).otherwise(F.col("match")))
 
 
 def status_counts(recon: DataFrame) -> DataFrame:

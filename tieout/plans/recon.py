@@ -61,14 +61,14 @@ def recon_of(t):
     return R.reconcile(t.statement_full, t.schedule_line, t.account_alias)
 
 
-@query("reconcile", "WITH " + RECON + "SELECT * FROM recon")
+@query("reconcile", "WITH " + RECON + "SELECT r.*, x.amount AS prior_tab FROM recon r LEFT JOIN schedule_line x ON x.entity_id = r.entity_id AND x.account = r.tab_account AND x.period_end = r.prior_date")
 def _(t):
     return recon_of(t)
 
 
 @query("reconcile_interim", "WITH " + RECON + INTERIM + "SELECT * FROM rescued")
 def _(t):
-    return R.rescue_interim(recon_of(t), t.schedule_line)
+    return R.rescue_interim(recon_of(t))
 
 
 @query("recon_metrics", "WITH " + RECON + """SELECT statement_type, match, count(*) AS rows,
