@@ -43,11 +43,13 @@ def ascii_punctuation(text: Column, keep_stops: bool = False) -> Column:
 
 def amounts(text: Column) -> Column:
     """array<decimal>: money amounts in base units, in reading order of the five passes."""
+    def scaled(factor: int):
+        by = F.lit(factor).cast("decimal(9,0)")
+        return lambda x: (F.regexp_replace(x, ",", "").cast("decimal(22,4)") * by).cast(AMOUNT_TYPE)
+
     work, found = F.coalesce(text, F.lit("")), []
     for _, pattern, scale in AMOUNT_PASSES:
-        hits = F.regexp_extract_all(work, F.lit(pattern), F.lit(1))
-        found.append(F.transform(hits, lambda x, s=scale: (
-            F.regexp_replace(x, ",", "").cast("decimal(22,4)") * F.lit(s).cast("decimal(9,0)")).cast(AMOUNT_TYPE)))
+        found.append(F.transform(F.regexp_extract_all(work, F.lit(pattern), F.lit(1)), scaled(scale)))
         work = F.regexp_replace(work, pattern, "  ")
     return F.concat(*found)
 

@@ -1,6 +1,6 @@
 """Registered queries: canonical tables in, operator results out."""
 
-from tieout.plans import analysis, bridge, recon  # noqa: F401
+from tieout.plans import analysis, bridge, commentary, recon  # noqa: F401
 from tieout.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

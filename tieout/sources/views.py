@@ -169,6 +169,41 @@ FROM schedule_line s
 CROSS JOIN (VALUES (1, 1000), (2, 1), (3, 2)) AS t(attempt, mult)
 """
 
+# What a model reviewer said about the same commentary.
+VIEWS["model_review"] = """
+SELECT entity_id, account, yr, attempt, 1 AS review_no, 'mainly driven by new contracts' AS clause,
+       false AS supported, 'reasoning' AS category FROM commentary_gen WHERE contains(text, 'driven by')
+UNION ALL
+SELECT entity_id, account, yr, attempt, 2, substr(text, 1, position('totalled' IN text) + 7), false, 'hallucination'
+FROM commentary_gen WHERE attempt = 2
+"""
+
+# Enumerated compositions: complete, short by one item, ten times too large, or parent plus children.
+VIEWS["composition_text"] = """
+SELECT entity_id, account, yr,
+       concat('余额合计', CAST(CAST(t / 10000 AS DECIMAL(20,1)) AS VARCHAR(30)), '万元，主要包括：1）商品',
+              CAST(CAST(a * m / 10000 AS DECIMAL(20,1)) AS VARCHAR(30)), '万元；2）服务',
+              CAST(CAST(b * m / 10000 AS DECIMAL(20,1)) AS VARCHAR(30)), '万元；3）新订单',
+              CAST(CAST(c * m / 10000 AS DECIMAL(20,1)) AS VARCHAR(30)), '万元。',
+              CASE WHEN entity_id % 5 = 1 THEN '' ELSE
+                concat('其余', CAST(CAST((t - a - b - c) * m / 10000 AS DECIMAL(20,1)) AS VARCHAR(30)), '万元为其他。') END) AS text
+FROM (SELECT entity_id, account, yr,
+             CAST(sum(CASE WHEN row_idx < 7 THEN abs(amount) ELSE 0 END) AS DECIMAL(20,2)) AS t,
+             CAST(sum(CASE WHEN row_idx = 1 THEN abs(amount) ELSE 0 END) AS DECIMAL(20,2)) AS a,
+             CAST(sum(CASE WHEN row_idx = 2 THEN abs(amount) ELSE 0 END) AS DECIMAL(20,2)) AS b,
+             CAST(sum(CASE WHEN row_idx = 3 THEN abs(amount) ELSE 0 END) AS DECIMAL(20,2)) AS c,
+             CASE entity_id % 5 WHEN 2 THEN 10 WHEN 3 THEN 2 ELSE 1 END AS m
+      FROM detail_line GROUP BY entity_id, account, yr) x
+"""
+
+VIEWS["claim_text"] = """
+SELECT entity_id, entity, account, yr,
+       concat(CASE account WHEN 'STANDARD' THEN '我方已核对银行对账单；' WHEN 'LARGE' THEN '管理层表示该余额为时间性差异；'
+                           WHEN 'MEDIUM' THEN '经核对未发现重大差异；' ELSE '' END,
+              '余额为', CAST(amount AS VARCHAR(30)), '元。') AS text
+FROM schedule_line
+"""
+
 VIEWS["run_log"] = """
 SELECT event_id, ts, concat('stage_', CAST(user_id % 4 AS VARCHAR(2))) AS stage, user_id AS account,
        CAST(value AS DECIMAL(10,2)) AS duration_s, event_type,
@@ -243,7 +278,7 @@ _SOURCE = re.compile(r"\b(FROM|JOIN)\s+([a-z_]+)\b")
 
 # Aggregated tables that most jobs read several times: kept once per session
 # (memory, spilling to disk); a lost executor only means recomputing its blocks.
-SHARED = frozenset({"schedule_line", "detail_line", "metric_month", "statement_full"})
+SHARED = frozenset({"schedule_line", "detail_line", "metric_month", "statement_full", "commentary_gen"})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, memo: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -258,6 +293,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, memo: dict[str, DataFrame
         used = {m.group(2) for m in _SOURCE.finditer(sql)} & (set(VIEWS) | set(BASE_TABLES))
         text = _SOURCE.sub(lambda m: f"{m.group(1)} {{{m.group(2)}}}" if m.group(2) in used else m.group(0), sql)
         df = spark.sql(text, **{u: table(spark, sf_dir, u, memo) for u in used}) if used else spark.sql(sql)
+        df = df.toDF(*df.columns)  # drops the SQL table aliases, so struct fields cannot clash with them
         if name in SHARED:
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
     memo[name] = df
