@@ -204,6 +204,53 @@ SELECT entity_id, entity, account, yr,
 FROM schedule_line
 """
 
+# Figures as they are typed into cells.
+VIEWS["amount_text"] = """
+SELECT entity_id, account, yr, row_idx, amount,
+       CASE row_idx WHEN 1 THEN CAST(amount AS VARCHAR(30)) WHEN 2 THEN concat('(', CAST(abs(amount) AS VARCHAR(30)), ')')
+            WHEN 3 THEN concat(substr(t, 1, length(t) - 6), ',', substr(t, length(t) - 5))
+            WHEN 4 THEN concat(substr(t, 1, length(t) - 6), '，', substr(t, length(t) - 5))
+            WHEN 5 THEN concat('  ', t, ' ') WHEN 6 THEN 'n/a' ELSE '' END AS cell_text
+FROM (SELECT entity_id, account, yr, row_idx, amount, CAST(abs(amount) + 10000 AS VARCHAR(30)) AS t FROM detail_line) x
+"""
+
+# Period labels in every notation.
+VIEWS["period_text"] = """
+SELECT entity_id, account, yr, period_end,
+       CASE account WHEN 'STANDARD' THEN concat('FY', substr(CAST(yr AS VARCHAR(4)), 3, 2))
+            WHEN 'LARGE' THEN concat(CAST(month(period_end) AS VARCHAR(2)), 'M', substr(CAST(yr AS VARCHAR(4)), 3, 2))
+            WHEN 'PROMO' THEN concat(CAST(year(period_end) AS VARCHAR(4)), '年', CAST(month(period_end) AS VARCHAR(2)), '月', CAST(day(period_end) AS VARCHAR(2)), '日')
+            WHEN 'SMALL' THEN concat(CAST(yr AS VARCHAR(4)), '年1-', CAST(month(period_end) AS VARCHAR(2)), '月')
+            WHEN 'MEDIUM' THEN concat(CAST(yr AS VARCHAR(4)), '年')
+            ELSE CASE WHEN entity_id % 2 = 0 THEN CAST(period_end AS VARCHAR(10)) ELSE CAST(datediff_days AS VARCHAR(10)) END END AS label
+FROM (SELECT entity_id, account, yr, period_end, 36526 + yr - 2000 AS datediff_days FROM schedule_line) x
+"""
+
+VIEWS["label_text"] = """
+SELECT p_partkey AS label_id, concat(p_name, ' & ', p_type, ' Receivables: (Expenses)') AS label,
+       CASE p_type WHEN 'SMALL' THEN concat(p_name, '_type') WHEN 'PROMO' THEN concat('leasing_', p_name)
+            WHEN 'LARGE' THEN '货币资金' ELSE concat(p_name, '_code status_ok') END AS raw_label
+FROM part
+"""
+
+VIEWS["model_output"] = """
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat('<think>draft</think>Verified output: "', text, '"')
+            WHEN 1 THEN concat('final output: ', text, ' I verified the figures.')
+            WHEN 2 THEN concat('<THINK>never closed ', text) ELSE concat('已验证输出： ', text) END AS text
+FROM conversations
+"""
+
+VIEWS["entity_text"] = """
+SELECT s.s_suppkey AS entity_id, concat('2024-06-30 - 南通', CASE WHEN s.s_nationkey % 2 = 0 THEN concat(' ', s.s_name, ' (', n.n_name, ')') ELSE '通海' END) AS label
+FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey
+"""
+
+VIEWS["rate_text"] = """
+SELECT entity_id, phase, yr, mo, concat('Rent rose from CNY0.91 to CNY', CAST(CAST(floor(revenue / area) AS BIGINT) AS VARCHAR(30)),
+       ' per sqm per day. Revenue was CNY', CAST(revenue AS VARCHAR(30)), ' for the month.') AS text
+FROM metric_month WHERE area > 0
+"""
+
 VIEWS["run_log"] = """
 SELECT event_id, ts, concat('stage_', CAST(user_id % 4 AS VARCHAR(2))) AS stage, user_id AS account,
        CAST(value AS DECIMAL(10,2)) AS duration_s, event_type,
@@ -212,6 +259,20 @@ SELECT event_id, ts, concat('stage_', CAST(user_id % 4 AS VARCHAR(2))) AS stage,
 FROM events
 """
 
+# The same log as text lines; sign-ups are heartbeat lines that carry no figures.
+VIEWS["run_log_line"] = """
+SELECT event_id, CASE WHEN event_type = 'signup' THEN concat('heartbeat ', stage) ELSE
+  concat('INFO [', stage, '] Processed: account ', CAST(account AS VARCHAR(20)), ' | Duration: ', CAST(duration_s AS VARCHAR(20)),
+         's | Model: model-', event_type, ' | Prompt chars: ', CAST(completion_tokens * 40 AS VARCHAR(20)),
+         ' | Output chars: ', CAST(CASE WHEN ok = 0 THEN 0 ELSE completion_tokens * 4 END AS VARCHAR(20)),
+         ' | Tokens used: ', CAST(completion_tokens * 11 AS VARCHAR(20)), ' | Prompt tokens: ', CAST(completion_tokens * 10 AS VARCHAR(20)),
+         ' | Completion tokens: ', CAST(completion_tokens AS VARCHAR(20)), ' | Total tokens: ', CAST(completion_tokens * 11 AS VARCHAR(20)),
+         ' | Estimated prompt tokens: ', CAST(completion_tokens * 10 AS VARCHAR(20)), ' | Estimated output tokens: ',
+         CAST(completion_tokens AS VARCHAR(20)), ' | Expected max output tokens: ', CAST(token_cap AS VARCHAR(20)), ' | Token source: ',
+         CASE WHEN event_type = 'click' THEN 'estimated' ELSE 'provider_usage' END) END AS line
+FROM run_log
+"""
+
 VIEWS["stage_text"] = """
 SELECT conv_id AS account, turn AS stage_no, role, text FROM conversations
 """
