@@ -62,3 +62,50 @@ def with_following(df: DataFrame, keys: list[str], index: str, reach: int, make,
     w = Window.partitionBy(*keys, "_home").orderBy(index)
     cols = make(w)
     return x.select("*", *[expr.alias(n) for n, expr in cols.items()]).where(F.col("_home") == F.col("_own")).drop("_own", "_home")
+
+
+def running_max(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = RANGE) -> DataFrame:
+    """For each named expression, its maximum over the rows before each row."""
+    x = _ranged(df, order, width)
+    for n, v in values.items():
+        x = x.withColumn(f"_{n}", v)
+    tops = x.groupBy(*keys, "_range").agg(*[F.max(f"_{n}").alias(f"_t_{n}") for n in values])
+    w = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(*keys, "_range", *[F.max(f"_t_{n}").over(w).alias(f"_c_{n}") for n in values])
+    local = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(carry, [*keys, "_range"])
+    return x.select(*df.columns, *[F.greatest(F.max(f"_{n}").over(local), F.col(f"_c_{n}")).alias(n) for n in values])
+
+
+def claim_intervals(df: DataFrame, keys: list[str], start: str, end: str, reach: int) -> DataFrame:
+    """Left to right, keep an interval unless its start lies inside one kept before.
+
+    Intervals span at most ``reach`` positions, so a start that no earlier interval
+    covers begins a new island; islands are independent and folded one by one.
+    """
+    x = blocks_order(df, keys, start)
+    covers = lambda w: {"_cover": F.max(end).over(w.rowsBetween(-reach, -1))}
+    x = with_preceding(x, keys, "_pos", reach, covers)
+    x = x.withColumn("_cut", F.when(F.col("_cover").isNull() | (F.col("_cover") < F.col(start)), F.col("_pos")))
+    x = fill_forward(x, keys, "_pos", "_cut", "_island")
+    pair = F.struct(F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"))
+    kind = "array<struct<s:bigint,e:bigint>>"
+    def keep(acc, i):
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(-1).cast("bigint"))
+        return F.when(i["s"] > last, F.concat(acc, F.array(i))).otherwise(acc).cast(kind)
+    kept = x.groupBy(*keys, "_island").agg(F.aggregate(F.sort_array(F.collect_list(pair)), F.array().cast(kind), keep).alias("_k"))
+    return kept.select(*keys, F.explode("_k").alias("_i")).select(*keys, F.col("_i.s").alias(start), F.col("_i.e").alias(end))
+
+
+def blocks_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return dense_index(df, keys, order, "_pos")
+
+
+def with_preceding(df: DataFrame, keys: list[str], index: str, reach: int, make, width: int = RANGE) -> DataFrame:
+    """``with_following`` for rows that must see up to ``reach`` rows before them."""
+    own = F.floor((F.col(index) - 1) / width)
+    lent = F.when((F.col(index) - 1) % width >= width - reach, own + 1)
+    homes = F.filter(F.array(own, lent), lambda h: h.isNotNull())
+    x = df.withColumn("_own", own).withColumn("_home", F.explode(homes))
+    cols = make(Window.partitionBy(*keys, "_home").orderBy(index))
+    return x.select("*", *[e.alias(n) for n, e in cols.items()]).where(F.col("_home") == F.col("_own")).drop("_own", "_home")

@@ -77,17 +77,19 @@ def with_pool(df: DataFrame, chart: DataFrame) -> DataFrame:
     return df.join(kinds, "account", "left").withColumn("pool", F.coalesce("_kind", "account")).drop("_kind")
 
 
-def _value_bucket(a: Column) -> Column:
-    wide = F.floor(F.ln(a.cast("double")) / F.ln(F.lit(1.05)))
-    return F.when(a <= 10000, F.struct(F.lit(0).alias("scale"), F.floor(a / FLAT_BAND).cast("bigint").alias("bucket"))).otherwise(
+def value_bucket(a: Column, flat: int = FLAT_BAND, ratio: float = float(RELATIVE_BAND)) -> Column:
+    """The one bucket of a source magnitude: flat steps while max(flat, ratio) is flat, geometric steps beyond."""
+    wide = F.floor(F.ln(a.cast("double")) / F.ln(F.lit(1.0 + ratio)))
+    return F.when(a <= flat / ratio, F.struct(F.lit(0).alias("scale"), F.floor(a / flat).cast("bigint").alias("bucket"))).otherwise(
         F.struct(F.lit(1).alias("scale"), wide.alias("bucket")))
 
 
-def _target_buckets(t: Column) -> Column:
-    small = F.floor(t / FLAT_BAND).cast("bigint")
-    wide = F.floor(F.ln(F.greatest(t.cast("double"), F.lit(1.0))) / F.ln(F.lit(1.05)))
-    near = F.when(t <= 11000, F.transform(F.sequence(small - 1, small + 1), lambda b: F.struct(F.lit(0).alias("scale"), b.alias("bucket"))))
-    far = F.when(t >= 9000, F.transform(F.sequence(wide - 2, wide + 2), lambda b: F.struct(F.lit(1).alias("scale"), b.alias("bucket"))))
+def band_buckets(t: Column, flat: int = FLAT_BAND, ratio: float = float(RELATIVE_BAND)) -> Column:
+    """Every bucket whose sources may tie to a target: three flat ones, five geometric ones near the seam and above."""
+    small = F.floor(t / flat).cast("bigint")
+    wide = F.floor(F.ln(F.greatest(t.cast("double"), F.lit(1.0))) / F.ln(F.lit(1.0 + ratio)))
+    near = F.when(t <= flat / ratio * 1.1, F.transform(F.sequence(small - 1, small + 1), lambda b: F.struct(F.lit(0).alias("scale"), b.alias("bucket"))))
+    far = F.when(t >= flat / ratio * 0.9, F.transform(F.sequence(wide - 2, wide + 2), lambda b: F.struct(F.lit(1).alias("scale"), b.alias("bucket"))))
     return F.concat(F.coalesce(near, F.slice(far, 1, 0)), F.coalesce(far, F.slice(near, 1, 0)))
 
 
@@ -105,8 +107,8 @@ def matched_targets(targets: DataFrame, pool: DataFrame) -> DataFrame:
     bucket is part of the key, so one busy pool still spreads over many tasks.
     """
     t = targets.select("entity_id", "pool", "target").distinct()
-    b = t.withColumn("b", F.explode(_target_buckets(F.col("target"))))
-    p = pool.withColumn("b", _value_bucket(F.col("value")))
+    b = t.withColumn("b", F.explode(band_buckets(F.col("target"))))
+    p = pool.withColumn("b", value_bucket(F.col("value")))
     hit = b.join(p, ["entity_id", "pool", "b"]).where(in_band(F.col("target"), F.col("value")))
     return hit.groupBy("entity_id", "pool", "target").agg(F.min("value").alias("source_value"))
 

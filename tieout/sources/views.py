@@ -132,14 +132,112 @@ FROM (
        CAST(CAST(sum(s.amount) AS DECIMAL(20,2)) AS VARCHAR(30)), 0, false
      FROM schedule_line s JOIN account_alias a ON a.tab_name = s.account
      GROUP BY s.entity_id, s.entity, s.portfolio, s.yr
-  UNION ALL SELECT DISTINCT entity_id, entity, portfolio, 11, CAST(yr - 1994 AS INT),
+  UNION ALL SELECT DISTINCT entity_id, entity, portfolio, 11, CAST(yr - 1994 + 11 AS INT),
        CAST(period_end AS VARCHAR(10)), 0, false FROM schedule_line
-  UNION ALL SELECT DISTINCT entity_id, entity, portfolio, 13, 0, 'Check', 0, false FROM schedule_line
-  UNION ALL SELECT s.entity_id, s.entity, s.portfolio, 13, CAST(s.yr - 1994 AS INT),
+  UNION ALL SELECT DISTINCT entity_id, entity, portfolio, 13, 11, 'Check', 0, false FROM schedule_line
+  UNION ALL SELECT s.entity_id, s.entity, s.portfolio, 13, CAST(s.yr - 1994 + 11 AS INT),
        CAST(CAST(sum(s.amount) AS DECIMAL(20,2)) AS VARCHAR(30)), 0, false
      FROM schedule_line s GROUP BY s.entity_id, s.entity, s.portfolio, s.yr
+  UNION ALL SELECT DISTINCT entity_id, entity, portfolio, 18, 0, '示意性调整后 - detail of accounts in this book', 0, false FROM schedule_line
+  UNION ALL SELECT DISTINCT entity_id, entity, portfolio, 20, 0, 'CNY''000', 0, false FROM schedule_line
+  UNION ALL SELECT DISTINCT entity_id, entity, portfolio, 20, CAST(yr - 1994 AS INT),
+       CAST(period_end AS VARCHAR(10)), 0, false FROM schedule_line
+  UNION ALL SELECT DISTINCT s.entity_id, s.entity, s.portfolio, CAST(20 + a.line_no AS INT), 0, concat('Part ', lower(s.account)), 0, false
+     FROM schedule_line s JOIN account_alias a ON a.tab_name = s.account
+  UNION ALL SELECT s.entity_id, s.entity, s.portfolio, CAST(20 + a.line_no AS INT), CAST(s.yr - 1994 AS INT),
+       CAST(s.amount AS VARCHAR(30)), 0, false
+     FROM schedule_line s JOIN account_alias a ON a.tab_name = s.account
+) x
+"""
+
+# A statement sheet: balance sheet, income statement, then ratio rows.
+VIEWS["statement_cells"] = """
+SELECT portfolio AS workbook_id, concat('Financials ', entity) AS sheet, row_idx, col_idx, cell_text
+FROM (
+  SELECT DISTINCT entity, portfolio, h.row_idx, h.col_idx, h.cell_text FROM schedule_line
+  CROSS JOIN (VALUES (0, 0, 'Indicative adjusted balance sheet'), (1, 0, 'CNY''000'), (5, 0, 'Total liabilities and owners equity'),
+    (7, 0, 'Indicative adjusted income statement'), (8, 0, 'CNY''000'), (14, 0, 'Net profit'), (16, 0, '出租率'), (17, 0, '单位租金'), (18, 0, '毛利率')) AS h(row_idx, col_idx, cell_text)
+  UNION ALL SELECT DISTINCT entity, portfolio, h.row_idx, CAST(yr - 1994 AS INT), CAST(period_end AS VARCHAR(10)) FROM schedule_line CROSS JOIN (VALUES (1), (8)) AS h(row_idx)
+  UNION ALL SELECT DISTINCT entity, portfolio, h.row_idx, CAST(yr - 1994 AS INT), 'Indicative adjusted' FROM schedule_line CROSS JOIN (VALUES (2), (9)) AS h(row_idx)
+  UNION ALL SELECT DISTINCT s.entity, s.portfolio, CASE WHEN s.statement_type = 'BS' THEN a.line_no - 1 ELSE coalesce(a.line_no, 4) + 9 END, 0, s.description
+     FROM statement_line s LEFT JOIN account_alias a ON a.tab_name = s.account
+  UNION ALL SELECT s.entity, s.portfolio, CASE WHEN s.statement_type = 'BS' THEN a.line_no - 1 ELSE coalesce(a.line_no, 4) + 9 END, CAST(s.yr - 1994 AS INT), CAST(s.amount AS VARCHAR(30))
+     FROM statement_line s LEFT JOIN account_alias a ON a.tab_name = s.account
+  UNION ALL SELECT entity, portfolio, CASE WHEN statement_type = 'BS' THEN 5 ELSE 14 END, CAST(yr - 1994 AS INT), CAST(CAST(sum(amount) AS DECIMAL(20,2)) AS VARCHAR(30))
+     FROM statement_line GROUP BY entity, portfolio, statement_type, yr
+  UNION ALL SELECT DISTINCT entity, portfolio, h.row_idx, CAST(yr - 1994 AS INT), '0.95' FROM schedule_line CROSS JOIN (VALUES (16), (17), (18)) AS h(row_idx)
+) x
+"""
+
+# A roll-forward sheet: components across, dates down, after the carrying-amount row.
+VIEWS["rollforward_cells"] = """
+SELECT portfolio AS workbook_id, concat('Assets ', entity) AS sheet, row_idx, col_idx, cell_text
+FROM (
+  SELECT DISTINCT entity, portfolio, h.row_idx, 0 AS col_idx, h.cell_text FROM schedule_line
+  CROSS JOIN (VALUES (0, 'CNY''000'), (1, 'Additions'), (2, 'Carrying amounts'), (20, 'Check of dates')) AS h(row_idx, cell_text)
+  UNION ALL SELECT DISTINCT s.entity, s.portfolio, 0, CAST(a.line_no AS INT), lower(s.account) FROM schedule_line s JOIN account_alias a ON a.tab_name = s.account
+  UNION ALL SELECT DISTINCT entity, portfolio, CAST(yr - 1995 + 3 AS INT), 0, CAST(period_end AS VARCHAR(10)) FROM schedule_line
+  UNION ALL SELECT s.entity, s.portfolio, CAST(s.yr - 1995 + 3 AS INT), CAST(a.line_no AS INT), CAST(s.amount AS VARCHAR(30))
+     FROM schedule_line s JOIN account_alias a ON a.tab_name = s.account
+) x
+"""
+
+# Pre-built bridge blocks: Base / Change columns, a blank row, then a check row.
+VIEWS["bridge_cells"] = """
+SELECT portfolio AS workbook_id, concat('Bridge ', entity) AS sheet, row_idx, col_idx, cell_text
+FROM (
+  SELECT DISTINCT entity, portfolio, h.row_idx, h.col_idx, h.cell_text FROM schedule_line
+  CROSS JOIN (VALUES (0, 2, 'Base'), (0, 3, 'Change'), (12, 1, 'check'), (20, 6, 'Base'), (20, 7, 'Change')) AS h(row_idx, col_idx, cell_text)
+  UNION ALL SELECT DISTINCT entity, portfolio, CAST(yr - 1994 AS INT), 1, CASE yr WHEN 1995 THEN 'Start' WHEN 2002 THEN 'End' ELSE concat('Move ', CAST(yr AS VARCHAR(4))) END FROM schedule_line
+  UNION ALL SELECT entity, portfolio, CAST(yr - 1994 AS INT), CASE WHEN yr IN (1995, 2002) THEN 2 ELSE 3 END,
+     CAST(CASE WHEN yr IN (1995, 2002) THEN total ELSE step END AS VARCHAR(30))
+    FROM (SELECT entity, portfolio, yr, CAST(sum(amount) AS DECIMAL(20,2)) AS total,
+            CAST(sum(amount) - 1000 AS DECIMAL(20,2)) AS step FROM schedule_line GROUP BY entity, portfolio, yr) y
+  UNION ALL SELECT DISTINCT entity, portfolio, h.row_idx, 5, h.cell_text FROM schedule_line CROSS JOIN (VALUES (21, 'Opening'), (22, 'Rise'), (23, 'Closing')) AS h(row_idx, cell_text)
+  UNION ALL SELECT entity, portfolio, 21, 6, CAST(CAST(sum(amount) AS DECIMAL(20,2)) AS VARCHAR(30)) FROM schedule_line GROUP BY entity, portfolio
+  UNION ALL SELECT entity, portfolio, 22, 7, CAST(CAST(sum(amount) / 2 AS DECIMAL(20,2)) AS VARCHAR(30)) FROM schedule_line GROUP BY entity, portfolio
+  UNION ALL SELECT entity, portfolio, 23, 6, CAST(CAST(sum(amount) AS DECIMAL(20,2)) + CAST(sum(amount) / 2 AS DECIMAL(20,2)) AS VARCHAR(30)) FROM schedule_line GROUP BY entity, portfolio
+) x
+"""
+
+VIEWS["ph"] = """
+SELECT entity_id, entity, phase, CASE phase WHEN 'STANDARD' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'PROMO' THEN 2 WHEN 'SMALL' THEN 3 WHEN 'MEDIUM' THEN 4 ELSE 5 END AS k,
+       yr, CAST(sum(area) AS DECIMAL(20,2)) AS area, CAST(sum(revenue) AS DECIMAL(20,2)) AS revenue FROM metric_month GROUP BY ALL
+"""
+
+# Operating sheets: one block of metric rows per phase, months across, tags above, grand total below.
+VIEWS["phase_cells"] = """
+SELECT entity AS sheet, row_idx, col_idx, cell_text
+FROM (
+  SELECT DISTINCT entity, CAST(10 + k * 6 + h.o AS INT) AS row_idx, 3 AS col_idx,
+         CASE h.o WHEN 0 THEN 'Total occupancy rate' WHEN 1 THEN 'Total leased area' WHEN 2 THEN 'Rent' ELSE concat(phase, ' rental revenue') END AS cell_text
+    FROM ph CROSS JOIN (VALUES (0), (1), (2), (3)) AS h(o)
+  UNION ALL SELECT entity, CAST(10 + k * 6 + 1 AS INT), CAST(yr - 1985 AS INT), CAST(area AS VARCHAR(30)) FROM ph
+  UNION ALL SELECT entity, CAST(10 + k * 6 + 3 AS INT), CAST(yr - 1985 AS INT), CAST(revenue AS VARCHAR(30)) FROM ph
+  UNION ALL SELECT DISTINCT entity, 60, 2, 'Total rental revenue' FROM ph
+  UNION ALL SELECT DISTINCT entity, CAST(2 + k AS INT), CAST(yr - 1985 AS INT), concat('T', substr(phase, 1, 3)) FROM ph WHERE entity_id % 2 = 0
 ) x
 """
+# Parent rows before their parts, with no total row.
+VIEWS["implicit_line"] = """
+SELECT entity_id, account, yr, h.i AS row_idx, h.label AS description,
+       CAST(CASE h.i WHEN 0 THEN a + b WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN c + d + e WHEN 4 THEN c WHEN 5 THEN d WHEN 6 THEN e ELSE b END AS DECIMAL(20,2)) AS amount
+FROM (SELECT entity_id, account, yr,
+             sum(CASE WHEN row_idx = 1 THEN abs(amount) ELSE 0 END) AS a, sum(CASE WHEN row_idx = 2 THEN abs(amount) ELSE 0 END) AS b,
+             sum(CASE WHEN row_idx = 3 THEN abs(amount) ELSE 0 END) AS c, sum(CASE WHEN row_idx = 4 THEN abs(amount) ELSE 0 END) AS d,
+             sum(CASE WHEN row_idx = 5 THEN abs(amount) ELSE 0 END) AS e FROM detail_line GROUP BY entity_id, account, yr) x
+CROSS JOIN (VALUES (0, 'Accepted'), (1, 'Accepted goods'), (2, 'Accepted services'), (3, 'Orders'), (4, 'New'), (5, 'Renewed'), (6, 'Returned'), (7, 'Memo')) AS h(i, label)
+"""
+
+# Indented rows: a parent with a value, a heading without one whose parts make up a later total.
+VIEWS["indent_line"] = """
+SELECT entity_id, account, yr, h.i AS row_idx, h.label AS description, h.ind AS indent,
+       CAST(CASE h.i WHEN 0 THEN a + b * CASE WHEN entity_id % 7 = 0 THEN 2 ELSE 1 END WHEN 1 THEN a WHEN 2 THEN b WHEN 4 THEN c WHEN 5 THEN e WHEN 6 THEN c + e END AS DECIMAL(20,2)) AS amount
+FROM (SELECT entity_id, account, yr,
+             sum(CASE WHEN row_idx = 1 THEN abs(amount) ELSE 0 END) AS a, sum(CASE WHEN row_idx = 2 THEN abs(amount) ELSE 0 END) AS b,
+             sum(CASE WHEN row_idx = 3 THEN abs(amount) ELSE 0 END) AS c, sum(CASE WHEN row_idx = 5 THEN abs(amount) ELSE 0 END) AS e FROM detail_line GROUP BY entity_id, account, yr) x
+CROSS JOIN (VALUES (0, 'Accepted', 0), (1, 'Goods', 1), (2, 'Services', 1), (3, 'Other items', 0), (4, 'Orders', 1), (5, 'Returned', 1), (6, 'Total other', 0)) AS h(i, label, ind)
+"""
 
 VIEWS["remark"] = """
 SELECT s.entity_id, s.entity, s.account, s.yr, 'row_note' AS source,
@@ -327,8 +425,8 @@ def with_views(sql: str) -> str:
     if not ctes:
         return body
     if body[:5].lower() == "with ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[5:]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
 def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -339,7 +437,7 @@ _SOURCE = re.compile(r"\b(FROM|JOIN)\s+([a-z_]+)\b")
 
 # Aggregated tables that most jobs read several times: kept once per session
 # (memory, spilling to disk); a lost executor only means recomputing its blocks.
-SHARED = frozenset({"schedule_line", "detail_line", "metric_month", "statement_full", "commentary_gen"})
+SHARED = frozenset({"schedule_line", "detail_line", "metric_month", "statement_full", "commentary_gen", "cells"})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, memo: dict[str, DataFrame] | None = None) -> DataFrame:
