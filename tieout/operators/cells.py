@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions import blocks
 from tieout.functions.dates import parse_date
-from tieout.functions.labels import contains_any, has_thousand_marker, has_unit_marker, row_type, stage_of, unit_multiplier
+from tieout.functions.labels import contains_any, has_thousand_marker, has_unit_marker, row_type, stage_of
 from tieout.functions.numbers import coerce_numeric
 
 SHEET = ["workbook_id", "sheet"]
@@ -220,7 +220,7 @@ def extract_statement(cells: DataFrame, bounds: DataFrame, desc: DataFrame) -> D
     t = cells
     inside = t.join(b, SHEET).where("row_idx >= date_row AND row_idx < end_row").join(desc, SHEET)
     head = inside.where("row_idx = date_row")
-    unit = head.groupBy(*SHEET, "section").agg(F.max(unit_multiplier(F.col("cell_text"))).alias("multiplier"))
+    unit = head.groupBy(*SHEET, "section").agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
     dates = head.where("date IS NOT NULL AND col_idx > desc_col").groupBy(*SHEET, "section", "date").agg(F.min("col_idx").alias("col_idx"))
     labels = inside.where("row_idx > date_row AND col_idx = desc_col").select(*SHEET, "section", "row_idx", F.trim("cell_text").alias("description"))
     values = inside.where("row_idx > date_row AND number IS NOT NULL").select(*SHEET, "section", "row_idx", "col_idx", "number")
@@ -318,14 +318,14 @@ def main_end(cells: DataFrame, desc: DataFrame, headers: DataFrame) -> DataFrame
         *SHEET, (F.col("last") + 1).alias("end_row"))
 
 
-def normalise(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> DataFrame:
+def normalise(cells: DataFrame, headers: DataFrame, desc: DataFrame, ends: DataFrame) -> DataFrame:
     """Every sheet of every workbook as typed schedule lines, in one plan.
 
     Headers and stages, first-wins columns, labels, row types, amounts in full units.
     """
     cols = dedupe_columns(filled_stages(cells, headers).join(value_columns(cells, headers, desc).select(*COL), COL, "left_semi"))
-    unit = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(unit_multiplier(F.col("cell_text"))).alias("multiplier"))
-    inside = cells.join(headers, SHEET).join(main_end(cells, desc, headers), SHEET).where(
+    unit = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
+    inside = cells.join(headers, SHEET).join(ends, SHEET).where(
         "row_idx > greatest(date_row, stage_row) AND row_idx < end_row")
     labels = inside.join(desc, SHEET).where("col_idx = desc_col").select(*ROW, F.trim("cell_text").alias("description"))
     values = inside.where("number IS NOT NULL").select(*SHEET, "row_idx", "col_idx", "number")
@@ -345,35 +345,42 @@ def projection_choice(lines: DataFrame) -> DataFrame:
                            F.concat(F.lit(f"Fallback from {PREFERRED_STAGE} to "), F.coalesce("b.stage", F.lit("?")))).alias("flag"))
 
 
-def detail_tables(cells: DataFrame, headers: DataFrame, desc: DataFrame, lines: DataFrame, tie: str = "0.02", max_rows: int = 40) -> DataFrame:
+def detail_tables(cells: DataFrame, ends: DataFrame, lines: DataFrame, tie: str = "0.02", max_rows: int = 40) -> DataFrame:
     """Report-ready blocks below or beside the main table that tie to the account on some period.
 
     A header row has a unit marker and two or more distinct dates, one of them shared
     with the account; at least two labelled rows; the first block that ties wins.
+    A header carries its dates as a map, so each block's cells are joined once.
     """
-    ends = main_end(cells, desc, headers)
-    t = cells
-    right = lines.groupBy(*SHEET).agg(F.max("col_idx").alias("main_col"))
-    units = t.where("unit").join(ends, SHEET).join(right, SHEET, "left").where("row_idx >= end_row OR col_idx > main_col").groupBy(
-        *SHEET, F.col("row_idx").alias("head")).agg(F.min("col_idx").alias("unit_col"))
-    dates = units.join(t.where("date IS NOT NULL").select(*SHEET, F.col("row_idx").alias("head"), "col_idx", F.col("date").alias("period_end")), [*SHEET, "head"]).where("col_idx > unit_col")
-    shared = lines.select(*SHEET, "period_end").distinct().withColumn("shared", F.lit(True))
-    good = dates.join(shared, [*SHEET, "period_end"], "left").groupBy(*SHEET, "head", "unit_col").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("period_end").alias("d"), F.bool_or("shared").alias("s")).where("n >= 2 AND n = d AND s").select(*SHEET, "head", "unit_col")
-    body = good.join(t.select(*SHEET, "row_idx", "col_idx", "cell_text", "number"), SHEET).where(F.col("row_idx").between(F.col("head") + 1, F.col("head") + max_rows))
-    labels = body.where("col_idx = unit_col").select(*SHEET, "head", "row_idx", F.trim("cell_text").alias("label"))
-    vals = body.where("number IS NOT NULL").join(dates.select(*SHEET, "head", "col_idx", "period_end"), [*SHEET, "head", "col_idx"]).join(labels, [*SHEET, "head", "row_idx"])
-    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(unit_multiplier(F.col("cell_text"))).alias("multiplier"))
-    vals = vals.join(mult, SHEET).withColumn("value", (F.col("number") * F.col("multiplier")).cast("decimal(24,2)")).withColumn("is_total", row_type(F.col("label")) == "total")
-    per = vals.groupBy(*SHEET, "head", "period_end").agg(
-        F.coalesce(F.max(F.when(F.col("is_total"), F.col("value"))), F.sum("value")).alias("block_total"))
-    acct = lines.where("row_type = 'total'").groupBy(*SHEET, "period_end").agg(F.max("amount").alias("account_total")).where("account_total <> 0")
-    tied = per.join(acct, [*SHEET, "period_end"]).withColumn("ok", F.abs(F.col("block_total") - F.col("account_total")) <= F.greatest(
-        F.lit(1).cast("decimal(28,4)"), (F.abs("account_total") * F.lit(tie).cast("decimal(3,2)")).cast("decimal(28,4)"))).groupBy(*SHEET, "head").agg(
-        F.count_if("ok").alias("tied"), F.count_if(~F.col("ok")).alias("differs")).where("tied > 0")
-    rows = vals.where("NOT is_total").groupBy(*SHEET, "head").agg(F.count_distinct("row_idx").alias("rows")).where("rows >= 2")
-    first = tied.join(rows, [*SHEET, "head"]).groupBy(*SHEET).agg(F.min_by(F.struct("head", "tied", "differs", "rows"), "head").alias("b")).select(*SHEET, "b.*")
-    return first
+    per_sheet = lines.groupBy(*SHEET).agg(F.max("col_idx").alias("main_col"), F.collect_set("period_end").alias("periods"))
+    totals = lines.where("row_type = 'total' AND amount <> 0").groupBy(*SHEET).agg(
+        F.map_from_entries(F.collect_set(F.struct("period_end", "amount"))).alias("account"))
+    heads = cells.where("unit OR date IS NOT NULL").groupBy(*ROW).agg(
+        F.min(F.when(F.col("unit"), F.col("col_idx"))).alias("unit_col"),
+        F.collect_list(F.when(F.col("date").isNotNull(), F.struct("col_idx", "date"))).alias("dates")).where("unit_col IS NOT NULL")
+    h = heads.join(ends, SHEET).join(per_sheet, SHEET).join(totals, SHEET).where("row_idx >= end_row OR unit_col > main_col")
+    h = h.withColumn("dates", F.filter("dates", lambda d: d["col_idx"] > F.col("unit_col")))
+    found = F.transform("dates", lambda d: d["date"])
+    h = h.where((F.size("dates") >= 2) & (F.size(F.array_distinct(found)) == F.size("dates")) & F.arrays_overlap(found, "periods")).select(
+        *SHEET, F.col("row_idx").alias("head"), "unit_col", F.map_from_entries("dates").alias("dates"), "account")
+    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
+    body = h.drop("dates", "account").join(cells.select(*SHEET, "row_idx", "col_idx", "cell_text", "number"), SHEET).where(
+        F.col("row_idx").between(F.col("head") + 1, F.col("head") + max_rows))
+    rows = body.groupBy(*SHEET, "head", "row_idx").agg(
+        F.max(F.when(F.col("col_idx") == F.col("unit_col"), F.trim("cell_text"))).alias("label"),
+        F.collect_list(F.when(F.col("number").isNotNull(), F.struct("col_idx", "number"))).alias("cells")).where("label IS NOT NULL")
+    key = [*SHEET, "head"]
+    v = rows.join(h, key).join(mult, SHEET).withColumn("is_total", row_type(F.col("label")) == "total").withColumn("c", F.explode("cells")).withColumn(
+        "period_end", F.try_element_at("dates", F.col("c.col_idx"))).where("period_end IS NOT NULL").withColumn(
+        "value", (F.col("c.number") * F.col("multiplier")).cast("decimal(24,2)"))
+    per = v.groupBy(*key, "period_end").agg(
+        F.coalesce(F.max(F.when(F.col("is_total"), F.col("value"))), F.sum("value")).alias("block"),
+        F.first(F.try_element_at("account", F.col("period_end"))).alias("account"), F.collect_set(F.when(~F.col("is_total"), F.col("row_idx"))).alias("rows"))
+    ok = F.abs(F.col("block") - F.col("account")) <= F.greatest(
+        F.lit(1).cast("decimal(28,4)"), (F.abs("account") * F.lit(tie).cast("decimal(3,2)")).cast("decimal(28,4)"))
+    b = per.groupBy(*key).agg(F.count_if(ok).alias("tied"), F.count_if(~ok).alias("differs"),
+                              F.size(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("rows")).where("tied > 0 AND rows >= 2")
+    return b.groupBy(*SHEET).agg(F.min_by(F.struct("head", "tied", "differs", "rows"), "head").alias("b")).select(*SHEET, "b.*")
 
 
 def detail_from_breakdown(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -393,7 +400,7 @@ def auxiliary_totals(cells: DataFrame, lines: DataFrame) -> DataFrame:
     dated = t.where("date IS NOT NULL").select(*SHEET, F.col("row_idx").alias("head"), "col_idx", F.col("date").alias("period_end"))
     head = checks.join(dated.select(*SHEET, "head", "col_idx"), SHEET).where("head < check_row AND col_idx > check_col").groupBy(
         *SHEET, "check_row", "check_col").agg(F.max("head").alias("head"))
-    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(unit_multiplier(F.col("cell_text"))).alias("multiplier"))
+    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
     vals = t.where("number IS NOT NULL").select(*SHEET, F.col("row_idx").alias("check_row"), "col_idx", "number")
     x = head.join(dated, [*SHEET, "head"]).where("col_idx > check_col").join(vals, [*SHEET, "check_row", "col_idx"]).join(mult, SHEET)
     x = x.withColumn("total", F.bround(F.col("number") * F.col("multiplier"), 0).cast("decimal(24,0)"))
@@ -401,10 +408,10 @@ def auxiliary_totals(cells: DataFrame, lines: DataFrame) -> DataFrame:
     return x.join(first, SHEET).where("check_col = f.check_col AND check_row = f.check_row").select(*SHEET, "period_end", "total")
 
 
-def supporting_notes(cells: DataFrame, headers: DataFrame, desc: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
+def supporting_notes(cells: DataFrame, headers: DataFrame, desc: DataFrame, ends: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
     """Note-like text right of the figures, with the row's label; distinct, the first ``most`` per sheet."""
     right = lines.groupBy(*SHEET).agg(F.max("col_idx").alias("main_col"))
-    t = cells.join(headers, SHEET).join(main_end(cells, desc, headers), SHEET).where("row_idx > greatest(date_row, stage_row) AND row_idx < end_row")
+    t = cells.join(headers, SHEET).join(ends, SHEET).where("row_idx > greatest(date_row, stage_row) AND row_idx < end_row")
     note = (F.length(F.trim("cell_text")) >= 8) & F.col("stage").isNull() & F.col("date").isNull() & ~F.col("unit")
     extra = t.join(right, SHEET).where((F.col("col_idx") > F.col("main_col")) & note).groupBy(*ROW).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", F.trim("cell_text").alias("x")))), lambda x: x["x"]), " | ").alias("text"))
@@ -415,13 +422,13 @@ def supporting_notes(cells: DataFrame, headers: DataFrame, desc: DataFrame, line
     return d.withColumn("note_no", rank).where(F.col("note_no") <= most)
 
 
-def adjacent_columns(cells: DataFrame, headers: DataFrame, desc: DataFrame, lines: DataFrame, most: int = 5) -> DataFrame:
+def adjacent_columns(cells: DataFrame, headers: DataFrame, ends: DataFrame, lines: DataFrame, most: int = 5) -> DataFrame:
     """Up to five text columns right of the figures, named by their header; repeated names get a number."""
     right = lines.groupBy(*SHEET).agg(F.max("col_idx").alias("main_col"))
     t = cells.join(headers, SHEET).join(right, SHEET).where(F.col("col_idx").between(F.col("main_col") + 1, F.col("main_col") + most))
     head = t.where(F.col("row_idx").isin(F.col("date_row"), F.col("stage_row")) & F.col("stage").isNull() & F.col("date").isNull() & ~F.col("unit")).groupBy(*COL).agg(
         F.max_by(F.trim("cell_text"), F.when(F.col("row_idx") == F.col("date_row"), 1).otherwise(0)).alias("header"))
-    body = t.join(main_end(cells, desc, headers), SHEET).where("row_idx > greatest(date_row, stage_row) AND row_idx < end_row").groupBy(*COL).agg(F.count(F.lit(1)).alias("filled"))
+    body = t.join(ends, SHEET).where("row_idx > greatest(date_row, stage_row) AND row_idx < end_row").groupBy(*COL).agg(F.count(F.lit(1)).alias("filled"))
     x = body.join(head, COL, "left").withColumn("header", F.coalesce("header", F.concat(F.lit("Detail "), F.col("col_idx").cast("string"))))
     n = F.row_number().over(Window.partitionBy(*SHEET, "header").orderBy("col_idx"))
     return x.withColumn("n", n).select(*COL, "filled", F.when(F.col("n") == 1, F.col("header")).otherwise(
@@ -456,7 +463,7 @@ def entity_candidates(cells: DataFrame) -> DataFrame:
 
 def unit_coverage(cells: DataFrame) -> DataFrame:
     """Where each sheet's thousands marker is: first eight rows, later, or nowhere."""
-    first = cells.groupBy(*SHEET).agg(F.min(F.when(has_thousand_marker(F.col("cell_text")), F.col("row_idx"))).alias("marker_row"))
+    first = cells.groupBy(*SHEET).agg(F.min(F.when(F.col("unit"), F.col("row_idx"))).alias("marker_row"))
     return first.withColumn("coverage", F.when(F.col("marker_row") < UNIT_ROWS, "top").when(F.col("marker_row").isNotNull(), "later").otherwise("none"))
 
 
@@ -476,15 +483,15 @@ def stage_label_audit(cells: DataFrame) -> DataFrame:
 
 def scaling_audit(cells: DataFrame, lines: DataFrame) -> DataFrame:
     """Raw cell times the sheet's multiplier against the stored amount, address by address."""
-    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(unit_multiplier(F.col("cell_text"))).alias("multiplier"))
+    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
     raw = cells.where("number IS NOT NULL").select(*SHEET, "row_idx", "col_idx", "number").join(mult, SHEET)
     x = lines.join(raw, [*ROW, "col_idx"]).withColumn("gap", F.abs(F.col("number") * F.col("multiplier") - F.col("amount")))
     return x.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("gap") > 1).alias("off"), F.max("gap").cast("decimal(24,2)").alias("largest_gap"))
 
 
-def row_survival(cells: DataFrame, headers: DataFrame, desc: DataFrame, lines: DataFrame) -> DataFrame:
+def row_survival(cells: DataFrame, headers: DataFrame, desc: DataFrame, ends: DataFrame, lines: DataFrame) -> DataFrame:
     """Every labelled row below the header: whether it reached the lines, and why not."""
-    t = cells.join(desc, SHEET).join(headers, SHEET).join(main_end(cells, desc, headers), SHEET).where("row_idx > greatest(date_row, stage_row)")
+    t = cells.join(desc, SHEET).join(headers, SHEET).join(ends, SHEET).where("row_idx > greatest(date_row, stage_row)")
     rows = t.groupBy(*ROW).agg(F.max(F.when(F.col("col_idx") == F.col("desc_col"), F.trim("cell_text"))).alias("label"),
                              F.count("number").alias("numbers"), F.max("end_row").alias("end_row"))
     kept = lines.select(*ROW).distinct().withColumn("kept", F.lit(True))
@@ -539,7 +546,7 @@ def period_blocks(cells: DataFrame, max_rows: int = 250) -> DataFrame:
     Blocks side by side are told apart by their label column; a header inside the rows of
     an earlier block of the same column is not a new one.
     """
-    t = typed(cells.where(F.col("row_idx") < max_rows))
+    t = cells.where(F.col("row_idx") < max_rows)
     w = Window.partitionBy(*ROW).orderBy("col_idx")
     is_date = F.col("date").isNotNull()
     spans = t.withColumn("label_col", F.last(F.when(~is_date, F.col("col_idx")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(

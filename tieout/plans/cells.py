@@ -29,8 +29,12 @@ def heads(t, name="cells"):
             t.shared(f"desc {name}", lambda: X.description_column(cells_of(t, name))))
 
 
+def ends_of(t):
+    return t.shared("ends", lambda: X.main_end(cells_of(t), heads(t)[1], heads(t)[0]))
+
+
 def lines_of(t):
-    return t.shared("cell_lines", lambda: X.normalise(cells_of(t), *heads(t)))
+    return t.shared("cell_lines", lambda: X.normalise(cells_of(t), *heads(t), ends_of(t)))
 
 
 @query("cells_scan", f"""SELECT workbook_id, sheet, row_idx, col_idx, cell_text, indent, hidden, CASE WHEN {IS_NUM} THEN CAST(cell_text AS DECIMAL(20,2)) END AS number, CASE WHEN {IS_DATE} THEN CAST(cell_text AS DATE) END AS date,
@@ -119,7 +123,7 @@ l AS (SELECT workbook_id, sheet, row_idx, cell_text AS description FROM statemen
 SELECT v.workbook_id, v.sheet, v.section, v.row_idx, description, period_end, amount FROM v JOIN l USING (workbook_id, sheet, row_idx) JOIN d USING (workbook_id, sheet, col_idx)
 WHERE EXISTS (SELECT 1 FROM v z WHERE z.workbook_id = v.workbook_id AND z.sheet = v.sheet AND z.row_idx = v.row_idx AND z.amount <> 0)""")
 def _(t):
-    return X.extract_statement(cells_of(t, "statement_cells"), X.section_bounds(cells_of(t, "statement_cells")), heads(t, "statement_cells")[1])
+    return X.extract_statement(cells_of(t, "statement_cells"), t.shared("bounds", lambda: X.section_bounds(cells_of(t, "statement_cells"))), heads(t, "statement_cells")[1])
 
 
 @query("sheet_profile", """SELECT workbook_id, sheet, 'financial_schedule' AS kind, arg_min(cell_text, col_idx) FILTER (row_idx = 0) AS title, 1 AS stage_row, 2 AS date_row, string_agg(DISTINCT CASE WHEN cell_text IN ('Mgt acc', 'Indicative adjusted') THEN cell_text END, ', ' ORDER BY CASE WHEN cell_text IN ('Mgt acc', 'Indicative adjusted') THEN cell_text END) AS stage_labels,
@@ -159,7 +163,7 @@ def _(t):
 
 @query("detail_tables", "WITH " + LINES + """SELECT workbook_id, sheet, 20 AS head, count(DISTINCT period_end) AS tied, 0 AS differs, count(DISTINCT row_idx) FILTER (row_type = 'detail') AS rows FROM ln GROUP BY 1, 2""")
 def _(t):
-    return X.detail_tables(cells_of(t), *heads(t), lines_of(t))
+    return X.detail_tables(cells_of(t), ends_of(t), lines_of(t))
 
 
 @query("detail_from_breakdown", """WITH b AS (SELECT entity_id, account, row_idx, description FROM detail_line WHERE row_idx IN (4, 6) GROUP BY ALL)
@@ -176,12 +180,12 @@ def _(t):
 @query("supporting_notes", """SELECT workbook_id, sheet, concat(l.cell_text, ' | ', n.cell_text) AS note, row_idx, row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY row_idx) AS note_no FROM cells n JOIN cells l USING (workbook_id, sheet, row_idx)
 WHERE n.col_idx = 10 AND l.col_idx = 0 AND row_idx > 2""")
 def _(t):
-    return X.supporting_notes(cells_of(t), *heads(t), lines_of(t))
+    return X.supporting_notes(cells_of(t), *heads(t), ends_of(t), lines_of(t))
 
 
 @query("adjacent_columns", "SELECT workbook_id, sheet, col_idx, count(*) AS filled, 'Remarks' AS header FROM cells WHERE col_idx = 10 AND row_idx BETWEEN 3 AND 9 GROUP BY 1, 2, 3")
 def _(t):
-    return X.adjacent_columns(cells_of(t), *heads(t), lines_of(t))
+    return X.adjacent_columns(cells_of(t), heads(t)[0], ends_of(t), lines_of(t))
 
 
 @query("row_type_counts", """SELECT entity_id, account, yr, count(*) FILTER (row_idx IN (1, 2, 3, 5)) AS detail, count(*) FILTER (row_idx IN (4, 6)) AS breakdown, 0 AS subtotal, count(*) FILTER (row_idx = 7) AS total, count(*) AS rows FROM detail_line GROUP BY 1, 2, 3""")
@@ -219,7 +223,7 @@ def _(t):
 
 @query("row_survival", """SELECT workbook_id, sheet, row_idx, max(cell_text) FILTER (col_idx = 0) AS label, CASE WHEN row_idx <= 9 THEN 'kept' ELSE 'below the table' END AS outcome FROM cells WHERE row_idx > 2 GROUP BY 1, 2, 3""")
 def _(t):
-    return X.row_survival(cells_of(t), *heads(t), lines_of(t))
+    return X.row_survival(cells_of(t), *heads(t), ends_of(t), lines_of(t))
 
 
 @query("label_set_search", """WITH w AS (SELECT DISTINCT n_name AS list_id, n_name AS workbook_id, tab_name AS label FROM nation, account_alias WHERE tab_name IN ('SMALL', 'PROMO', 'MEDIUM')),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from tieout.sources.sinks import landed
 from tieout.sources.views import table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,10 +20,8 @@ class Tables:
         self.spark, self.sf_dir, self._memo = spark, sf_dir, {}
 
     def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A step that one query uses several times: built once, kept in memory and on disk."""
-        if name not in self._memo:
-            self._memo[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
-        return self._memo[name]
+        """A step that several queries use: landed once, then read from there."""
+        return landed(self.spark, self.sf_dir, name, build)
 
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name, self._memo)

@@ -29,9 +29,19 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], buckets: int = 16
     df.repartition(*by, salt).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
+    """A table written once per application to the shared folder and read back from there.
+
+    Steps that many jobs read are landed instead of cached: later plans start from a
+    plain scan, filters and columns are pushed into it, and nothing is lost with an
+    executor. ``scope`` tells apart the inputs the table was built from.
+    """
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _LANDED:
+        path = new_path(spark, name.replace(" ", "-"))
+        build().write.mode("overwrite").parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(_LANDED[key])

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from tieout.sources.sinks import landed
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -435,8 +436,7 @@ def read_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _SOURCE = re.compile(r"\b(FROM|JOIN)\s+([a-z_]+)\b")
 
-# Aggregated tables that most jobs read several times: kept once per session
-# (memory, spilling to disk); a lost executor only means recomputing its blocks.
+# Tables that most jobs read several times: landed once per application.
 SHARED = frozenset({"schedule_line", "detail_line", "metric_month", "statement_full", "commentary_gen"})
 
 
@@ -451,9 +451,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, memo: dict[str, DataFrame
         sql = VIEWS[name]
         used = {m.group(2) for m in _SOURCE.finditer(sql)} & (set(VIEWS) | set(BASE_TABLES))
         text = _SOURCE.sub(lambda m: f"{m.group(1)} {{{m.group(2)}}}" if m.group(2) in used else m.group(0), sql)
-        df = spark.sql(text, **{u: table(spark, sf_dir, u, memo) for u in used}) if used else spark.sql(sql)
-        df = df.toDF(*df.columns)  # drops the SQL table aliases, so struct fields cannot clash with them
-        if name in SHARED:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+
+        def build() -> DataFrame:
+            sources = {u: table(spark, sf_dir, u, memo) for u in used}
+            df = spark.sql(text, **sources) if used else spark.sql(sql)
+            return df.toDF(*df.columns)  # drops the SQL table aliases, so struct fields cannot clash with them
+
+        df = landed(spark, sf_dir, name, build) if name in SHARED else build()
     memo[name] = df
     return df
