@@ -45,3 +45,10 @@ def landed(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         _LANDED[key] = path
     return spark.read.parquet(_LANDED[key])
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: for loops, one table per round."""
+    path = new_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
