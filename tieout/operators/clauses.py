@@ -326,3 +326,22 @@ def composition_check(texts: DataFrame) -> DataFrame:
                .when(close(100.0), "unit error 100x").when(close(0.1), "unit error 1/10")
                .when(F.abs(ratio - 2.0) <= 0.05, "parent and children").otherwise("shortfall"))
     return x.select("entity_id", "account", "yr", F.size("items").alias("items"), "stated", "listed", finding.alias("finding"))
+
+
+# Tie-out vocabulary (fixed values).
+WORKING_WORDS = ("check", "对账单", "對賬單", "对帐单", "差异", "差異", "difference", "diff", "recon")
+
+
+def split_working_notes(remarks: DataFrame) -> DataFrame:
+    """Remarks with a class: nothing but a tie-out marker, a working note with content, or prose.
+
+    What is left once tie-out words, the account's name, dates, figures and marks are gone decides.
+    """
+    low = F.lower(F.trim("note"))
+    working = F.rlike(low, F.lit("|".join(WORKING_WORDS)))
+    rest = F.regexp_replace(low, "|".join(WORKING_WORDS), " ")
+    rest = F.replace(rest, F.lower("account"), F.lit(" "))
+    for p in (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"-?[0-9,]+\.?[0-9]*", r"[|:;,()\[\]/\\.\-_+*%&#@!?'\"]+"):
+        rest = F.regexp_replace(rest, p, " ")
+    empty = F.length(F.trim(rest)) < 2
+    return remarks.withColumn("note_class", F.when(working & empty, "artefact").when(working, "working").otherwise("prose"))

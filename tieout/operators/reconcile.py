@@ -125,20 +125,17 @@ def reconcile(statement: DataFrame, schedule: DataFrame, chart: DataFrame) -> Da
         .select("description", "desc_norm", "m.mapping_key", "m.category")
     )
     tab_names = schedule.select(F.col("account").alias("tab")).distinct().withColumn("tab_norm", alias_form(F.col("tab")))
-    tab_keys = tab_names.join(aliases.select(F.col("alias_norm").alias("tab_norm"), F.col("mapping_key").alias("tab_key")),
-                              "tab_norm", "left")
-    candidates = (
-        line_key.join(tab_keys, (F.col("tab_norm") == F.col("desc_norm")) | (F.col("tab_key") == F.col("mapping_key")), "left")
-        .groupBy("description", "mapping_key", "category", "tab")
-        .agg(F.min(F.when(F.col("tab_norm") == F.col("desc_norm"), 0).otherwise(1)).alias("rank"))
-    )
+    tab_keys = tab_names.join(aliases.select(F.col("alias_norm").alias("tab_norm"), F.col("mapping_key").alias("tab_key")), "tab_norm")
+    direct = line_key.join(tab_names, F.col("tab_norm") == F.col("desc_norm")).select("description", "tab", F.lit(0).alias("rank"))
+    by_alias = line_key.join(tab_keys, F.col("tab_key") == F.col("mapping_key")).select("description", "tab", F.lit(1).alias("rank"))
+    candidates = direct.unionByName(by_alias).groupBy("description", "tab").agg(F.min("rank").alias("rank"))
     # One row per (entity, tab) holding its few periods, so one join serves every date.
     by_period = schedule.groupBy("entity_id", F.col("account").alias("tab")).agg(
         F.map_from_entries(F.collect_list(F.struct("period_end", "amount"))).alias("by_period"))
-    tabs = by_period.join(candidates.where("tab IS NOT NULL"), "tab").groupBy("entity_id", "description").agg(
+    tabs = by_period.join(candidates, "tab").groupBy("entity_id", "description").agg(
         F.min_by(F.struct("tab", "by_period"), F.struct("rank", "tab")).alias("t"))
     mapped = (
-        lines.join(candidates.select("description", "mapping_key", "category").distinct(), "description", "left")
+        lines.join(line_key.select("description", "mapping_key", "category"), "description", "left")
         .join(tabs, ["entity_id", "description"], "left")
     )
 

@@ -269,3 +269,8 @@ WHERE r.match = '❌ Diff' AND abs(abs(n.value) - r.diff) <= greatest(1, r.diff
 def _(t):
     from tieout.operators.reconcile import notes_explaining_diffs
     return notes_explaining_diffs(recon_of(t), note_values_of(t))
+
+
+@query("working_notes", """SELECT *, CASE WHEN starts_with(note, 'Check') THEN 'artefact' WHEN contains(note, 'difference') THEN 'working' ELSE 'prose' END AS note_class FROM remark""")
+def _(t):
+    return C.split_working_notes(t.remark)

@@ -43,14 +43,14 @@ def _(t):
     return Q.verify_sums(t.detail_line, ["entity_id", "account", "yr"], "1.3700")
 
 
-@query("anonymise", """WITH s AS (SELECT l.l_orderkey, l.l_linenumber, s.s_name, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey)
-SELECT l_orderkey, l_linenumber, concat('Paid Entity-', upper(substr(md5(s_name), 1, 8)), ', amount CNY', CAST(CAST(v * 1.370 AS DECIMAL(24,2)) AS VARCHAR), ' in full.') AS text, 1 AS names, 1 AS amounts FROM s""")
+@query("anonymise", """WITH s AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, s.s_name, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('Paid Entity-', upper(substr(md5(s_name), 1, 8)), ', amount CNY', CAST(CAST(v * 1.370 AS DECIMAL(24,2)) AS VARCHAR), ' in full.') AS text, 1 AS names, 1 AS amounts FROM s""")
 def _(t):
     """Payment notes that name the supplier."""
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name"))
-    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("v")).join(s, "l_suppkey")
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("v")).join(s, "l_suppkey")
     x = x.withColumn("text", F.concat(F.lit("Paid "), "name", F.lit(", amount CNY"), F.col("v").cast("string"), F.lit(" in full.")))
-    return Q.anonymise(x, ["l_orderkey", "l_linenumber"], Q.name_map(s), "1.370")
+    return Q.anonymise(x, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], Q.name_map(s), "1.370")
 
 
 @query("style_profile", """SELECT account, count(*) AS texts, min(length(text)) AS shortest, median(length(text)) AS median, max(length(text)) AS longest, sum(len(regexp_extract_all(text, '(?:CNY|人民币)\\s*[0-9]'))) AS prefixed,
@@ -77,10 +77,10 @@ def _(t):
 
 @query("table_json")
 def _(t):
-    """One JSON document per account: fields, rows, currency and scale note."""
+    """JSON documents per account, at most 10,000 sheet rows each: fields, rows, currency and scale note."""
     row = F.struct("row_idx", "description", F.date_format("period_end", "yyyy-MM-dd").alias("period"), F.col("amount").cast("string").alias("amount"))
-    d = t.detail_line.groupBy("entity_id", "account").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return d.select("entity_id", "account", F.to_json(F.struct(F.array(F.lit("description"), F.lit("period"), F.lit("amount")).alias("fields"), "rows",
+    d = t.detail_line.groupBy("entity_id", "account", F.floor(F.col("row_idx") / 10000).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return d.select("entity_id", "account", "part", F.to_json(F.struct(F.array(F.lit("description"), F.lit("period"), F.lit("amount")).alias("fields"), "rows",
                                                             F.lit("CNY").alias("currency"), F.lit("thousand").alias("scale"))).alias("document"))
 
 
