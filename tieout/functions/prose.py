@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.functions.dates import CJK_DATE_PATTERN, ISO_PATTERN
@@ -43,17 +43,29 @@ def ascii_punctuation(text: Column, keep_stops: bool = False) -> Column:
 
 def amounts(text: Column) -> Column:
     """array<decimal>: money amounts in base units, in reading order of the five passes."""
-    def scaled(factor: int):
-        by = F.lit(factor).cast("decimal(9,0)")
-        return lambda x: (F.regexp_replace(x, ",", "").cast("decimal(22,4)") * by).cast(AMOUNT_TYPE)
-
     work, found = F.coalesce(text, F.lit("")), []
     for _, pattern, scale in AMOUNT_PASSES:
-        found.append(F.transform(F.regexp_extract_all(work, F.lit(pattern), F.lit(1)), scaled(scale)))
+        found.append(F.transform(F.regexp_extract_all(work, F.lit(pattern), F.lit(1)), _scaled(F.lit(scale).cast("decimal(9,0)"))))
         work = F.regexp_replace(work, pattern, "  ")
     return F.concat(*found)
 
 
+def with_amounts(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``amounts`` as a column of ``df``, one projection per pass so that no pass repeats the ones before it."""
+    x = df.withColumn("_w", F.coalesce(F.col(text), F.lit("")))
+    for i, (_, pattern, scale) in enumerate(AMOUNT_PASSES):
+        by = F.lit(scale).cast("decimal(9,0)")
+        x = x.select(*[c for c in x.columns if c != "_w"],
+                     F.transform(F.regexp_extract_all("_w", F.lit(pattern), F.lit(1)), _scaled(by)).alias(f"_a{i}"),
+                     F.regexp_replace("_w", pattern, "  ").alias("_w"))
+    found = [f"_a{i}" for i in range(len(AMOUNT_PASSES))]
+    return x.withColumn(name, F.concat(*found)).drop("_w", *found)
+
+
+def _scaled(by: Column):
+    return lambda x: (F.regexp_replace(x, ",", "").cast("decimal(22,4)") * by).cast(AMOUNT_TYPE)
+
+
 def all_numbers(text: Column) -> Column:
     """Money amounts, then every bare number: what a note can vouch for."""
     bare = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({BARE_NUMBER})"), F.lit(1)),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import blocks
-from tieout.functions.prose import AMOUNT_TYPE, all_numbers, amounts, has_causal_language, quoted_dates
+from tieout.functions.prose import AMOUNT_TYPE, all_numbers, has_causal_language, quoted_dates, with_amounts
 
 ATTEMPT = ["entity_id", "account", "yr", "attempt"]
 # A clause ends after these; '.', ',' and '，' between digits do not count (fixed values).
@@ -34,7 +34,9 @@ def clauses(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def clause_amounts(clause_rows: DataFrame) -> DataFrame:
-    return clause_rows.withColumn("amount", F.explode(amounts(F.col("clause"))))
+    """One row per quoted amount; clauses without a digit are passed over unparsed."""
+    digits = clause_rows.where(F.rlike("clause", F.lit("[0-9]")))
+    return with_amounts(digits, "clause", "_amounts").withColumn("amount", F.explode("_amounts")).drop("_amounts")
 
 
 def adjacent_sums(lines: DataFrame, keys: list[str], longest: int = 4) -> DataFrame:

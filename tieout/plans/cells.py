@@ -66,7 +66,7 @@ def _(t):
 def _(t):
     n = F.col("s_nationkey")
     roman = F.when(n % 3 == 0, "I").when(n % 3 == 1, "II").otherwise("III")
-    name = F.when(n % 4 == 3, F.concat("s_name", F.lit(".xlsx"))).otherwise(F.concat(F.lit("Project Mint.Portfolio "), roman, F.when(n % 4 == 2, F.lit(".主表.xlsx")).otherwise(
+    name = F.when(n % 4 == 3, F.concat("s_name", F.lit(".xlsx"))).otherwise(F.concat(F.lit("Project Alpha.Portfolio "), roman, F.when(n % 4 == 2, F.lit(".主表.xlsx")).otherwise(
         F.concat(F.when(n % 4 == 1, F.lit(".databook. ")).otherwise(F.lit(".")), F.col("s_name"), F.lit(".xlsx")))))
     stem = F.regexp_replace(name, r"(?i)\.xlsx$", "")
     pat = r"(?i)Portfolio\s+(I{1,3})\b(.*)$"
