@@ -1,7 +1,8 @@
-"""Result sinks: partitioned Parquet, JSON documents, text exports."""
+"""Sinks: partitioned Parquet, and steps written to the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,24 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares; a local one only where none is configured (tests)."""
+    """The folder the cluster shares, as the session names it.
+
+    Where none is named, a session within one process (``local``) gets a folder of its
+    own; on a cluster that is an error, as executors could not see it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return configured or tempfile.mkdtemp(prefix="tieout-")
+    if configured:
+        return configured
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tieout-")
+    return _LOCAL[context.applicationId]
+
+
+#: Folder of each application that runs in one process and names none.
+_LOCAL: dict[str, str] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
