@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tieout.llm.common import text_or_empty
 
 #: Distinct pre-tokens that a task remembers; when full, it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def byte_characters() -> str:
@@ -84,7 +84,7 @@ class Codec:
         self.char = byte_characters()
         self.find = regex.compile(pattern).findall
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=serialised(ranks))
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, pretokens: set[str]) -> None:
         if len(self.known) > REMEMBERED:
@@ -94,21 +94,18 @@ class Codec:
         for p in new:
             raw = p.encode()
             if raw in self.whole:  # a token of the vocabulary is never taken apart
-                self.known[p] = [self.whole[raw]]
+                self.known[p] = (self.whole[raw],)
             else:
                 spelled.append((p, raw.decode("latin-1").translate(self.char)))
         for (p, _), ids in zip(spelled, self.pieces.encode([s for _, s in spelled], num_threads=1)):
-            self.known[p] = [i - 1 for i in ids]
+            self.known[p] = tuple([i - 1 for i in ids])
 
     def encode(self, text: str) -> list[int]:
         found = self.find(text)
         try:
             return list(chain.from_iterable(map(self.known.__getitem__, found)))
         except KeyError:
-            self._learn(set(found))
-            missing = set(found) - self.known.keys()
-            if missing:  # the memory was emptied for this text
-                self._learn(missing)
+            self._learn(set(found))  # all of them, also where the memory starts anew
             return list(chain.from_iterable(map(self.known.__getitem__, found)))
 
     def decode(self, ids: list[int]) -> bytes:
