@@ -19,10 +19,10 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tieout.llm.common import text_or_empty
+from tieout.llm.common import blocks, text_or_empty
 
 #: Distinct pre-tokens that a task remembers; when full, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> str:
@@ -117,18 +117,19 @@ def _columns(vocabulary: bytes, pattern: str, keep_ids: bool):
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, vocabulary.splitlines())}
         codec = Codec(ranks, pattern)
         digits = [str(i) for i in range(len(ranks))]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
         for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                text = text_or_empty(t)
-                ids = codec.encode(text)
-                back = codec.decode(ids)
-                row = (len(ids), hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, ids, back.decode()) if keep_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            texts = [text_or_empty(t) for t in batch["text"]]
+            for i, j in blocks(texts):
+                rows = []
+                for text in texts[i:j]:
+                    ids = codec.encode(text)
+                    back = codec.decode(ids)
+                    row = (len(ids), hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest())
+                    rows.append((*row, ids, back.decode()) if keep_ids else row)
+                out = pd.DataFrame(rows, columns=names)
+                out.insert(0, "doc_id", batch["doc_id"].iloc[i:j].astype("Int64").to_numpy())
+                yield out.astype({"doc_id": "Int64"})
 
     return run
 
