@@ -17,6 +17,8 @@ AMOUNT_PASSES = (
     ("currency", rf"(?i){CURRENCY}\s*([0-9][0-9,]*(?:\.[0-9]+)?)", 1),
     ("grouped", r"(?:^|[^0-9.])([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?)", 1),
 )
+#: What a text must hold for a pass to find anything: a look before the costlier pattern.
+AMOUNT_HINTS = (("million", "mn"), ("亿",), ("万",), ("cny", "rmb", "usd", "hkd", "$", "人民"), (",",))
 BARE_NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 # Causal wording (fixed values).
 CAUSAL = (r"(?i)driven by|attributed to|reflect|due to|owing to|as a result|because|"
@@ -55,9 +57,12 @@ def with_amounts(df: DataFrame, text: str, name: str) -> DataFrame:
     x = df.withColumn("_w", F.coalesce(F.col(text), F.lit("")))
     for i, (_, pattern, scale) in enumerate(AMOUNT_PASSES):
         by = F.lit(scale).cast("decimal(9,0)")
+        hint = AMOUNT_HINTS[i]
+        may = contains_any(F.lower("_w"), hint) if hint else F.lit(True)
+        none = F.array().cast(f"array<{AMOUNT_TYPE}>")
         x = x.select(*[c for c in x.columns if c != "_w"],
-                     F.transform(F.regexp_extract_all("_w", F.lit(pattern), F.lit(1)), _scaled(by)).alias(f"_a{i}"),
-                     F.regexp_replace("_w", pattern, "  ").alias("_w"))
+                     F.when(may, F.transform(F.regexp_extract_all("_w", F.lit(pattern), F.lit(1)), _scaled(by))).otherwise(none).alias(f"_a{i}"),
+                     F.when(may, F.regexp_replace("_w", pattern, "  ")).otherwise(F.col("_w")).alias("_w"))
     found = [f"_a{i}" for i in range(len(AMOUNT_PASSES))]
     return x.withColumn(name, F.concat(*found)).drop("_w", *found)
 

@@ -3,8 +3,8 @@
 ``typed`` parses landed cells (workbook_id, sheet, row_idx, col_idx, cell_text); all
 other functions take its result as ``cells``.
 Every step is an aggregation or an equi join on (workbook_id, sheet, row or
-column); header decisions only look at the first rows, so those filters reach the
-scan. No step gathers a sheet in one place.
+column). No step gathers a sheet in one place. Where a decision may be limited to the
+first rows, the limit is a parameter; None, the default, is the whole sheet.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ SHEET = ["workbook_id", "sheet"]
 ROW, COL = [*SHEET, "row_idx"], [*SHEET, "col_idx"]
 PREFERRED_STAGE = "Indicative adjusted"
 # Fixed values.
-STAGE_SCAN_ROWS, PRIMARY_SCAN_ROWS, DESC_SCAN_ROWS, UNIT_ROWS = 80, 12, 12, 8
+UNIT_ROWS = 8
 REMARK_WORDS = ("remark", "remarks", "note", "notes", "comment", "comments", "备注", "附注", "注释", "說明", "说明")
 TICKS = ("✓", "√", "✔", "☑", "■", "□", "●", "○", "★", "☆")
 NAV_NAMES = ("overview", "adj", "contract", "tb", "cover", "mapping", "je", "pt", "pivottable", "tb combine", "mgt account",
@@ -36,6 +36,11 @@ CARRYING = ("carrying amounts", "net book value", "carrying amount", "账面价
 MONEY = "decimal(20,2)"
 
 
+def first_rows(most: int | None) -> Column:
+    """The first ``most`` rows of a sheet; all of them for None."""
+    return F.lit(True) if most is None else F.col("row_idx") < most
+
+
 def typed(cells: DataFrame) -> DataFrame:
     """Non-blank cells with their number, strict date, stage, unit flag and loose date flag.
 
@@ -75,24 +80,24 @@ def preview(cells: DataFrame, rows: int = 12) -> DataFrame:
         "offered", (F.col("filled") > 0) & ~F.col("hidden"))
 
 
-def row_hits(cells: DataFrame) -> DataFrame:
-    """Stage and date hits of the rows that may be headers."""
-    return cells.where(F.col("row_idx") < STAGE_SCAN_ROWS + 3).groupBy(*ROW).agg(
-        F.count("stage").alias("stage_hits"), F.count("date").alias("date_hits"))
+def row_hits(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
+    """Stage and date hits of the rows that may be headers; rows without either are left out."""
+    h = cells.where(first_rows(scan_rows) & (F.col("stage").isNotNull() | F.col("date").isNotNull()))
+    return h.groupBy(*ROW).agg(F.count("stage").alias("stage_hits"), F.count("date").alias("date_hits"))
 
 
-def stage_rows(cells: DataFrame) -> DataFrame:
+def stage_rows(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Rows that name stages: two or more hits, or one with a date row from one above to two below."""
     h = row_hits(cells)
     near = h.where("date_hits >= 1").select(*SHEET, F.explode(F.sequence(F.col("row_idx") - 2, F.col("row_idx") + 1)).alias("row_idx")).distinct()
-    s = h.where(F.col("row_idx") < STAGE_SCAN_ROWS)
+    s = h.where(first_rows(scan_rows))
     return s.where("stage_hits >= 2").select(*ROW).unionByName(s.where("stage_hits = 1").join(near, ROW, "left_semi").select(*ROW))
 
 
-def header_rows(cells: DataFrame) -> DataFrame:
+def header_rows(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Primary stage row (most hits, earliest) and the date row within two rows of it."""
     h = row_hits(cells)
-    stage = h.where((F.col("row_idx") < PRIMARY_SCAN_ROWS) & (F.col("stage_hits") > 0)).groupBy(*SHEET).agg(
+    stage = h.where(first_rows(scan_rows) & (F.col("stage_hits") > 0)).groupBy(*SHEET).agg(
         F.max_by("row_idx", F.struct("stage_hits", -F.col("row_idx"))).alias("stage_row"))
     near = stage.select(*SHEET, "stage_row", F.explode(F.sequence(F.col("stage_row") - 2, F.col("stage_row") + 2)).alias("row_idx"))
     dates = near.join(h.where("date_hits > 0"), ROW).groupBy(*SHEET).agg(
@@ -100,14 +105,14 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return stage.join(dates, SHEET, "left")
 
 
-def description_column(cells: DataFrame) -> DataFrame:
+def description_column(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Column holding a unit marker; else the best text score in the first rows; else the first column."""
     t = F.col("cell_text")
     low = F.lower(t)
     remark = contains_any(low, REMARK_WORDS)
     dated = F.col("dated")
     text = ~remark & ~dated & F.col("number").isNull() & (F.length(F.trim(t)) > 1)
-    head = F.col("row_idx") < DESC_SCAN_ROWS
+    head = first_rows(scan_rows)
     marker = F.rlike(t, F.lit("(?i)CNY'000|人民币千元"))
     c = cells.where(F.trim(t) != "").groupBy(*COL).agg(
         F.bool_or(marker).alias("marker"), F.count_if(head & text).alias("texts"),
@@ -124,7 +129,7 @@ def filled_stages(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
     The window runs along one header row, whose width the file format bounds.
     """
-    t = cells.where(F.col("row_idx") < STAGE_SCAN_ROWS + 3).join(headers, SHEET)
+    t = cells.join(headers, SHEET)
     head = t.where(F.col("row_idx").isin(F.col("stage_row"), F.col("date_row"))).groupBy(*COL).agg(
         F.max(F.when(F.col("row_idx") == F.col("stage_row"), F.coalesce("stage", F.lit("")))).alias("mark"),
         F.max(F.when(F.col("row_idx") == F.col("date_row"), F.col("date"))).alias("date"))
@@ -146,9 +151,9 @@ def column_profiles(cells: DataFrame, start: DataFrame) -> DataFrame:
 def value_columns(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> DataFrame:
     """Dated columns right of the description whose body is numeric enough, or whose marker says so."""
     start = headers.select(*SHEET, (F.greatest("date_row", "stage_row") + 1).alias("data_start"))
-    marks = cells.where(F.col("row_idx") < STAGE_SCAN_ROWS + 3).join(headers, SHEET).where("row_idx = stage_row").select(
+    marks = cells.join(headers, SHEET).where("row_idx = stage_row").select(
         *COL, (F.col("stage") == PREFERRED_STAGE).alias("marked"), contains_any(F.lower("cell_text"), REMARK_WORDS).alias("remark"))
-    head = cells.where(F.col("row_idx") < STAGE_SCAN_ROWS + 3).join(headers, SHEET).where("row_idx = date_row AND date IS NOT NULL").select(*COL, "date")
+    head = cells.join(headers, SHEET).where("row_idx = date_row AND date IS NOT NULL").select(*COL, "date")
     x = head.join(desc, SHEET).where("col_idx > desc_col").join(marks, COL, "left").join(column_profiles(cells, start), COL, "left").fillna(0, ["numbers", "texts"])
     numeric = (F.col("numbers") >= 1) & (F.col("numbers") >= F.col("texts")) & (F.col("texts") <= 2)
     empty = (F.col("numbers") + F.col("texts")) == 0
@@ -167,14 +172,14 @@ def best_header(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> DataFr
     cand = h.withColumn("d", F.explode(d)).withColumn("m", F.explode(F.array_distinct(F.array("h", F.col("d") - 1, F.col("d") + 1)))).where("m >= 0")
     t = cells
     body = t.groupBy(*COL).agg(F.count("number").alias("nb"), F.count_if(F.col("number").isNull()).alias("tx"))
-    top = t.where(F.col("row_idx") < STAGE_SCAN_ROWS)
+    top = t.join(cand.select(*SHEET, F.explode(F.array("d", "m")).alias("row_idx")).distinct(), ROW, "left_semi")
     dates = top.where("date IS NOT NULL").select(*SHEET, F.col("row_idx").alias("d"), "col_idx", "date", contains_any(F.lower("cell_text"), REMARK_WORDS).alias("r1"))
     x = cand.join(dates, [*SHEET, "d"]).join(desc, SHEET).where("col_idx > desc_col")
     marks = top.select(*SHEET, F.col("row_idx").alias("m"), "col_idx", (F.col("stage") == PREFERRED_STAGE).alias("marked"),
                        contains_any(F.lower("cell_text"), REMARK_WORDS).alias("r2"))
     x = x.join(marks, [*SHEET, "m", "col_idx"], "left")
     above = x.select(*SHEET, "h", "d", "m", "col_idx").join(
-        top.select(*COL, F.col("row_idx").alias("ar"), "number"), COL).where("ar < greatest(d, m) + 1").groupBy(
+        cells.select(*COL, F.col("row_idx").alias("ar"), "number"), COL).where("ar < greatest(d, m) + 1").groupBy(
         *SHEET, "h", "d", "m", "col_idx").agg(F.count("number").alias("an"), F.count_if(F.col("number").isNull()).alias("at"))
     x = x.join(body, COL).join(above, [*SHEET, "h", "d", "m", "col_idx"], "left")
     nb, tx = F.col("nb") - F.coalesce("an", F.lit(0)), F.col("tx") - F.coalesce("at", F.lit(0))
@@ -231,18 +236,18 @@ def extract_statement(cells: DataFrame, bounds: DataFrame, desc: DataFrame) -> D
         *SHEET, "section", "row_idx", "description", F.col("date").alias("period_end"), "amount")
 
 
-def sheet_profile(cells: DataFrame, headers: DataFrame) -> DataFrame:
+def sheet_profile(cells: DataFrame, headers: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Kind, title, stage labels, unit markers and header rows per sheet."""
     t = cells
     low = F.lower("cell_text")
-    head = F.col("row_idx") < 10
-    titled = (F.col("row_idx") < 6) & F.col("stage").isNull() & F.col("date").isNull() & ~F.col("unit") & ~low.isin("back", "nan", "none")
-    a = t.where(F.col("row_idx") < STAGE_SCAN_ROWS).groupBy(*SHEET).agg(
+    head = first_rows(scan_rows)
+    titled = first_rows(scan_rows) & F.col("stage").isNull() & F.col("date").isNull() & ~F.col("unit") & ~low.isin("back", "nan", "none")
+    a = t.groupBy(*SHEET).agg(
         F.min_by(F.trim("cell_text"), F.when(titled, F.struct("row_idx", "col_idx"))).alias("title"),
         F.bool_or(head & contains_any(low, ("balance sheet", "资产负债表", "資產負債表"))).alias("bal"),
         F.bool_or(head & contains_any(low, ("income statement", "profit and loss", "利润表", "利潤表"))).alias("inc"),
         F.bool_or(head & contains_any(low, ("台账", "台賬"))).alias("book"),
-        F.array_join(F.array_sort(F.collect_set(F.when((F.col("row_idx") < UNIT_ROWS) & has_unit_marker(F.col("cell_text")), F.trim("cell_text")))), ", ").alias("unit_markers"),
+        F.array_join(F.array_sort(F.collect_set(F.when(first_rows(scan_rows) & has_unit_marker(F.col("cell_text")), F.trim("cell_text")))), ", ").alias("unit_markers"),
         F.array_join(F.array_sort(F.collect_set("stage")), ", ").alias("stage_labels"),
         F.coalesce(F.bool_or(F.col("stage") == PREFERRED_STAGE), F.lit(False)).alias("has_indicative"))
     x = a.join(headers, SHEET, "left")
@@ -264,7 +269,7 @@ def entity_blocks(cells: DataFrame, entities: DataFrame) -> DataFrame:
     """
     s = stage_rows(cells)
     nxt = s.withColumn("end_row", F.lead("row_idx").over(Window.partitionBy(*SHEET).orderBy("row_idx"))).withColumnRenamed("row_idx", "stage_row")
-    t = cells.where(F.col("row_idx") < STAGE_SCAN_ROWS + 3)
+    t = cells
     around = nxt.withColumn("row_idx", F.explode(F.sequence(F.greatest(F.col("stage_row") - 5, F.lit(0)), F.col("stage_row") + 1))).join(t, ROW)
     plain = (F.col("row_idx") < F.col("stage_row")) & (F.col("row_idx") >= F.col("stage_row") - 4)
     rows = around.groupBy(*SHEET, "stage_row", "end_row", "row_idx").agg(
@@ -285,13 +290,13 @@ def entity_blocks(cells: DataFrame, entities: DataFrame) -> DataFrame:
                                                   F.struct("strict", "score", -F.col("stage_row"))).alias("b")).select(*SHEET, "entity", "b.*")
 
 
-def rollforward(cells: DataFrame, desc: DataFrame) -> DataFrame:
+def rollforward(cells: DataFrame, desc: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Roll-forward sheets turned round: one line per component and date below the carrying-amount row."""
     t = cells.join(desc, SHEET)
     low = F.lower(F.trim("cell_text"))
     labels = t.where("col_idx = desc_col")
     start = labels.where(low.isin(*CARRYING)).groupBy(*SHEET).agg(F.min("row_idx").alias("carrying"))
-    header = t.where(F.col("row_idx") < 12).groupBy(*ROW).agg(F.bool_or("unit").alias("u"), F.bool_or(
+    header = t.where(first_rows(scan_rows)).groupBy(*ROW).agg(F.bool_or("unit").alias("u"), F.bool_or(
         (F.col("col_idx") > F.col("desc_col")) & F.col("date").isNull() & ~F.col("unit")).alias("c")).where("u AND c").groupBy(*SHEET).agg(F.min("row_idx").alias("head"))
     stop = labels.join(start, SHEET).where((F.col("row_idx") > F.col("carrying")) & low.startswith("check")).groupBy(*SHEET).agg(F.min("row_idx").alias("stop"))
     dates = labels.where("date IS NOT NULL").join(start, SHEET).join(stop, SHEET, "left").where(
@@ -324,7 +329,7 @@ def normalise(cells: DataFrame, headers: DataFrame, desc: DataFrame, ends: DataF
     Headers and stages, first-wins columns, labels, row types, amounts in full units.
     """
     cols = dedupe_columns(filled_stages(cells, headers).join(value_columns(cells, headers, desc).select(*COL), COL, "left_semi"))
-    unit = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
+    unit = cells.groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
     inside = cells.join(headers, SHEET).join(ends, SHEET).where(
         "row_idx > greatest(date_row, stage_row) AND row_idx < end_row")
     labels = inside.join(desc, SHEET).where("col_idx = desc_col").select(*ROW, F.trim("cell_text").alias("description"))
@@ -345,12 +350,13 @@ def projection_choice(lines: DataFrame) -> DataFrame:
                            F.concat(F.lit(f"Fallback from {PREFERRED_STAGE} to "), F.coalesce("b.stage", F.lit("?")))).alias("flag"))
 
 
-def detail_tables(cells: DataFrame, ends: DataFrame, lines: DataFrame, tie: str = "0.02", max_rows: int = 40) -> DataFrame:
+def detail_tables(cells: DataFrame, ends: DataFrame, lines: DataFrame, tie: str = "0.02") -> DataFrame:
     """Report-ready blocks below or beside the main table that tie to the account on some period.
 
     A header row has a unit marker and two or more distinct dates, one of them shared
     with the account; at least two labelled rows; the first block that ties wins.
-    A header carries its dates as a map, so each block's cells are joined once.
+    An empty row or the next header ends a block: a row's header is the latest above it
+    in its run of filled rows, so each cell belongs to one block and is joined once.
     """
     per_sheet = lines.groupBy(*SHEET).agg(F.max("col_idx").alias("main_col"), F.collect_set("period_end").alias("periods"))
     totals = lines.where("row_type = 'total' AND amount <> 0").groupBy(*SHEET).agg(
@@ -363,9 +369,10 @@ def detail_tables(cells: DataFrame, ends: DataFrame, lines: DataFrame, tie: str
     found = F.transform("dates", lambda d: d["date"])
     h = h.where((F.size("dates") >= 2) & (F.size(F.array_distinct(found)) == F.size("dates")) & F.arrays_overlap(found, "periods")).select(
         *SHEET, F.col("row_idx").alias("head"), "unit_col", F.map_from_entries("dates").alias("dates"), "account")
-    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
-    body = h.drop("dates", "account").join(cells.select(*SHEET, "row_idx", "col_idx", "cell_text", "number"), SHEET).where(
-        F.col("row_idx").between(F.col("head") + 1, F.col("head") + max_rows))
+    mult = cells.groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
+    at = with_segment(cells.select(*ROW).distinct(), 1).join(h.select(*SHEET, F.col("head").alias("row_idx"), F.col("head").alias("_h")), ROW, "left")
+    owned = blocks.fill_forward(at, [*SHEET, "segment"], "row_idx", "_h", "head").where("head IS NOT NULL AND row_idx > head").select(*ROW, "head")
+    body = cells.select(*SHEET, "row_idx", "col_idx", "cell_text", "number").join(owned, ROW).join(h.drop("dates", "account"), [*SHEET, "head"])
     rows = body.groupBy(*SHEET, "head", "row_idx").agg(
         F.max(F.when(F.col("col_idx") == F.col("unit_col"), F.trim("cell_text"))).alias("label"),
         F.collect_list(F.when(F.col("number").isNotNull(), F.struct("col_idx", "number"))).alias("cells")).where("label IS NOT NULL")
@@ -400,7 +407,7 @@ def auxiliary_totals(cells: DataFrame, lines: DataFrame) -> DataFrame:
     dated = t.where("date IS NOT NULL").select(*SHEET, F.col("row_idx").alias("head"), "col_idx", F.col("date").alias("period_end"))
     head = checks.join(dated.select(*SHEET, "head", "col_idx"), SHEET).where("head < check_row AND col_idx > check_col").groupBy(
         *SHEET, "check_row", "check_col").agg(F.max("head").alias("head"))
-    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
+    mult = cells.groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
     vals = t.where("number IS NOT NULL").select(*SHEET, F.col("row_idx").alias("check_row"), "col_idx", "number")
     x = head.join(dated, [*SHEET, "head"]).where("col_idx > check_col").join(vals, [*SHEET, "check_row", "col_idx"]).join(mult, SHEET)
     x = x.withColumn("total", F.bround(F.col("number") * F.col("multiplier"), 0).cast("decimal(24,0)"))
@@ -441,10 +448,10 @@ def row_type_counts(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(*[F.count_if(k == n).alias(n) for n in kinds], F.count(F.lit(1)).alias("rows"))
 
 
-def language_vote(cells: DataFrame) -> DataFrame:
+def language_vote(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Report language and statement mode per workbook, from its sheets."""
     t = F.col("cell_text")
-    s = cells.where(F.col("row_idx") < 20).groupBy(*SHEET).agg(
+    s = cells.where(first_rows(scan_rows)).groupBy(*SHEET).agg(
         F.bool_or(F.rlike(t, F.lit("[一-鿿]"))).alias("cjk"), F.bool_or(contains_any(F.lower(t), ("balance sheet", "资产负债表"))).alias("bs"),
         F.bool_or(contains_any(F.lower(t), ("income statement", "利润表"))).alias("inc"))
     w = s.groupBy("workbook_id").agg(F.count_if("cjk").alias("chi"), F.count_if(~F.col("cjk")).alias("eng"), F.bool_or("bs").alias("bs"), F.bool_or("inc").alias("inc"))
@@ -452,10 +459,10 @@ def language_vote(cells: DataFrame) -> DataFrame:
     return w.select("workbook_id", "chi", "eng", F.when(F.col("chi") > F.col("eng"), "Chi").otherwise("Eng").alias("language"), mode.alias("mode"))
 
 
-def entity_candidates(cells: DataFrame) -> DataFrame:
+def entity_candidates(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Names after `` - `` in title rows and in sheet names, per workbook; kept from two sightings on."""
     name = F.trim(F.regexp_extract("cell_text", r"\s[-–]\s(.+)$", 1))
-    titles = cells.where((F.col("row_idx") < 6) & (name != "")).select("workbook_id", name.alias("name"), F.lit("title").alias("source"))
+    titles = cells.where(first_rows(scan_rows) & (name != "")).select("workbook_id", name.alias("name"), F.lit("title").alias("source"))
     sheets = cells.select(*SHEET).distinct().select("workbook_id", F.regexp_replace("sheet", "^Financials ", "").alias("name"), F.lit("sheet").alias("source"))
     return titles.unionByName(sheets).groupBy("workbook_id", "name").agg(
         F.count(F.lit(1)).alias("seen"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).where("seen >= 2")
@@ -470,7 +477,7 @@ def unit_coverage(cells: DataFrame) -> DataFrame:
 def stage_label_audit(cells: DataFrame) -> DataFrame:
     """Stage-row labels that are not recognised, and stage columns without a date."""
     s = stage_rows(cells).withColumnRenamed("row_idx", "stage_row")
-    t = cells.where(F.col("row_idx") < STAGE_SCAN_ROWS + 3)
+    t = cells
     h = row_hits(cells).where("date_hits > 0")
     near = s.withColumn("row_idx", F.explode(F.sequence(F.col("stage_row") - 2, F.col("stage_row") + 2))).join(h, ROW).groupBy(*SHEET, "stage_row").agg(
         F.max_by("row_idx", F.struct("date_hits", -F.col("row_idx"))).alias("date_row"))
@@ -483,7 +490,7 @@ def stage_label_audit(cells: DataFrame) -> DataFrame:
 
 def scaling_audit(cells: DataFrame, lines: DataFrame) -> DataFrame:
     """Raw cell times the sheet's multiplier against the stored amount, address by address."""
-    mult = cells.where(F.col("row_idx") < UNIT_ROWS).groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
+    mult = cells.groupBy(*SHEET).agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
     raw = cells.where("number IS NOT NULL").select(*SHEET, "row_idx", "col_idx", "number").join(mult, SHEET)
     x = lines.join(raw, [*ROW, "col_idx"]).withColumn("gap", F.abs(F.col("number") * F.col("multiplier") - F.col("amount")))
     return x.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("gap") > 1).alias("off"), F.max("gap").cast("decimal(24,2)").alias("largest_gap"))
@@ -500,12 +507,12 @@ def row_survival(cells: DataFrame, headers: DataFrame, desc: DataFrame, ends: Da
     return rows.join(kept, ROW, "left").select(*ROW, "label", reason.alias("outcome"))
 
 
-def label_set_search(cells: DataFrame, wanted: DataFrame, min_hits: int = 2) -> DataFrame:
-    """Sheets that hold at least two of a list of row labels in their first four columns, best first per list.
+def label_set_search(cells: DataFrame, wanted: DataFrame, min_hits: int = 2, columns: int | None = None) -> DataFrame:
+    """Sheets that hold at least two of a list of row labels in their first ``columns`` columns (None: all), best first per list.
 
     ``wanted``: list_id, workbook_id, label.
     """
-    spots = cells.where(F.col("col_idx") < 4).select(*SHEET, F.trim("cell_text").alias("label"), "row_idx")
+    spots = cells.where(F.lit(True) if columns is None else F.col("col_idx") < columns).select(*SHEET, F.trim("cell_text").alias("label"), "row_idx")
     hit = spots.join(wanted, ["workbook_id", "label"]).groupBy("list_id", *SHEET, "label").agg(F.min("row_idx").alias("row_idx"))
     s = hit.groupBy("list_id", *SHEET).agg(F.count(F.lit(1)).alias("hits"), F.min("row_idx").alias("first_row")).where(F.col("hits") >= min_hits)
     rank = F.row_number().over(Window.partitionBy("list_id").orderBy(F.desc("hits"), "first_row", "sheet"))
@@ -540,21 +547,30 @@ def bridge_blocks(cells: DataFrame) -> DataFrame:
     return items.join(chk.select(*key, ok.alias("check_ok")), key).select(*key, "row_idx", "label", "kind", "value", "check_ok")
 
 
-def period_blocks(cells: DataFrame, max_rows: int = 250) -> DataFrame:
+def with_segment(rows: DataFrame, blank: int) -> DataFrame:
+    """``rows`` (SHEET, row_idx, ...) with ``segment``: the first row of their run, which ends where ``blank`` rows in a row are empty."""
+    filled = rows.select(*ROW).distinct()
+    after = filled.select(*SHEET, F.explode(F.sequence(F.col("row_idx") + 1, F.col("row_idx") + blank)).alias("row_idx")).distinct()
+    starts = filled.join(after, ROW, "left_anti").withColumn("_start", F.col("row_idx"))
+    marked = blocks.fill_forward(filled.join(starts, ROW, "left"), SHEET, "row_idx", "_start", "segment")
+    return rows.join(marked.select(*ROW, "segment"), ROW)
+
+
+def period_blocks(cells: DataFrame, blank: int = 3) -> DataFrame:
     """Dated blocks anywhere on a sheet: a label cell followed by two or more dates, then rows with figures.
 
     Blocks side by side are told apart by their label column; a header inside the rows of
-    an earlier block of the same column is not a new one.
+    an earlier block of the same column is not a new one. ``blank`` empty rows end a block.
     """
-    t = cells.where(F.col("row_idx") < max_rows)
+    t = with_segment(cells, blank)
     w = Window.partitionBy(*ROW).orderBy("col_idx")
     is_date = F.col("date").isNotNull()
     spans = t.withColumn("label_col", F.last(F.when(~is_date, F.col("col_idx")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(
-        is_date & F.col("label_col").isNotNull()).groupBy(*ROW, "label_col").agg(F.count(F.lit(1)).alias("periods"), F.min("col_idx").alias("lo"), F.max("col_idx").alias("hi")).where("periods >= 2")
-    head = spans.select(*SHEET, "label_col", F.col("row_idx").alias("head"), "periods", "lo", "hi")
+        is_date & F.col("label_col").isNotNull()).groupBy(*ROW, "segment", "label_col").agg(F.count(F.lit(1)).alias("periods"), F.min("col_idx").alias("lo"), F.max("col_idx").alias("hi")).where("periods >= 2")
+    head = spans.select(*SHEET, "segment", "label_col", F.col("row_idx").alias("head"), "periods", "lo", "hi")
     nxt = head.withColumn("next_head", F.lead("head").over(Window.partitionBy(*SHEET, "label_col").orderBy("head")))
-    nums = t.where("number IS NOT NULL").select(*SHEET, "row_idx", "col_idx")
-    body = nxt.join(nums, SHEET).where("row_idx > head AND (next_head IS NULL OR row_idx < next_head) AND col_idx BETWEEN lo AND hi").groupBy(
+    nums = t.where("number IS NOT NULL").select(*SHEET, "segment", "row_idx", "col_idx")
+    body = nxt.join(nums, [*SHEET, "segment"]).where("row_idx > head AND (next_head IS NULL OR row_idx < next_head) AND col_idx BETWEEN lo AND hi").groupBy(
         *SHEET, "label_col", "head", "periods").agg(F.count_distinct("row_idx").alias("data_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"))
     titles = t.where("date IS NULL").select(*SHEET, F.col("col_idx").alias("label_col"), F.col("row_idx").alias("tr"), F.trim("cell_text").alias("t"))
     title = head.join(titles, [*SHEET, "label_col"]).where("tr BETWEEN head - 2 AND head - 1").groupBy(*SHEET, "label_col", "head").agg(F.max_by("t", "tr").alias("title"))
@@ -575,7 +591,7 @@ def phase_blocks(cells: DataFrame) -> DataFrame:
     metric = F.lit(None).cast("string")
     for name, pattern in reversed(METRICS):
         metric = F.when(F.rlike(F.lower(text), F.lit(pattern)), name).otherwise(metric)
-    m = cells.where(F.col("row_idx") < 100).withColumn("metric", metric).where("metric IS NOT NULL")
+    m = cells.withColumn("metric", metric).where("metric IS NOT NULL")
     occ = m.where("metric = 'occupancy'").select("sheet", F.col("row_idx").alias("start"), F.col("col_idx").alias("anchor"))
     w = Window.partitionBy("sheet").orderBy("start")
     occ = occ.withColumn("n", F.row_number().over(w)).withColumn("end", F.coalesce(F.lead("start").over(w) - 1, F.col("start") + 8))
@@ -584,7 +600,7 @@ def phase_blocks(cells: DataFrame) -> DataFrame:
     b = inside.groupBy("sheet", "n", "start").agg(row("area").alias("area_row"), row("rent").alias("rent_row"), row("revenue").alias("revenue_row"),
                                                 F.max_by("cell_text", F.when(F.col("metric") == "revenue", F.col("row_idx"))).alias("revenue_text"))
     short = F.rlike(text, F.lit(r"^\D{1,8}$")) & ~F.rlike(text, F.lit(r"(?i)年|月|日|LTM|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"))
-    tags = cells.where((F.col("row_idx") < 20) & short).groupBy("sheet", "row_idx", text.alias("tag")).agg(F.count(F.lit(1)).alias("c")).where("c >= 4")
+    tags = cells.where(short).groupBy("sheet", "row_idx", text.alias("tag")).agg(F.count(F.lit(1)).alias("c")).where("c >= 4")
     tags = tags.groupBy("sheet", "row_idx").agg(F.array_join(F.array_sort(F.collect_set("tag")), "/").alias("tag"))
     tags = tags.withColumn("n", F.row_number().over(Window.partitionBy("sheet").orderBy("row_idx")))
     counts = b.groupBy("sheet").agg(F.count(F.lit(1)).alias("blocks")).join(tags.groupBy("sheet").agg(F.count(F.lit(1)).alias("tags")), "sheet", "left")

@@ -22,10 +22,11 @@ SCALE_FACTORS = (("1000", "1000x too small"), ("0.001", "1000x too large"),
 
 def clauses(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row per clause with 0-based half-open offsets; ``clause`` is exactly that slice."""
-    parts = F.split(F.col(text), CLAUSE_END)
-    x = texts.withColumn("_parts", parts).withColumn("_len", F.transform("_parts", lambda p: F.length(p)))
-    at = F.aggregate(F.slice("_len", 1, F.col("_i")), F.lit(0), lambda a, n: a + n)
-    x = x.select("*", F.posexplode("_parts").alias("_i", "_part")).withColumn("_at", at)
+    # starts are folded once per text and travel with their clause; outer, as a plain explode infers a filter that repeats the split
+    x = texts.withColumn("_p", F.explode_outer(F.array(F.split(F.col(text), CLAUSE_END))))
+    ends = F.aggregate("_p", F.array(F.lit(0)), lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(p)))
+    x = x.select("*", F.posexplode_outer(F.arrays_zip(F.col("_p").alias("part"), F.slice(ends, F.lit(1), F.size("_p")).alias("at"))).alias("_i", "_z"))
+    x = x.where("_i IS NOT NULL").withColumn("_part", F.col("_z.part")).withColumn("_at", F.col("_z.at"))
     body = F.regexp_replace("_part", r"^\s+|\s+$", "")
     lead = F.length("_part") - F.length(F.regexp_replace("_part", r"^\s+", ""))
     x = x.withColumn("clause", body).where("clause <> ''").withColumn("start", F.col("_at") + lead).withColumn(
@@ -36,7 +37,9 @@ def clauses(texts: DataFrame, text: str = "text") -> DataFrame:
 def clause_amounts(clause_rows: DataFrame) -> DataFrame:
     """One row per quoted amount; clauses without a digit are passed over unparsed."""
     digits = clause_rows.where(F.rlike("clause", F.lit("[0-9]")))
-    return with_amounts(digits, "clause", "_amounts").withColumn("amount", F.explode("_amounts")).drop("_amounts")
+    # outer: a plain explode infers a filter that would run all passes nested in one expression
+    found = with_amounts(digits, "clause", "_amounts")
+    return found.withColumn("amount", F.explode_outer("_amounts")).where("amount IS NOT NULL").drop("_amounts")
 
 
 def adjacent_sums(lines: DataFrame, keys: list[str], longest: int = 4) -> DataFrame:
@@ -213,14 +216,19 @@ def highlight_spans(texts: DataFrame, reviews: DataFrame) -> DataFrame:
     return x.select(*ATTEMPT, F.posexplode("spans").alias("span_no", "s")).select(*ATTEMPT, "span_no", "s.*")
 
 
-def defective(verdicts: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Retriable clauses, and one feedback text per attempt quoting the first ``most`` of them."""
-    bad = verdicts.where("NOT supported AND category = 'hallucination'")
+def defective(verdicts: DataFrame, most: int | None = 5) -> tuple[DataFrame, DataFrame]:
+    """Retriable clauses, and one feedback text per attempt quoting the first ``most`` of them (None: all).
+
+    An attempt without such a clause is fed back all its unsupported ones.
+    """
+    wrong = F.col("category") == "hallucination"
+    any_wrong = F.bool_or(wrong).over(Window.partitionBy(*ATTEMPT))
+    bad = verdicts.where("NOT supported").withColumn("_any", any_wrong).where(wrong | ~F.col("_any")).drop("_any")
     rank = F.row_number().over(Window.partitionBy(*ATTEMPT).orderBy("clause_no"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("clause_no", "clause"))),
-                        lambda x: F.concat(F.lit('- "'), F.substring(x["clause"], 1, 120), F.lit('"')))
-    feedback = bad.withColumn("r", rank).where(F.col("r") <= most).groupBy(*ATTEMPT).agg(F.array_join(lines, "\n").alias("feedback"))
-    return bad, feedback
+                        lambda x: F.concat(F.lit('- "'), x["clause"], F.lit('"')))
+    feedback = bad.withColumn("r", rank).where(F.lit(True) if most is None else F.col("r") <= most).groupBy(*ATTEMPT).agg(F.array_join(lines, "\n").alias("feedback"))
+    return bad.where(wrong), feedback
 
 
 def arbiter(verdicts: DataFrame, threshold: float = 0.3) -> DataFrame:

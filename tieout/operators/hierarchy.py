@@ -9,7 +9,7 @@ from tieout.functions import blocks
 from tieout.functions.labels import row_type
 
 # Fixed values.
-MAX_PARTS, NEST_REACH, TIE, MAX_INDENT = 19, 8, "0.005", 15
+MAX_PARTS, NEST_REACH, TIE = 19, 8, "0.005"
 
 
 def _tolerance(v: Column, ratio: str = TIE) -> Column:
@@ -52,12 +52,17 @@ def implicit_breakdowns(lines: DataFrame, keys: list[str]) -> DataFrame:
 def indent_parents(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with ``parent_row``: the nearest row above with a smaller indent.
 
-    Indent levels are few, so the last row of every level is carried down as one
-    column each; the parent is the latest of the smaller levels.
+    The last row of every level that occurs is carried down as one column each; the
+    parent is the latest of the smaller levels. Levels come from the data; the file
+    format bounds them (250 in a spreadsheet).
     """
-    levels = {f"l{i}": F.when(F.col("indent") == i, F.col("row_idx")) for i in range(MAX_INDENT)}
+    found = sorted(r[0] for r in lines.select("indent").where("indent IS NOT NULL").distinct().collect())
+    if not found:
+        return lines.withColumn("parent_row", F.lit(None).cast(lines.schema["row_idx"].dataType))
+    levels = {f"l{k}": F.when(F.col("indent") == i, F.col("row_idx")) for k, i in enumerate(found)}
     x = blocks.running_max(lines, keys, "row_idx", levels)
-    parent = F.greatest(*[F.when(F.col("indent") > i, F.col(f"l{i}")) for i in range(MAX_INDENT)])
+    above = [F.when(F.col("indent") > i, F.col(f"l{k}")) for k, i in enumerate(found)]
+    parent = F.greatest(*above) if len(above) > 1 else above[0]
     return x.withColumn("parent_row", parent).drop(*levels)
 
 

@@ -87,19 +87,19 @@ def rank_candidates(candidates: DataFrame, statement: DataFrame, totals: DataFra
     return a.withColumn("rank", F.row_number().over(w))
 
 
-def assign_one_to_one(candidates: DataFrame, max_rounds: int = 64) -> DataFrame:
+def assign_one_to_one(candidates: DataFrame) -> DataFrame:
     """Keys pick sheets in order of their best score; a sheet goes to one key per workbook.
 
     All workbooks advance together. In a round a key is settled when no key before it
-    still lists its top sheet; every workbook settles at least one key per round, so the
-    rounds are bounded by the chart of accounts. Each round is a written table.
+    still lists its top sheet; every workbook settles at least one key per round, so there
+    are at most as many rounds as keys that chain in one workbook. Each round is a written table.
     """
     first = candidates.groupBy("workbook_id", "mapping_key").agg(F.max("score").alias("top"))
     order = F.struct(F.col("top") * -1, "mapping_key")
     open_ = candidates.join(first, ["workbook_id", "mapping_key"]).select("workbook_id", "mapping_key", "sheet_name", "score", order.alias("prio"))
     open_ = cut_lineage(open_, "assign")
     done = None
-    for _ in range(max_rounds):
+    while True:
         pick = open_.groupBy("workbook_id", "mapping_key", "prio").agg(F.max_by("sheet_name", F.struct("score", F.col("sheet_name"))).alias("sheet_name"))
         owner = open_.groupBy("workbook_id", "sheet_name").agg(F.min("prio").alias("owner"))
         settled = cut_lineage(pick.join(owner, ["workbook_id", "sheet_name"]).where("prio = owner").select("workbook_id", "mapping_key", "sheet_name"), "assign")
@@ -107,10 +107,7 @@ def assign_one_to_one(candidates: DataFrame, max_rounds: int = 64) -> DataFrame:
         open_ = cut_lineage(open_.join(settled.select("workbook_id", "mapping_key"), ["workbook_id", "mapping_key"], "left_anti")
                             .join(settled.select("workbook_id", "sheet_name"), ["workbook_id", "sheet_name"], "left_anti"), "assign")
         if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError("assignment did not settle: more keys per workbook than rounds")
-    return done
+            return done
 
 
 def override_issues(requests: DataFrame, sheets: DataFrame, chart: DataFrame) -> DataFrame:

@@ -72,22 +72,56 @@ def name_map(names: DataFrame, name: str = "name") -> DataFrame:
     return x.withColumn("k", n).select(name, F.concat(F.lit("Entity-"), "h", F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise("")).alias("pseudonym"))
 
 
-def anonymise(texts: DataFrame, key: list[str], mapping: DataFrame, factor: str) -> DataFrame:
-    """Names replaced by pseudonyms, money scaled, token by token, with hit counts.
+# Money as it is written in notes (fixed value).
+MONEY = r"CNY\s*[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
+NAME_EDGE = r"[^\p{L}\p{N}]"
 
-    Tokens meet the name table in an equi join, so the table may be of any size.
+
+def _scaled_money(text: Column, factor: str) -> tuple[Column, Column]:
+    """Text with every amount scaled, grouped where it was grouped, and how many there were."""
+    found = F.regexp_extract_all(text, F.lit(f"({MONEY})"), F.lit(1))
+
+    def scaled(m):
+        n = (F.regexp_replace(m, "[^0-9.]", "").cast("decimal(20,2)") * F.lit(factor).cast("decimal(6,3)")).cast("decimal(24,2)")
+        return F.concat(F.lit("CNY"), F.when(F.contains(m, F.lit(",")), F.format_number(n, 2)).otherwise(n.cast("string")))
+
+    pieces = F.arrays_zip(F.split(text, MONEY).alias("p"), F.transform(found, scaled).alias("m"))
+    return F.array_join(F.transform(pieces, lambda z: F.concat(z["p"], F.coalesce(z["m"], F.lit("")))), ""), F.size(found)
+
+
+def anonymise(texts: DataFrame, key: list[str], mapping: DataFrame, factor: str, redacted: tuple[str, ...] = ()) -> DataFrame:
+    """Names replaced by pseudonyms, money scaled, phrases of ``redacted`` blanked, with hit counts.
+
+    A name is one or more words and stands between characters that are neither letters
+    nor digits, so brackets and punctuation do not hide it. Longer names go first: what
+    a longer one took, a shorter one inside it cannot. Runs of words as long as the
+    longest name meet the name table in an equi join, so the table may be of any size; a
+    text's own few hits are then applied in its row.
     """
-    tok = texts.select(*key, F.posexplode(F.split("text", " ")).alias("pos", "token"))
-    core = F.regexp_extract("token", r"^(.*?)([.,;]?)$", 1)
-    tail = F.regexp_extract("token", r"^(.*?)([.,;]?)$", 2)
-    t = tok.withColumn("core", core).withColumn("tail", tail)
-    money = F.regexp_extract("core", r"^CNY([0-9]+(?:\.[0-9]+)?)$", 1)
-    scaled = (money.try_cast("decimal(20,2)") * F.lit(factor).cast("decimal(6,3)")).cast("decimal(24,2)")
-    j = t.join(mapping.select(F.col("name").alias("core"), "pseudonym"), "core", "left")
-    out = F.coalesce("pseudonym", F.when(money != "", F.concat(F.lit("CNY"), scaled.cast("string"))), "core")
-    j = j.select(*key, "pos", F.concat(out, "tail").alias("out"), F.col("pseudonym").isNotNull().alias("hit"), (money != "").alias("paid"))
-    return j.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), " ").alias("text"),
-                               F.count_if("hit").alias("names"), F.count_if("paid").alias("amounts"))
+    gram_words = F.split(F.trim(F.regexp_replace("name", NAME_EDGE + "+", " ")), " ")
+    names = mapping.select("name", "pseudonym", F.array_join(gram_words, " ").alias("gram"), F.size(gram_words).alias("n"))
+    longest, shortest = names.agg(F.max("n"), F.min(F.length("gram"))).first()
+    words = F.split(F.trim(F.regexp_replace("text", NAME_EDGE + "+", " ")), " ")
+    x = texts.select(*key, F.explode_outer(F.array(words)).alias("w"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest or 1)), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))))
+    x = x.select(*key, F.explode_outer(F.array_distinct(grams)).alias("gram")).where(F.length("gram") >= (shortest or 1))
+    hits = x.join(names, "gram").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("o"), "name", "pseudonym"))).alias("hits"))
+    start = F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))
+
+    def apply(acc, h):
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), h["name"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        return F.struct(F.regexp_replace(acc["text"], pattern, h["pseudonym"]).alias("text"), (acc["n"] + F.regexp_count(acc["text"], pattern)).alias("n"))
+
+    none = F.array().cast("array<struct<o:int,name:string,pseudonym:string>>")
+    done = F.aggregate(F.coalesce("hits", none), start, apply)
+    y = texts.join(hits, key, "left").select(*key, F.explode_outer(F.array(done)).alias("d"))
+    text = F.col("d.text")
+    for phrase in redacted:
+        text = F.regexp_replace(text, phrase, "[redacted]")
+    y = y.select(*key, F.explode_outer(F.array(text)).alias("text"), F.col("d.n").alias("names"))
+    out, amounts = _scaled_money(F.col("text"), factor)
+    return y.select(*key, out.alias("text"), "names", amounts.alias("amounts"))
 
 
 def style_profile(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -134,11 +168,11 @@ def number_of(c: str) -> Column:
 
 
 def contract_fixups(rows: DataFrame) -> DataFrame:
-    """Unit rates where a total was read as one; bare month counts; ``不适用`` where nothing was granted."""
+    """Unit rates where a total was read as one; bare month counts. Whole numbers are written without a point."""
     ad, ae, af = number_of("day_rent"), number_of("day_fee"), number_of("day_total")
     wrong = (ad < 10) & (ae < 10) & (af.isNull() | (af > 10))
     months = F.regexp_extract(F.trim("free_months"), r"^(?:约|大約|大约)?\s*([0-9]+(?:\.[0-9]+)?)\s*个?月?$", 1)
-    return rows.withColumn("day_total", F.when(wrong, F.round(ad + ae, 6).cast("string")).otherwise(F.col("day_total"))).withColumn(
+    return rows.withColumn("day_total", F.when(wrong, F.regexp_replace(F.round(ad + ae, 6).cast("string"), r"\.0$", "")).otherwise(F.col("day_total"))).withColumn(
         "free_months", F.when(months != "", months).otherwise(F.col("free_months")))
 
 
@@ -178,7 +212,7 @@ def resolve_columns(rows: DataFrame, key: str, header: DataFrame, default: str =
     x = rows.select(key, F.explode("fields").alias("name", "value")).join(dim, "name")
     got = x.groupBy(key, "letter").agg(F.min_by("value", "tier").alias("value"))
     wide = got.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("letter", "value"))).alias("m"))
-    letters = [r.letter for r in header.select("letter").limit(64).collect()]  # the ledger has 32 fixed columns
+    letters = [r.letter for r in header.select("letter").distinct().collect()]  # the ledger's own columns: they become columns of the result
     m = rows.select(key).join(wide, key, "left")
     return m.select(key, *[F.coalesce(F.try_element_at("m", F.lit(n)), F.lit(default)).alias(n) for n in sorted(letters)])
 

@@ -148,8 +148,8 @@ def _(t):
     return verdicts_of(t)
 
 
-@query("defective_clauses", "WITH " + CL[1:] + AM + POOL + GROUND + VERDICT + f"""SELECT {KEYS}, string_agg(concat('- "', substr(clause, 1, 120), '"'), chr(10) ORDER BY clause_no) FILTER (k <= 5) AS feedback
-FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY clause_no) AS k FROM vd WHERE NOT supported AND category = 'hallucination') GROUP BY {KEYS}""")
+@query("defective_clauses", "WITH " + CL[1:] + AM + POOL + GROUND + VERDICT + f"""SELECT {KEYS}, string_agg(concat('- "', clause, '"'), chr(10) ORDER BY clause_no) FILTER (k <= 5) AS feedback
+FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY clause_no) AS k FROM (SELECT *, bool_or(category = 'hallucination') OVER (PARTITION BY {KEYS}) AS w FROM vd WHERE NOT supported) WHERE category = 'hallucination' OR NOT w) GROUP BY {KEYS}""")
 def _(t):
     return C.defective(verdicts_of(t))[1]
 

@@ -110,6 +110,8 @@ def _(t):
 
 @query("seq_ratio")
 def _(t):
-    """Similarity of neighbouring sheet labels within a workbook, on distinct label pairs."""
-    pairs = t.sheet_label.join(aliases(t), F.contains("sheet_name", F.substring_index(F.lower("alias"), " ", -1))).select("sheet_name", "alias").distinct()
+    """Similarity of distinct sheet labels and aliases whose last word the label has."""
+    labels = t.sheet_label.select("sheet_name").distinct().select("sheet_name", F.explode(F.array_distinct(F.split("sheet_name", "[^A-Za-z0-9]+"))).alias("word"))
+    last = aliases(t).select("alias", F.substring_index(F.lower("alias"), " ", -1).alias("word")).distinct()
+    pairs = labels.join(last, "word").select("sheet_name", "alias").distinct()
     return pairs.withColumn("ratio", F.round(seq_ratio("sheet_name", "alias"), 6))

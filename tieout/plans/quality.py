@@ -43,14 +43,21 @@ def _(t):
     return Q.verify_sums(t.detail_line, ["entity_id", "account", "yr"], "1.3700")
 
 
-@query("anonymise", """WITH s AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, s.s_name, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('Paid Entity-', upper(substr(md5(s_name), 1, 8)), ', amount CNY', CAST(CAST(v * 1.370 AS DECIMAL(24,2)) AS VARCHAR), ' in full.') AS text, 1 AS names, 1 AS amounts FROM s""")
+NAME_FORMS = ("{}", "{} Trading", "{} Trading Ltd")
+
+
+@query("anonymise", """WITH s AS (SELECT l.*, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS v, s.s_name || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN ' Trading' ELSE ' Trading Ltd' END AS name, s.s_name FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('Paid Entity-', upper(substr(md5(name), 1, 8)), ', amount CNY', CASE WHEN v >= 1000 THEN format('{:,.2f}', CAST(CAST(v * 1.370 AS DECIMAL(24,2)) AS DOUBLE)) ELSE CAST(CAST(v * 1.370 AS DECIMAL(24,2)) AS VARCHAR) END, ' in full (Entity-', upper(substr(md5(s_name), 1, 8)), '); fee CNY',
+  CAST(CAST(CAST(l_tax AS DECIMAL(18,2)) * 1.370 AS DECIMAL(24,2)) AS VARCHAR), '. [redacted] reviewed.') AS text, 2 AS names, 2 AS amounts FROM s""")
 def _(t):
-    """Payment notes that name the supplier."""
-    s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name"))
-    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("v")).join(s, "l_suppkey")
-    x = x.withColumn("text", F.concat(F.lit("Paid "), "name", F.lit(", amount CNY"), F.col("v").cast("string"), F.lit(" in full.")))
-    return Q.anonymise(x, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], Q.name_map(s), "1.370")
+    """Payment notes with names of one to three words, each the start of the next, in brackets and before commas."""
+    s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    forms = F.explode(F.array(*[F.format_string(f.format("%s"), F.col("s_name")) for f in NAME_FORMS])).alias("name")
+    m = F.col("l_linenumber") % 3
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("v"), F.col("l_tax").cast("decimal(18,2)").alias("f")).join(s, "l_suppkey")
+    x = x.withColumn("text", F.concat(F.lit("Paid "), "s_name", F.when(m == 0, "").when(m == 1, " Trading").otherwise(" Trading Ltd"), F.lit(", amount CNY"), F.format_number("v", 2),
+                                      F.lit(" in full ("), "s_name", F.lit("); fee CNY"), F.col("f").cast("string"), F.lit(". J. Doe reviewed.")))
+    return Q.anonymise(x, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], Q.name_map(s.select(forms)), "1.370", (r"J\. Doe",))
 
 
 @query("style_profile", """SELECT account, count(*) AS texts, min(length(text)) AS shortest, median(length(text)) AS median, max(length(text)) AS longest, sum(len(regexp_extract_all(text, '(?:CNY|人民币)\\s*[0-9]'))) AS prefixed,
@@ -77,10 +84,10 @@ def _(t):
 
 @query("table_json")
 def _(t):
-    """JSON documents per account, at most 10,000 sheet rows each: fields, rows, currency and scale note."""
+    """JSON documents per account and year: fields, rows, currency and scale note. What grows with the data is their number."""
     row = F.struct("row_idx", "description", F.date_format("period_end", "yyyy-MM-dd").alias("period"), F.col("amount").cast("string").alias("amount"))
-    d = t.detail_line.groupBy("entity_id", "account", F.floor(F.col("row_idx") / 10000).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return d.select("entity_id", "account", "part", F.to_json(F.struct(F.array(F.lit("description"), F.lit("period"), F.lit("amount")).alias("fields"), "rows",
+    d = t.detail_line.groupBy("entity_id", "account", "yr").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return d.select("entity_id", "account", "yr", F.to_json(F.struct(F.array(F.lit("description"), F.lit("period"), F.lit("amount")).alias("fields"), "rows",
                                                             F.lit("CNY").alias("currency"), F.lit("thousand").alias("scale"))).alias("document"))
 
 
@@ -91,7 +98,7 @@ def _(t):
     return t.contract_row.withColumn("filled", said).where("filled >= 7").select("contract_id", "source_file", "pass", "filled")
 
 
-@query("contract_fixups", """SELECT contract_id, pass, project, industry, source_file, rent_total, '3' AS free_months, day_rent, day_fee, '1.1' AS day_total FROM contract_row""")
+@query("contract_fixups", """SELECT contract_id, pass, project, industry, source_file, rent_total, regexp_extract(free_months, '([0-9.]+)', 1) AS free_months, day_rent, day_fee, regexp_replace(CAST(round(CAST(day_rent AS DOUBLE) + CAST(day_fee AS DOUBLE), 6) AS VARCHAR), '[.]0$', '') AS day_total FROM contract_row""")
 def _(t):
     return Q.contract_fixups(t.contract_row)
 

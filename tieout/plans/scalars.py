@@ -127,7 +127,7 @@ def _(t):
 @query("rate_context", """WITH x AS (SELECT entity_id, phase, yr, mo, regexp_extract_all(text, 'CNY([0-9.]*[0-9])', 1) AS a FROM rate_text)
 SELECT entity_id, phase, yr, mo, n.n AS number_no, CAST(a[n.n + 1] AS DECIMAL(22,4)) AS value, n.n < 2 AS is_rate FROM x, (VALUES (0), (1), (2)) n(n)""")
 def _(t):
-    pattern = P.CURRENCY + r"\s*([0-9][0-9,]*(?:\.[0-9]+)?)(?=([\s\S]{0,60}))"
+    pattern = P.CURRENCY + r"\s*([0-9][0-9,]*(?:\.[0-9]+)?)(?=([\s\S]*))"
     z = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("v"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("w"))
     cut = F.regexp_replace("z.w", r"(\.(?![0-9])|[。\n])[\s\S]*$", "$1")
     rate = r"(?i)per\s+(?:square|sq\.?|sqm|sq\s*m)\s*(?:metre|meter|m\b)?|/\s*(?:sq\.?\s*m|sqm)|psm\b"

@@ -35,14 +35,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], buckets: int = 16) -> None:
+def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_task: int = 1_000_000) -> None:
     """Parquet partitioned by low-cardinality columns.
 
-    Rows are spread over ``buckets`` tasks per partition value, so that one
-    value holding most rows still writes in parallel and leaves few files.
+    Each partition value is spread over as many tasks as its rows need, counted first, so
+    that one value holding most rows still writes in parallel and a small one leaves one file.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(buckets))
-    df.repartition(*by, salt).write.mode("overwrite").partitionBy(*by).parquet(path)
+    sizes = cut_lineage(df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("_tasks")), "partition-sizes")
+    salted = df.join(sizes, by).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.col("_tasks")))
+    salted.repartition(*by, "_salt").drop("_tasks", "_salt").write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 _LANDED: dict[tuple[str, str, str], str] = {}
