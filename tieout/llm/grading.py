@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tieout.llm.common import fit_share, per_block, word_hashes
 
-BITS, FIT_ROWS, STEPS, DECAY, SELECT = 16, 6000, 150, 1e-4, 0.5
+BITS, FIT_ROWS, STEPS, DECAY, SELECT = 16, 6000, 150, 1e-3, 0.5
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
