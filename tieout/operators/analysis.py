@@ -249,14 +249,27 @@ def visible_rows(lines: DataFrame, visible: DataFrame, components: DataFrame) ->
 
 # ---- reshapes and statements --------------------------------------------
 
-def period_matrix(lines: DataFrame, years: list[int]) -> DataFrame:
-    """One row per line, one column per year (explicit list: no extra job to find them)."""
-    wide = lines.groupBy("entity_id", "account", "description").pivot("yr", years).agg(F.first("amount"))
-    return wide.select("entity_id", "account", "description", *[F.col(str(y)).alias(f"fy{y}") for y in years])
-
-
-def unpivot_periods(wide: DataFrame, ids: list[str], years: list[int]) -> DataFrame:
-    return wide.unpivot(ids, [f"fy{y}" for y in years], "period", "amount").where("amount IS NOT NULL")
+def years_of(lines: DataFrame) -> list[int]:
+    """The years that lines have, in order; each becomes a column."""
+    return sorted(r.yr for r in lines.where("yr IS NOT NULL").select("yr").distinct().collect())
+
+
+def period_matrix(lines: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """One row per line, one column per year: those named, or all that the lines have."""
+    years = years_of(lines) if years is None else years
+    ids = ["entity_id", "account", "description"]
+    if not years:
+        return lines.select(*ids).distinct()
+    wide = lines.groupBy(*ids).pivot("yr", years).agg(F.first("amount", ignorenulls=True))
+    return wide.select(*ids, *[F.col(str(y)).alias(f"fy{y}") for y in years])
+
+
+def unpivot_periods(wide: DataFrame, ids: list[str]) -> DataFrame:
+    """Long lines from all period columns: every column but ``ids``. A matrix without periods has no lines."""
+    periods = [c for c in wide.columns if c not in ids]
+    if not periods:
+        return wide.select(*ids, F.lit("").alias("period"), F.lit(0).cast("decimal(20,2)").alias("amount")).where(F.lit(False))
+    return wide.unpivot(ids, periods, "period", "amount").where("amount IS NOT NULL")
 
 
 def synthesise_statement(totals: DataFrame, chart: DataFrame, grand_totals: dict[str, tuple[str, ...]]) -> DataFrame:

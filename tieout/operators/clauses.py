@@ -287,13 +287,13 @@ def claim_grounding(texts: DataFrame, remarks: DataFrame) -> DataFrame:
 
 
 def remark_reach(remarks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Whether a third of a remark's distinctive tokens show up in the account's text of that year."""
+    """Whether a third of a remark's distinctive tokens show up in the account's texts of that year, attempt by attempt."""
     toks = F.array_distinct(F.regexp_extract_all("note", F.lit("([一-鿿]{2,}|[A-Za-z]{4,})"), F.lit(1)))
     r = remarks.select("entity_id", "account", "yr", "source", "note").withColumn("tokens", toks)
-    j = r.join(texts.select("entity_id", "account", "yr", "text"), ["entity_id", "account", "yr"])
+    j = r.join(texts.select(*ATTEMPT, "text"), ["entity_id", "account", "yr"])
     hits = F.size(F.filter("tokens", lambda t: F.contains(F.col("text"), t)))
     n = F.size("tokens")
-    return j.select("entity_id", "account", "yr", "source", "note", n.alias("tokens"), hits.alias("hits"),
+    return j.select(*ATTEMPT, "source", "note", n.alias("tokens"), hits.alias("hits"),
                     ((n > 0) & (hits >= F.greatest(F.lit(1), F.floor(n / 3)))).alias("reached"))
 
 

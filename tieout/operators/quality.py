@@ -201,6 +201,26 @@ def merge_reviews(base: DataFrame, review: DataFrame, key: str, fields: list[str
     return j.select(key, *[new[f].alias(f) for f in fields], changed.alias("changes"))
 
 
+def merge_payments(base: DataFrame, review: DataFrame, keys: list[str], parts: tuple[str, ...] = ("rent", "mgmt_fee"),
+                   extra: tuple[str, ...] = ("other",), total: str = "total", slack: str = "0.02") -> DataFrame:
+    """Reviewed amounts overlay the row's own where they say something and never erase.
+
+    A review that breaks a sum which held is not taken where the row has amounts of its
+    own (``rejected``). Rows that one side alone has stay as they are; null amounts say nothing.
+    """
+    amounts = [*parts, *extra, total]
+    j = base.select(*keys, *amounts).join(review.select(*keys, *[F.col(c).alias(f"r_{c}") for c in amounts]), keys, "full_outer")
+    taken = {c: F.coalesce(f"r_{c}", c) for c in amounts}
+
+    def holds(value):
+        added = sum((value(c) for c in parts[1:]), value(parts[0]))
+        added = sum((F.coalesce(value(c), F.lit(0)) for c in extra), added)
+        return F.abs(added - value(total)) <= F.lit(slack).cast("decimal(4,2)")
+
+    broken = F.coalesce(holds(F.col), F.lit(False)) & ~F.coalesce(holds(taken.get), F.lit(True))
+    return j.select(*keys, *[F.when(broken, F.coalesce(c, f"r_{c}")).otherwise(taken[c]).alias(c) for c in amounts], broken.alias("rejected"))
+
+
 def resolve_columns(rows: DataFrame, key: str, header: DataFrame, default: str = MISSING[0]) -> DataFrame:
     """Free field names (letter, header, header without blanks) to ledger columns; missing ones get the default.
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tieout.operators import analysis as A
 from tieout.plans.registry import query
 
-YEARS = list(range(1995, 2003))
 IS_ACCOUNTS = ["STANDARD", "LARGE", "PROMO", "ECONOMY"]
 IS_SQL = "('STANDARD', 'LARGE', 'PROMO', 'ECONOMY')"
 KIND = """CASE WHEN starts_with(lower(description), 'of which') THEN 'breakdown' WHEN contains(lower(description), 'total') THEN 'total'
@@ -141,27 +140,34 @@ def _(t):
     return A.drop_zero_periods(t.statement_full)
 
 
-@query("visible_rows", """WITH vis AS (SELECT DISTINCT entity_id, account, description FROM detail_line WHERE yr = 2002 AND """ + KIND + """ <> 'breakdown'),
+# Lines of each account's latest year.
+LATEST = "(SELECT * FROM detail_line SEMI JOIN (SELECT entity_id, account, max(yr) AS yr FROM detail_line GROUP BY ALL) USING (entity_id, account, yr))"
+
+
+def at_latest(t):
+    last = t.detail_line.groupBy("entity_id", "account").agg(F.max("yr").alias("yr"))
+    return t.detail_line.join(last, ["entity_id", "account", "yr"], "left_semi")
+
+
+@query("visible_rows", """WITH vis AS (SELECT DISTINCT entity_id, account, description FROM """ + LATEST + """ WHERE """ + KIND + """ <> 'breakdown'),
 com AS (SELECT DISTINCT entity_id, account, description FROM detail_line WHERE """ + KIND + """ = 'breakdown'),
 k AS (SELECT d.* FROM detail_line d SEMI JOIN (SELECT * FROM vis UNION SELECT * FROM com) w USING (entity_id, account, description))
 SELECT * FROM k UNION ALL SELECT d.* FROM detail_line d ANTI JOIN k USING (entity_id, account)""")
 def _(t):
     d = t.detail_line
     kind = A.row_type(F.col("description"))
-    return A.visible_rows(d, d.where("yr = 2002").where(kind != "breakdown"), d.where(kind == "breakdown"))
-
-
-WIDE = ", ".join(f"max(amount) FILTER (yr = {y}) AS fy{y}" for y in YEARS)
+    return A.visible_rows(d, at_latest(t).where(kind != "breakdown"), d.where(kind == "breakdown"))
 
 
-@query("period_matrix", f"SELECT entity_id, account, description, {WIDE} FROM detail_line GROUP BY ALL")
+@query("period_matrix", """WITH m AS (SELECT entity_id, account, description, concat('fy', yr) AS fy, amount FROM detail_line)
+SELECT * FROM (PIVOT m ON fy USING max(amount) GROUP BY entity_id, account, description)""")
 def _(t):
-    return A.period_matrix(t.detail_line, YEARS)
+    return A.period_matrix(t.detail_line)
 
 
 @query("unpivot_periods", "SELECT entity_id, account, description, concat('fy', yr) AS period, amount FROM detail_line")
 def _(t):
-    return A.unpivot_periods(A.period_matrix(t.detail_line, YEARS), ["entity_id", "account", "description"], YEARS)
+    return A.unpivot_periods(A.period_matrix(t.detail_line), ["entity_id", "account", "description"])
 
 
 GRAND = {"Total assets": ("Current assets", "Non-current assets"), "Total equity": ("Equity",)}
@@ -244,7 +250,8 @@ def _(t):
     return A.composition_insight(t.detail_line)
 
 
-@query("revenue_ratios", """WITH s AS (SELECT * FROM schedule_line WHERE yr < 2002),
+@query("revenue_ratios", "WITH " + TAIL + """,
+s AS (SELECT * FROM schedule_line ANTI JOIN (SELECT entity_id, period_end FROM py WHERE account = 'STANDARD' AND months < 12) USING (entity_id, period_end)),
 r AS (SELECT entity_id, period_end, amount, row_number() OVER (PARTITION BY entity_id ORDER BY period_end DESC) AS k FROM s WHERE account = 'STANDARD'),
 p AS (SELECT n.entity_id, n.period_end AS now, n.amount AS rev, b.period_end AS bef, b.amount AS brev FROM r n JOIN r b ON b.entity_id = n.entity_id AND n.k = 1 AND b.k = 2 WHERE n.amount > 0),
 x AS (SELECT s.entity_id, s.account, a.mapping_key, a.statement_type, rev, brev, sum(s.amount) FILTER (s.period_end = now) AS own, sum(s.amount) FILTER (s.period_end = bef) AS own_prev
@@ -256,7 +263,9 @@ SELECT entity_id, account, CASE WHEN recv THEN 'days_of_revenue' ELSE 'share_of_
   CASE WHEN NOT recv AND abs(share - pshare) >= greatest(2.0, pshare * 0.2) THEN CASE WHEN share > pshare THEN 'rose' ELSE 'fell' END END AS movement
 FROM y WHERE (recv AND days > 0 AND days < 1095) OR (statement_type = 'IS' AND share BETWEEN 0.5 AND 500)""")
 def _(t):
-    return A.revenue_ratios(t.schedule_line.where("yr < 2002"), t.account_alias, "STANDARD", ["AR"])
+    """Full periods only: an entity's part year of revenue is left out."""
+    part = A.part_year(t.detail_line.where("account = 'STANDARD'")).select("entity_id", "period_end")
+    return A.revenue_ratios(t.schedule_line.join(part, ["entity_id", "period_end"], "left_anti"), t.account_alias, "STANDARD", ["AR"])
 
 
 @query("topn_other", "WITH " + TWO + """, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, account ORDER BY abs(curr) DESC, row_idx) AS k, count(*) OVER (PARTITION BY entity_id, account) AS items FROM cc WHERE curr <> 0)
@@ -304,7 +313,7 @@ def _(t):
     return t.detail_line.select("entity_id", "account", "description", "period_end", shown.alias("shown"))
 
 
-@query("table_budget", """WITH c AS (SELECT entity_id, account, count(DISTINCT description) FILTER (row_idx <> 7 AND abs(amount) > 150000) AS components FROM detail_line WHERE yr = 2002 GROUP BY ALL),
+@query("table_budget", """WITH c AS (SELECT entity_id, account, count(DISTINCT description) FILTER (row_idx <> 7 AND abs(amount) > 150000) AS components FROM """ + LATEST + """ GROUP BY ALL),
 o AS (SELECT c.*, a.mapping_key, a.statement_type, row_number() OVER (PARTITION BY c.entity_id ORDER BY CASE statement_type WHEN 'BS' THEN 0 WHEN 'IS' THEN 1 ELSE 2 END, coalesce(line_no, 9999), c.account) AS position
   FROM c LEFT JOIN account_alias a ON a.tab_name = c.account),
 k AS (SELECT *, row_number() OVER (PARTITION BY entity_id, components >= 3 ORDER BY CASE statement_type WHEN 'IS' THEN 0 WHEN 'BS' THEN 1 ELSE 2 END,
@@ -314,7 +323,7 @@ SELECT entity_id, account, components, CASE WHEN components < 3 THEN 'too few co
 def _(t):
     from tieout.operators.reconcile import report_order
     shown = (F.col("row_idx") != 7) & (F.abs("amount") > 150000)
-    c = t.detail_line.where("yr = 2002").groupBy("entity_id", "account").agg(
+    c = at_latest(t).groupBy("entity_id", "account").agg(
         F.count_distinct(F.when(shown, F.col("description"))).alias("components"))
     order = report_order(c.select("entity_id", "account"), t.account_alias)
     return A.table_budget(c.join(order, ["entity_id", "account"]))

@@ -80,6 +80,23 @@ def _(t):
     return S.drain_append(S.stage_windows(log_stream(t)), "stage-windows")
 
 
+CLOSED = "WHERE window_end <= (SELECT max(ts) FROM run_log) - INTERVAL 1 DAY"
+
+
+@query("stream_sliding_stats", """WITH e AS (SELECT r.*, date_trunc('hour', ts) - o.o * INTERVAL 1 HOUR AS window_start FROM run_log r, (VALUES (0), (1)) o(o)),
+w AS (SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, stage, count(*) AS items, count(*) FILTER (ok = 0) AS failures,
+ CAST(sum(duration_s) AS DECIMAL(20,2)) AS seconds, CAST(sum(completion_tokens) AS BIGINT) AS tokens FROM e GROUP BY ALL) SELECT * FROM w """ + CLOSED)
+def _(t):
+    return S.drain_append(S.stage_windows(log_stream(t), "sliding"), "sliding-windows")
+
+
+@query("stream_session_stats", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY stage ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM run_log),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY stage ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+w AS (SELECT min(ts) AS window_start, max(ts) + INTERVAL 10 MINUTE AS window_end, stage, count(*) AS items FROM h GROUP BY stage, k) SELECT * FROM w """ + CLOSED)
+def _(t):
+    return S.drain_append(S.stage_windows(log_stream(t), "session"), "session-windows")
+
+
 @query("stream_breaker", """WITH x AS (SELECT *, sum(ok) OVER (PARTITION BY stage ORDER BY event_id) AS g FROM run_log),
 y AS (SELECT stage, event_id, row_number() OVER (PARTITION BY stage, g ORDER BY event_id) AS failures FROM x WHERE ok = 0)
 SELECT stage, event_id, failures FROM y WHERE failures = 4""")

@@ -149,7 +149,7 @@ def _(t):
 
 @query("english_style")
 def _(t):
-    text = F.concat(F.regexp_replace("text", "余额合计为.*$", ""), F.lit("Fees were CNY 78.2K. Rent was CNY0.0 million, remained relatively stable. The <ENTITY NAME> item."))
+    text = F.concat("text", F.lit(" Fees were CNY 78.2K of CNY7.96 million. Rent was CNY0.0 million, remained relatively stable. The <ENTITY NAME> item."))
     return t.commentary_gen.select("entity_id", "account", "yr", "attempt", K.english_style(text).alias("text"))
 
 
