@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieout.functions import blocks, cleanup, dates, labels, numbers, prose
-from tieout.operators import bridge, clauses, hierarchy, matching
+from tieout.operators import analysis, bridge, clauses, hierarchy, matching, quality
 
 
 def one(spark, expr, **cols):
@@ -57,6 +57,8 @@ def test_dates_and_labels(spark):
 def test_style_rules(spark):
     t = F.lit("The balance as at 2024-03-01 was CNY 78.2K, remained relatively stable. Fees were CNY0.0 million in FY24. The <NAME> left.")
     assert one(spark, cleanup.english_style(t)) == "the balance as at 1 March 2024 was CNY78,200. Fees were nil in FY24."
+    t = F.lit("The accumulated reserve fund was CNY7.96 million, CNY-12.340 million before and CNY3.5 million in FY22.")
+    assert one(spark, cleanup.english_style(t)) == "the accumulated reserve fund was CNY8.0 million, CNY-12.3 million before and CNY3.5 million in FY22."
     assert one(spark, cleanup.house_style(F.lit("余额为0元。调整-12.5万元"), F.lit("BS"))) == "无余额。调整负12.5万元"
     assert one(spark, cleanup.house_style(F.lit("分别为0元、1.8万元"), F.lit("IS"))) == "分别为0元、1.8万元"
     assert one(spark, cleanup.clean_output(F.lit('<think>x</think>Verified output: "ok"'))) == "ok"
@@ -151,3 +153,22 @@ def test_composition_findings(spark):
     df = spark.createDataFrame(rows, "entity_id long, account string, yr int, text string")
     got = {r.entity_id: r.finding for r in clauses.composition_check(df).collect()}
     assert got == {1: "adds up", 2: "unit error 10x", 3: "adds up", 4: "shortfall"}
+
+
+def test_period_columns_come_from_the_data(spark):
+    schema = "entity_id long, account string, description string, yr int, amount decimal(20,2)"
+    rows = spark.sql("SELECT 1L AS entity_id, 'a' AS account, 'x' AS description, yr, CAST(yr AS decimal(20,2)) AS amount FROM VALUES (1987), (2031) v(yr)")
+    wide = analysis.period_matrix(rows)
+    ids = ["entity_id", "account", "description"]
+    assert wide.columns == [*ids, "fy1987", "fy2031"]
+    assert {(r.period, int(r.amount)) for r in analysis.unpivot_periods(wide, ids).collect()} == {("fy1987", 1987), ("fy2031", 2031)}
+    none = analysis.period_matrix(spark.createDataFrame([], schema))
+    assert none.columns == ids and analysis.unpivot_periods(none, ids).count() == 0
+
+
+def test_a_review_keeps_sums_that_held(spark):
+    table = lambda v: spark.sql(f"SELECT CAST(c1 AS bigint) AS k, {', '.join(f'CAST(c{i} AS decimal(18,2)) AS {n}' for i, n in ((2, 'rent'), (3, 'mgmt_fee'), (4, 'other'), (5, 'total')))} FROM VALUES {v} v(c1, c2, c3, c4, c5)")
+    base = table("(1, 10, 2, NULL, 12), (2, 10, 2, NULL, 15), (3, 10, 2, NULL, 12), (4, 1, 1, 1, 3)")
+    review = table("(1, 11, NULL, NULL, NULL), (2, NULL, NULL, 3, NULL), (3, 11, NULL, NULL, 13), (5, 7, 1, NULL, 8)")
+    got = {r.k: (*[None if x is None else int(x) for x in (r.rent, r.mgmt_fee, r.other, r.total)], r.rejected) for r in quality.merge_payments(base, review, ["k"]).collect()}
+    assert got == {1: (10, 2, None, 12, True), 2: (10, 2, 3, 15, False), 3: (11, 2, None, 13, False), 4: (1, 1, 1, 3, False), 5: (7, 1, None, 8, False)}
