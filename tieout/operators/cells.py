@@ -9,6 +9,8 @@ first rows, the limit is a parameter; None, the default, is the whole sheet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +43,20 @@ def first_rows(most: int | None) -> Column:
     return F.lit(True) if most is None else F.col("row_idx") < most
 
 
-def typed(cells: DataFrame) -> DataFrame:
+def looks_dated(text: Column) -> Column:
+    return parse_date(text).isNotNull()
+
+
+def typed(cells: DataFrame, date_detector: Callable[[Column], Column] = looks_dated) -> DataFrame:
     """Non-blank cells with their number, strict date, stage, unit flag and loose date flag.
 
-    Everything below works on this table, so a cell's text is parsed once.
+    Everything below works on this table, so a cell's text is parsed once. ``date_detector``
+    says which texts count as dates when columns are judged.
     """
     t = F.col("cell_text")
     return cells.where(F.trim(F.coalesce(t, F.lit(""))) != "").select(
         *cells.columns, coerce_numeric(t, MONEY).alias("number"), parse_date(t, False).alias("date"),
-        stage_of(t).alias("stage"), has_thousand_marker(t).alias("unit"), parse_date(t).isNotNull().alias("dated"))
+        stage_of(t).alias("stage"), has_thousand_marker(t).alias("unit"), date_detector(t).alias("dated"))
 
 
 def used_range(cells: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,9 +147,18 @@ def keyword_hits(texts: DataFrame, key: str, words: dict[str, str], most: int =
 
 
 def digest(texts: DataFrame, key: str, budget: int) -> DataFrame:
-    """Extractive digest of each text: first sentences of all paragraphs, then all second ones, while they fit."""
+    """Extractive digest of each text, its paragraphs being the blocks."""
     blocks = F.filter(F.transform(F.split("text", "\n"), lambda b: F.trim(b)), lambda b: b != "")
-    x = texts.select(key, F.posexplode(blocks).alias("block", "b")).select(key, "block", F.posexplode(sentences(F.col("b"), F.lit(False))).alias("rank", "s"))
+    return digest_blocks(texts.select(key, F.posexplode(blocks).alias("block", "text")), [key], "block", budget)
+
+
+def digest_blocks(texts: DataFrame, keys: list[str], block: str, budget: int) -> DataFrame:
+    """Extractive digest per ``keys``: first sentences of all blocks, then all second ones, while they fit.
+
+    ``block`` orders the texts of a digest, such as the accounts of a page. The first
+    sentence always stands, one that does not fit is passed over.
+    """
+    x = texts.select(*keys, F.col(block).alias("block"), F.posexplode(sentences(F.col("text"), F.lit(False))).alias("rank", "s"))
     order = F.array_sort(F.collect_list(F.struct("rank", "block", "s")))
     kind = "struct<used:int,n:int,text:string>"
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit("").alias("text")).cast(kind)
@@ -158,7 +169,16 @@ def digest(texts: DataFrame, key: str, budget: int) -> DataFrame:
         return F.when(fits, F.struct((acc["used"] + cost).alias("used"), (acc["n"] + 1).alias("n"),
                                      F.when(acc["n"] > 0, F.concat(acc["text"], F.lit(" "), c["s"])).otherwise(c["s"]).alias("text"))).otherwise(acc).cast(kind)
 
-    return x.groupBy(key).agg(F.aggregate(order, start, take).alias("d")).select(key, F.col("d.n").alias("sentences"), F.col("d.text").alias("digest"))
+    return x.groupBy(*keys).agg(F.aggregate(order, start, take).alias("d")).select(*keys, F.col("d.n").alias("sentences"), F.col("d.text").alias("digest"))
+
+
+def table_json(lines: DataFrame, keys: list[str], text_normalizer: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """One JSON document per table: fields, rows, currency and scale note; ``text_normalizer`` rewrites descriptions."""
+    row = F.struct("row_idx", text_normalizer(F.col("description")).alias("description"), F.date_format("period_end", "yyyy-MM-dd").alias("period"),
+                   F.col("amount").cast("string").alias("amount"))
+    fields = F.array(F.lit("description"), F.lit("period"), F.lit("amount")).alias("fields")
+    d = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return d.select(*keys, F.to_json(F.struct(fields, "rows", F.lit("CNY").alias("currency"), F.lit("thousand").alias("scale"))).alias("document"))
 
 
 # ---- contract ledgers ------------------------------------------------------

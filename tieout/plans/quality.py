@@ -82,13 +82,33 @@ def _(t):
     return Q.digest(t.documents, "doc_id", 280)
 
 
-@query("table_json")
+@query("digest_accounts", r"""WITH p AS (SELECT entity_id, yr, attempt, account, string_split(regexp_replace(trim(text), '([.!?;])\s+', '\1␞', 'g'), '␞') AS s FROM commentary_gen),
+x AS (SELECT entity_id, yr, attempt, account, unnest(s) AS s, generate_subscripts(s, 1) AS rank FROM p),
+o AS (SELECT entity_id, yr, attempt, list({'used': CAST(length(s) AS BIGINT), 'n': CAST(1 AS BIGINT), 'text': s} ORDER BY rank, account, s) AS l FROM x WHERE s <> '' GROUP BY ALL),
+f AS (SELECT entity_id, yr, attempt, list_reduce(l, lambda a, c: CASE WHEN a.used + c.used + 1 <= 280 THEN {'used': a.used + c.used + 1, 'n': a.n + 1, 'text': a.text || ' ' || c.text} ELSE a END) AS f FROM o)
+SELECT entity_id, yr, attempt, f.n AS sentences, f.text AS digest FROM f""")
 def _(t):
-    """JSON documents per account and year: fields, rows, currency and scale note. What grows with the data is their number."""
-    row = F.struct("row_idx", "description", F.date_format("period_end", "yyyy-MM-dd").alias("period"), F.col("amount").cast("string").alias("amount"))
-    d = t.detail_line.groupBy("entity_id", "account", "yr").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    return d.select("entity_id", "account", "yr", F.to_json(F.struct(F.array(F.lit("description"), F.lit("period"), F.lit("amount")).alias("fields"), "rows",
-                                                            F.lit("CNY").alias("currency"), F.lit("thousand").alias("scale"))).alias("document"))
+    """One digest per entity, year and attempt, across the accounts."""
+    return Q.digest_blocks(t.commentary_gen, ["entity_id", "yr", "attempt"], "account", 280)
+
+
+def _json_oracle(description: str) -> str:
+    return f"""SELECT entity_id, account, yr, CAST(to_json({{'fields': ['description', 'period', 'amount'],
+  'rows': list({{'row_idx': row_idx, 'description': {description}, 'period': CAST(period_end AS VARCHAR), 'amount': CAST(amount AS VARCHAR)}}
+               ORDER BY row_idx, {description}, CAST(period_end AS VARCHAR), CAST(amount AS VARCHAR)),
+  'currency': 'CNY', 'scale': 'thousand'}}) AS VARCHAR) AS document FROM detail_line GROUP BY entity_id, account, yr"""
+
+
+@query("table_json", _json_oracle("description"))
+def _(t):
+    """JSON documents per account and year. What grows with the data is their number."""
+    return Q.table_json(t.detail_line, ["entity_id", "account", "yr"])
+
+
+@query("table_json_normalized", _json_oracle("upper(trim(description))"))
+def _(t):
+    """The same documents with descriptions rewritten by a caller's function."""
+    return Q.table_json(t.detail_line, ["entity_id", "account", "yr"], lambda text: F.upper(F.trim(text)))
 
 
 @query("ledger_reference_rows", """SELECT contract_id, source_file, pass, CAST((CASE WHEN rent_total <> '未提及' THEN 1 ELSE 0 END) + 6 AS INT) AS filled FROM contract_row WHERE pass = 2 OR rent_total <> '未提及'""")
