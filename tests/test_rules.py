@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieout.functions import blocks, cleanup, dates, labels, numbers, prose
-from tieout.operators import analysis, bridge, clauses, hierarchy, matching, quality
+from tieout.operators import analysis, bridge, cells, clauses, hierarchy, matching, quality
 
 
 def one(spark, expr, **cols):
@@ -172,3 +172,31 @@ def test_a_review_keeps_sums_that_held(spark):
     review = table("(1, 11, NULL, NULL, NULL), (2, NULL, NULL, 3, NULL), (3, 11, NULL, NULL, 13), (5, 7, 1, NULL, 8)")
     got = {r.k: (*[None if x is None else int(x) for x in (r.rent, r.mgmt_fee, r.other, r.total)], r.rejected) for r in quality.merge_payments(base, review, ["k"]).collect()}
     assert got == {1: (10, 2, None, 12, True), 2: (10, 2, 3, 15, False), 3: (11, 2, None, 13, False), 4: (1, 1, 1, 3, False), 5: (7, 1, None, 8, False)}
+
+
+def test_rollup_against_every_pair(spark):
+    rng = random.Random(5)
+    names = ["", "a", "ab", "north star", "northern star holdings", *("".join(rng.choices("abc ", k=rng.randint(1, 24))) for _ in range(60))]
+    entities, tabs = [(rng.randrange(3), n) for n in names], [(p, n) for p in range(3) for n in rng.sample(names, 6)]
+    form = lambda n: " ".join(n.split())
+    want = {}
+    for p, e in entities:
+        for q, s in tabs:
+            en, sn = form(e), form(s)
+            score = (0.9 if sn in en or en in sn else SequenceMatcher(None, en, sn).ratio()) + 0.05
+            if p == q and score >= 0.45:
+                want[p, e] = max(want.get((p, e), (0.0, "")), (score, s))
+    got = matching.rollup_match(spark.createDataFrame(entities, "portfolio int, entity string"), spark.createDataFrame(tabs, "portfolio int, sheet_name string"))
+    assert {(r.portfolio, r.entity): (r.score, r.sheet_name) for r in got.collect()} == {k: (round(v, 4), s) for k, (v, s) in want.items()}
+
+
+def test_digest_takes_first_sentences_of_all_accounts_first(spark):
+    rows = [(1, "a", "One. Two is far too long to be taken here. Six."), (1, "b", "Three. Four."), (1, "c", None), (2, "a", "A first sentence always stands. Next.")]
+    got = {r.page: (r.sentences, r.digest) for r in quality.digest_blocks(spark.createDataFrame(rows, "page int, account string, text string"), ["page"], "account", 22).collect()}
+    assert got == {1: (4, "One. Three. Four. Six."), 2: (1, "A first sentence always stands.")}
+
+
+def test_a_date_predicate_can_be_passed_in(spark):
+    t = spark.createDataFrame([("w", "s", 0, 0, "31/12/2023"), ("w", "s", 0, 1, "FY23A"), ("w", "s", 0, 2, "Cash")], "workbook_id string, sheet string, row_idx int, col_idx int, cell_text string")
+    dated = lambda df: {r.col_idx for r in df.where("dated").collect()}
+    assert 1 not in dated(cells.typed(t)) and dated(cells.typed(t, lambda x: F.rlike(x, F.lit("^FY[0-9]{2}")))) == {1}

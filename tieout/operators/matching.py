@@ -132,13 +132,15 @@ def rollup_match(entities: DataFrame, sheets: DataFrame) -> DataFrame:
     """Roll-up sheet per entity within its portfolio: containment .9, else similarity, +.05, from .45 on.
 
     ``sheets`` holds the few tabs of one roll-up workbook per portfolio; similarity runs on
-    distinct name pairs without containment only.
+    distinct name pairs without containment only, and only where their lengths let it reach
+    the floor: at most the shorter name's characters can be shared.
     """
     e = entities.withColumn("en", fuzzy_form(F.col("entity")))
     s = sheets.withColumn("sn", fuzzy_form(F.col("sheet_name")))
     j = e.join(s, "portfolio")
     inside = F.contains("en", F.col("sn")) | F.contains("sn", F.col("en"))
-    p = j.select("en", "sn").distinct().withColumn("score", F.when(inside, 0.9).otherwise(seq_ratio("en", "sn")) + 0.05)
+    reach = F.least(F.length("en"), F.length("sn")) * 5 >= F.length("en") + F.length("sn")  # a similarity of .4
+    p = j.select("en", "sn").distinct().where(inside | reach).withColumn("score", F.when(inside, 0.9).otherwise(seq_ratio("en", "sn")) + 0.05)
     best = j.join(p.where("score >= 0.45"), ["en", "sn"]).groupBy("portfolio", "entity").agg(
         F.max_by(F.struct("sheet_name", "score"), F.struct("score", "sheet_name")).alias("b"))
     return best.select("portfolio", "entity", "b.sheet_name", F.round("b.score", 4).alias("score"))
