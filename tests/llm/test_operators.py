@@ -358,3 +358,34 @@ def test_oracles(spark, name):
     cur = con.execute(reg.oracle_sql()[name])
     df = reg.queries()[name](spark, SF)
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in cur.description], cur.fetchall())
+
+
+# ---- near copies by Jaccard
+
+
+def plain_near_parts(texts):
+    """Components over all pairs whose sets of five words have a Jaccard similarity of at least 0.8."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    part = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = [new if p == old else p for p in part]
+    return part
+
+
+def test_near_dedup_finds_every_near_copy(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    parts = plain_near_parts([t for _, t in rows])
+    assert {r.doc_id for r in stages.near_dedup(spark, docs, SF).select("doc_id").collect()} == {rows[p][0] for p in parts}
+
+
+def test_texts_that_share_a_line_do_not_become_pairs(spark):
+    line = " ".join(f"line{i}" for i in range(60))
+    rows = [(i, f"{line} " + " ".join(f"own{i}x{k}" for k in range(45))) for i in range(120)] + [(500, f"{line} " + " ".join(f"own7x{k}" for k in range(44)))]
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i for i in range(120)} | {500: 7}

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.llm.common import NO_ID, blocks, cut_lineage, mixed, text_or_empty, word_hashes
@@ -178,15 +178,20 @@ def compared(docs: DataFrame, parts: int | None = None, perms: int = PERMS) -> D
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digest of the shingle set and one hash per band of its signature."""
+    """Digest and size of the shingle set, one hash per band of its signature and the low bit of every minimum."""
     fold = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(PERMS // BANDS)], np.uint64)
     for batch in batches:
         texts = [text_or_empty(t) for t in batch["text"]]
         for i, j in blocks(texts):
             h, at = shingle_hashes(texts[i:j])
-            bands = mixed(signatures(h, at).reshape(j - i, BANDS, -1).astype(np.uint64).dot(fold))
-            digest = [hashlib.sha256(np.unique(h[a:b]).tobytes()).digest()[:16] for a, b in zip(at, at[1:])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[i:j].astype("Int64").to_numpy(), "content": digest, "bands": list(bands.view(np.int64))}).astype({"doc_id": "Int64"})
+            sig = signatures(h, at)
+            bands = mixed(sig.reshape(j - i, BANDS, -1).astype(np.uint64).dot(fold))
+            low = np.packbits((sig & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+            sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
+            yield pd.DataFrame({
+                "_id": batch["_id"].iloc[i:j].to_numpy(), "doc_id": batch["doc_id"].iloc[i:j].astype("Int64").to_numpy(), "key": batch["key"].iloc[i:j].to_numpy(),
+                "content": [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets], "size": [len(x) for x in sets], "low": low[:, 0], "high": low[:, 1], "bands": list(bands.view(np.int64)),
+            }).astype({"doc_id": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,9 +199,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [text_or_empty(t) for t in batch["text"]]
         for i, j in blocks(texts):
             h, at = shingle_hashes(texts[i:j])
-            sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
-            rows = [(n, x.astype(np.int64)) for n, c, x in zip(batch["node"].iloc[i:j], batch["content"].iloc[i:j], sets) if hashlib.sha256(x.tobytes()).digest()[:16] == bytes(c)]
-            yield pd.DataFrame(rows, columns=["node", "shingles"])
+            yield pd.DataFrame({"node": batch["node"].iloc[i:j].to_numpy(), "shingles": [np.unique(h[a:b]).view(np.int32) for a, b in zip(at, at[1:])]})
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -207,30 +210,61 @@ def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return met.where((union == 0) | (both >= similar * union)).select("a", "b")
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id): near-duplicate classes, named by their least doc_id.
+def _may_be_alike(a: str, b: str, similar: float) -> Column:
+    """False where the sizes of two sets rule the similarity out, or the low bits of their minima do.
+
+    Of two sets that similar, each of PERMS bits differs with a chance of (1 - similar) / 2
+    at most; seven standard deviations more are let through (at 0.8 one pair in 10^8 is not).
+    """
+    p = (1 - similar) / 2
+    most = int(PERMS * p + 7 * (PERMS * p * (1 - p)) ** 0.5)
+    apart = F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low"))) + F.bit_count(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high")))
+    size = F.least(f"{a}.size", f"{b}.size") >= similar * F.greatest(f"{a}.size", f"{b}.size")
+    return size & (apart <= most)
+
+
+def text_key() -> Column:
+    """Tells the texts of one doc_id apart; a null text has a key of its own."""
+    return F.coalesce(F.md5("text"), F.lit(""))
+
+
+def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, doc_id, key, content) and the part that each content belongs to.
 
     Texts with one shingle set are one point. Points of one band value are candidates. In
     each such bucket all points meet its least one first; those not alike to it then meet
     every point of the bucket. What is left out are pairs of points that are both linked
     to the least one, so classes are those of all pairs, and a bucket of copies of any
-    size costs one comparison each. Pairs count if the Jaccard similarity of their
-    shingle sets is at least ``similar``. Null texts are empty, and alike.
+    size costs one comparison each. Points that only share a line do not become pairs:
+    sizes and low bits are compared where they meet. Pairs count if the Jaccard
+    similarity of their shingle sets is at least ``similar``. Null texts are empty, and alike.
     """
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "doc_id", "text")
-    rows = cut_lineage(base.select("doc_id", "text").mapInPandas(_signed, "doc_id bigint, content binary, bands array<bigint>"), "minhash")
-    points = cut_lineage(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("content")), "minhash-points")
-    banded = points.select("node", F.posexplode("bands").alias("band", "value"))
-    heads = cut_lineage(banded.groupBy("band", "value").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-heads")
+    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "doc_id", text_key().alias("key"), "text")
+    types = "_id bigint, doc_id bigint, key string, content binary, size int, low bigint, high bigint, bands array<bigint>"
+    rows = cut_lineage(base.mapInPandas(_signed, types), "minhash")
+    first = F.min(F.struct("_id", "key")).alias("first")
+    points = cut_lineage(rows.groupBy("content").agg(first, *[F.first(c).alias(c) for c in ("size", "low", "high", "bands")]).withColumn("node", F.xxhash64("content")), "minhash-points")
+    banded = points.select(F.struct("node", "size", "low", "high").alias("x"), F.posexplode("bands").alias("band", "value"))
+    heads = cut_lineage(banded.groupBy("band", "value").agg(F.min("x").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-heads")
     members = cut_lineage(banded.join(heads, ["band", "value"]), "minhash-members")
-    wanted = points.join(members.select("node").distinct(), "node").select(F.coalesce("least", F.lit(NO_ID)).alias("_id"), "node", "content")
-    sets = cut_lineage(base.join(wanted, "_id").select("text", "node", "content").mapInPandas(_sets, "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "minhash-sets")
-    stars = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    wanted = points.join(members.select("x.node").distinct(), "node").select("first._id", "first.key", "node")
+    sets = cut_lineage(base.join(wanted, ["_id", "key"]).select("text", "node").mapInPandas(_sets, "node bigint, shingles array<int>").dropDuplicates(["node"]), "minhash-sets")
+    others = members.where("x.node != head.node")
+    stars = others.where(_may_be_alike("head", "x", similar)).select(F.col("head.node").alias("a"), F.col("x.node").alias("b")).distinct()
     linked = cut_lineage(_alike(stars, sets, similar), "minhash-links")
-    apart = cut_lineage(members.where("node != head").join(linked.toDF("head", "node"), ["head", "node"], "left_anti").select("band", "value", F.col("node").alias("x")), "minhash-apart")
-    rest = apart.join(members, ["band", "value"]).where("x != node and node != head").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    on = (F.col("head.node") == F.col("a")) & (F.col("x.node") == F.col("b"))
+    apart = cut_lineage(others.join(linked, on, "left_anti").select("band", "value", F.col("x").alias("y")), "minhash-apart")
+    meets = (F.col("y.node") != F.col("x.node")) & _may_be_alike("y", "x", similar)
+    met = apart.alias("l").join(others.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & meets)
+    rest = met.select(F.least("y.node", "x.node").alias("a"), F.greatest("y.node", "x.node").alias("b")).distinct()
     links = linked.unionByName(_alike(rest, sets, similar))
-    named = cut_lineage(points.select("node", "content", "least").join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node")), "minhash-parts")
-    ids = named.groupBy("part").agg(F.min("least").alias("class_id"))
-    classes = cut_lineage(named.join(ids, "part").select("content", "class_id"), "minhash-classes")
+    named = points.select("node", "content", "first").join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return rows, cut_lineage(named.select("content", "first", "part"), "minhash-parts")
+
+
+def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, class_id): near-duplicate classes, named by their least doc_id."""
+    rows, parts = _classes(docs, similar)
+    ids = parts.groupBy("part").agg(F.min(F.nullif(F.col("first._id"), F.lit(NO_ID))).alias("class_id"))
+    classes = cut_lineage(parts.join(ids, "part").select("content", "class_id"), "minhash-classes")
     return rows.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id")
