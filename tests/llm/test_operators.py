@@ -389,3 +389,13 @@ def test_texts_that_share_a_line_do_not_become_pairs(spark):
     rows = [(i, f"{line} " + " ".join(f"own{i}x{k}" for k in range(45))) for i in range(120)] + [(500, f"{line} " + " ".join(f"own7x{k}" for k in range(44)))]
     got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: i for i in range(120)} | {500: 7}
+
+
+def test_near_dedup_decides_row_by_row(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    one, two = text("e"), text("f")
+    rows = [(None, text("a"), "en", "s", 0), (None, text("b"), "en", "s", 0), (None, text("b"), "en", "s", 0), (1, text("c"), "en", "s", 0), (None, text("c") + " more", "en", "s", 0),
+            (None, text("d"), "en", "s", 0), (None, text("d") + " more", "en", "s", 0), (3, one, "en", "s", 0), (3, two, "en", "s", 0), (3, two, "en", "s", 0), (4, one, "en", "s", 0)]
+    kept = Counter((r.doc_id, r.text) for r in stages.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect())
+    first = min(text("d"), text("d") + " more", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert kept == Counter([(None, text("a")), (None, text("b")), (1, text("c")), (None, first), (3, one), (3, two)])

@@ -268,3 +268,9 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     ids = parts.groupBy("part").agg(F.min(F.nullif(F.col("first._id"), F.lit(NO_ID))).alias("class_id"))
     classes = cut_lineage(parts.join(ids, "part").select("content", "class_id"), "minhash-classes")
     return rows.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id")
+
+
+def first_rows(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(_id, key): doc_id (NO_ID where missing) and text key of the first row of every near-duplicate class."""
+    _, parts = _classes(docs, similar)
+    return parts.groupBy("part").agg(F.min("first").alias("first")).select("first._id", "first.key")
