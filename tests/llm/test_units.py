@@ -315,3 +315,34 @@ def test_thresholds_are_ordered_and_grades_learned():
 
 def test_digest_helpers_agree():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+# ---- passages
+
+
+@given(st.lists(st.integers(12, 256), min_size=1, max_size=40))
+@settings(deadline=None)
+def test_windows_cover_every_long_run(sizes):
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    i, j = substring.windows_of(bounds)
+    assert all(b - a >= substring.MIN_CHUNKS and bounds[b] - bounds[a] >= substring.MIN_RUN for a, b in zip(i, j))
+    windows, n = list(zip(i.tolist(), j.tolist())), len(sizes)
+    for a in range(n):
+        for b in range(a + substring.MIN_CHUNKS, n + 1):
+            if bounds[b] - bounds[a] >= substring.MIN_RUN:
+                assert {k for x, y in windows if a <= x and y <= b for k in range(x, y)} == set(range(a, b))
+
+
+def test_chunks_that_meet_by_chance_are_no_passage():
+    first, second = "".join(f"early{i} " for i in range(400)), "".join(f"other{i} " for i in range(400))
+    (a, x), (b, y) = substring.chunked([first, second])
+    piece = lambda raw, at, k: raw[at[k] : at[k + 2]]
+    known = np.concatenate([np.concatenate([substring.digests(r, p), substring.window_digests(r, p, *substring.windows_of(p))]) for r, p in ((a, x), (b, y))])
+    # short pieces of two documents, side by side: every chunk is known, no passage is
+    short = [(r, p, k) for r, p in ((a, x), (b, y)) for k in range(5, len(p) - 5) if p[k + 2] - p[k] < substring.MIN_RUN]
+    met = b"".join(piece(*short[k]) for i in range(4) for k in (10 * i, len(short) - 1 - 10 * i))
+    bounds = np.concatenate([[0], np.cumsum([p[k + m + 1] - p[k + m] for i in range(4) for k0 in (10 * i, len(short) - 1 - 10 * i) for _, p, k in [short[k0]] for m in (0, 1)])])
+    spans, again = substring.repeated_runs(met, bounds, known)
+    assert again == len(bounds) - 1 and spans == []
+    # the passage itself goes whole
+    assert substring.repeated_runs(a, x, known)[0] == [(0, len(a))]

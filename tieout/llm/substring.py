@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes of a text and cuts where its top bits are zero, so a
 cut depends on the bytes just before it alone: text inserted earlier shifts chunks but
-does not change them. Chunks are deduplicated by digest; where consecutive repeated
-chunks make a long enough run, the run goes and its first occurrence stays.
+does not change them. Windows of consecutive chunks, each just long enough to be a
+passage, are deduplicated by digest beside the chunks; what repeated windows cover goes
+and its first occurrence stays. Chunks that meet by chance make no repeated window.
 
 The rolling hash is computed for all bytes of a block at once: the hash over 2n bytes
 is the hash over n bytes plus the one n bytes earlier, shifted by n.
@@ -80,35 +81,68 @@ def _split(b: np.ndarray, bounds: np.ndarray, wide: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([bounds, at[at < len(b)]]))
 
 
+def windows_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First chunk and end (one past the last chunk) of the shortest windows from every chunk and up to every chunk.
+
+    A window has MIN_RUN bytes and MIN_CHUNKS chunks at least. Together these windows
+    cover every run of that size whole, wherever it begins and ends.
+    """
+    n = len(bounds) - 1
+    i, e = np.arange(n), np.arange(1, n + 1)
+    end = np.maximum(np.searchsorted(bounds, bounds[:-1] + MIN_RUN), i + MIN_CHUNKS)
+    start = np.minimum(np.searchsorted(bounds, bounds[1:] - MIN_RUN, side="right") - 1, e - MIN_CHUNKS)
+    both = np.concatenate([i[end <= n] * (n + 1) + end[end <= n], start[start >= 0] * (n + 1) + e[start >= 0]])
+    return np.divmod(np.unique(both), n + 1)
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    found = [xxhash.xxh64_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+    return np.frombuffer(b"".join(found), ">i8").astype(np.int64)
+
+
 def digests(raw: bytes, bounds: np.ndarray) -> np.ndarray:
-    """64-bit digest of every chunk. A run needs two chunks, so that no single collision removes text."""
-    at = bounds.tolist()
-    return np.frombuffer(b"".join([xxhash.xxh64_digest(raw[a:b]) for a, b in zip(at, at[1:])]), ">i8").astype(np.int64)
+    """Even digest of every chunk. A window needs its chunks too, so that no single collision removes text."""
+    return _digests(raw, bounds[:-1], bounds[1:]) & -2
+
+
+def window_digests(raw: bytes, bounds: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Odd digest of every window."""
+    return _digests(raw, bounds[first], bounds[end]) | 1
 
 
 def _occurrences(rows: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
-    found = [np.unique(digests(r, b)) for r, b in chunked(texts)]
+    found = []
+    for raw, bounds in chunked(texts):
+        found.append(np.unique(np.concatenate([digests(raw, bounds), window_digests(raw, bounds, *windows_of(bounds))])))
     ids = np.repeat(rows["_id"].to_numpy(), [len(f) for f in found])
     return pd.DataFrame({"digest": np.concatenate(found), "_id": ids})
 
 
+def _again(d: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """True where the text itself or an earlier document had it before."""
+    _, first = np.unique(d, return_index=True)
+    again = np.ones(len(d), bool)
+    again[first] = False
+    return again | np.isin(d, known)
+
+
 def repeated_runs(raw: bytes, bounds: np.ndarray, known: np.ndarray) -> tuple[list[tuple[int, int]], int]:
     """Byte spans to remove and the number of repeated chunks.
 
-    ``known``: digests that an earlier document has. A chunk also repeats if the text
-    itself had it before. Spans are drawn in to whole words.
+    ``known``: digests that an earlier document has. A chunk or window also repeats if the
+    text itself had it before. Spans are what repeated windows cover, drawn in to whole words.
     """
-    d = digests(raw, bounds)
-    _, first = np.unique(d, return_index=True)
-    again = np.ones(len(d), bool)
-    again[first] = False
-    again |= np.isin(d, known)
-    edges = np.flatnonzero(np.diff(again.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    again = _again(digests(raw, bounds), known)
+    i, j = windows_of(bounds)
+    so_far = np.concatenate([[0], np.cumsum(again)])
+    met = _again(window_digests(raw, bounds, i, j), known) & (so_far[j] - so_far[i] == j - i)
+    depth = np.zeros(len(bounds), np.int64)
+    np.add.at(depth, i[met], 1)
+    np.add.at(depth, j[met], -1)
+    edges = np.flatnonzero(np.diff((np.cumsum(depth) > 0).view(np.int8), prepend=np.int8(0)))
     spans = []
-    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        a, b = int(bounds[i]), int(bounds[j])
-        if j - i < MIN_CHUNKS or b - a < MIN_RUN:
-            continue
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        a, b = int(bounds[first]), int(bounds[last])
         space = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8)[a:b]])
         if a and not _SPACE[raw[a - 1]] and len(space):
             a, space = a + int(space[0]) + 1, space - int(space[0]) - 1
@@ -144,6 +178,7 @@ def _removed(carried: list[str]):
 def deduplicated(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document, its text without passages that an earlier document (by doc_id) or itself already had.
 
+    A passage is MIN_RUN bytes of consecutive chunks that stood there in the same order.
     Texts within one doc_id count as one document. Null texts stay null; a missing
     doc_id counts as the last one. ``removed`` holds byte spans of the old text,
     ``first_doc_ids`` the documents that keep what repeats in a text that was cut.
@@ -153,6 +188,6 @@ def deduplicated(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
     seen = base.where(F.length("text") > 0).select("_id", "text").mapInPandas(per_block(_occurrences), "digest bigint, _id bigint")
     shared = cut_lineage(seen.groupBy("digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "_first"), "repeated-chunks")
     later = seen.join(shared, "digest").where(F.col("_id") > F.col("_first"))
-    known = later.groupBy("_id").agg(F.collect_list("digest").alias("known"), F.collect_set("_first").alias("firsts"))
+    known = later.groupBy("_id").agg(F.collect_list("digest").alias("known"), F.collect_set(F.when(F.col("digest").bitwiseAND(F.lit(1)) == 1, F.col("_first"))).alias("firsts"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     return base.join(known, "_id", "left").select(*carry, "text", "known", "firsts").mapInPandas(_removed(list(carry)), f"{types}, {OUT}")
