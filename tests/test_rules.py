@@ -200,3 +200,18 @@ def test_a_date_predicate_can_be_passed_in(spark):
     t = spark.createDataFrame([("w", "s", 0, 0, "31/12/2023"), ("w", "s", 0, 1, "FY23A"), ("w", "s", 0, 2, "Cash")], "workbook_id string, sheet string, row_idx int, col_idx int, cell_text string")
     dated = lambda df: {r.col_idx for r in df.where("dated").collect()}
     assert 1 not in dated(cells.typed(t)) and dated(cells.typed(t, lambda x: F.rlike(x, F.lit("^FY[0-9]{2}")))) == {1}
+
+
+def test_ledger_rows_with_five_core_fields_are_kept(spark):
+    from tieout.plans.quality import LEDGER_CORE, LEDGER_FIELDS
+
+    said = {f: "1" for f in LEDGER_FIELDS}
+    four, five = said | {"rent_total": "未提及"}, said | {"industry": " "}
+    rows = [dict(name=n, **r) for n, r in (("four", four), ("five", five), ("five bare", five | {"project": None}), ("all", said))]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "name string, " + ", ".join(f"{f} string" for f in LEDGER_FIELDS))
+    assert {r.name for r in quality.reference_rows(df, LEDGER_CORE).collect()} == {"five", "five bare", "all"}
+    letters = "a string, b string, c string, d string, e string, f string"
+    wide = spark.createDataFrame([("4", "x", "x", "x", "x", "无"), ("5", "x", "x", "x", "x", "x")], letters)
+    six = wide.withColumn("g", F.lit("x")).withColumn("c", F.lit(None).cast("string"))
+    assert [r.a for r in quality.reference_rows(wide, list("bcdef")).collect()] == ["5"]
+    assert [r.a for r in quality.reference_rows(six, list("abcdefg")).collect()] == ["4", "5"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,6 +183,17 @@ def table_json(lines: DataFrame, keys: list[str], text_normalizer: Callable[[Col
 
 # ---- contract ledgers ------------------------------------------------------
 
+
+def said_count(fields: Sequence[str]) -> Column:
+    """How many of the fields say something: not blank, not a word for missing."""
+    return sum((F.when(~F.coalesce(F.trim(f), F.lit("")).isin("", *MISSING), 1).otherwise(0) for f in fields), F.lit(0))
+
+
+def reference_rows(rows: DataFrame, core: Sequence[str], least: int = 5) -> DataFrame:
+    """Ledger rows that a person filled: at least ``least`` of the core fields say something."""
+    return rows.where(said_count(core) >= least)
+
+
 def number_of(c: str) -> Column:
     return F.trim(F.col(c)).try_cast("double")
 

@@ -9,6 +9,8 @@ from tieout.plans.recon import RECON, recon_of
 from tieout.plans.registry import query
 
 LEDGER_FIELDS = ["project", "industry", "rent_total", "free_months", "day_rent", "day_fee", "day_total"]
+#: Those of them that are core columns of the reference's template (N, O, AD, AE, AF); project and industry are not.
+LEDGER_CORE = ["rent_total", "free_months", "day_rent", "day_fee", "day_total"]
 
 
 @query("duplicate_lines", r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
@@ -113,9 +115,8 @@ def _(t):
 
 @query("ledger_reference_rows", """SELECT contract_id, source_file, pass, CAST((CASE WHEN rent_total <> '未提及' THEN 1 ELSE 0 END) + 6 AS INT) AS filled FROM contract_row WHERE pass = 2 OR rent_total <> '未提及'""")
 def _(t):
-    """Rows a person filled: at least seven core fields say something."""
-    said = sum(F.when(~F.coalesce(F.trim(f), F.lit("")).isin("", *Q.MISSING), 1).otherwise(0) for f in LEDGER_FIELDS)
-    return t.contract_row.withColumn("filled", said).where("filled >= 7").select("contract_id", "source_file", "pass", "filled")
+    """Rows a person filled: at least five core fields say something. ``filled`` counts all fields of the ledger."""
+    return Q.reference_rows(t.contract_row, LEDGER_CORE).withColumn("filled", Q.said_count(LEDGER_FIELDS)).select("contract_id", "source_file", "pass", "filled")
 
 
 @query("contract_fixups", """SELECT contract_id, pass, project, industry, source_file, rent_total, regexp_extract(free_months, '([0-9.]+)', 1) AS free_months, day_rent, day_fee, regexp_replace(CAST(round(CAST(day_rent AS DOUBLE) + CAST(day_fee AS DOUBLE), 6) AS VARCHAR), '[.]0$', '') AS day_total FROM contract_row""")
