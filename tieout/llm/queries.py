@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import bpe, chat, decontaminate, grading, language, licenses, minhash, sharding, simhash, substring
+from tieout.llm import bpe, chat, decontaminate, grading, language, licenses, minhash, negatives, packing, phrases, sharding, simhash, substring
 from tieout.llm.common import cut_lineage, documents, new_path, table_of
 
 SHARDS = 16
@@ -89,8 +89,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grading.graded(docs, model)
 
 
+#: Components are 256ths, rounded down; beyond this no score fits anyway.
+_FAR = float(1 << 40)
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives and hard negatives of every fiftieth vector, against all vectors."""
+    rows = table_of(spark, sf_dir, "embeddings").where(negatives.valid("embedding", "label"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    comps = F.transform("embedding", lambda x: F.floor(F.greatest(F.least(x.cast("double") * 256, F.lit(_FAR)), F.lit(-_FAR))))
+    return negatives.mined(rows.select("vec_id", label.alias("label"), comps.alias("comps")), F.col("vec_id") % 50 == 0)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of two to four words of every language."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 1024 tokens."""
+    return packing.packed(documents(spark, sf_dir), tokenizer_json())
+
+
+def tokenizer_json() -> str:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_language_id, op4_minhash, op5_byte_bpe, op6_simhash, op7_license_scan, op8_decontamination, op9_chat, op10_quality)
+    f.__name__: f for f in (op1_sharding, op2_substring_dedup, op3_language_id, op4_minhash, op5_byte_bpe, op6_simhash, op7_license_scan, op8_decontamination, op9_chat, op10_quality, op11_hard_negatives, op12_phrases, op13_packing)
 }
 
 _WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -116,6 +143,28 @@ FROM share WHERE containment >= {licenses.CONTAINED} GROUP BY doc_id, license"""
 
 _BENCH_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
+#: Words of a phrase, spelled out level by level: the phrase of k words that begins at word i.
+_LONGEST = 4
+
+
+def _phrase_oracle() -> str:
+    every = " UNION ALL ".join(f"SELECT lang, {k} AS d, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM pieces, range(1, len(w) - {k - 2}) r(i) WHERE len(w) >= {k}" for k in range(1, _LONGEST + 1))
+    return f"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(p, '[ \\t]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM texts)),
+f AS MATERIALIZED (SELECT lang, d, phrase, count(*) AS a FROM ({every}) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE d = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, d, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE d > 1 AND a >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.a, c.d, k, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * c.a // (l.a + r.a) AS BIGINT) AS score
+         FROM c, range(1, c.d) s(k) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') AND l.d = k
+         JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:c.d], ' ') AND r.d = c.d - k),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, d) x(m), range(1, d - m + 2) y(i) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 ORACLES = {
     "op7_license_scan": _license_oracle(),
     "op8_decontamination": f"""
@@ -141,4 +190,14 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<|im_start|>' || role || '<|im_end|>') + 2 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id""",
+    "op11_hard_negatives": """
+WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+        FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other AS positive_id, s AS positive_score FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other) <= 5),
+negatives AS (SELECT p.*, other AS negative_id, s AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other) AS rank
+              FROM positives p JOIN met USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3""",
+    "op12_phrases": _phrase_oracle(),
 }
