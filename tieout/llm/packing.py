@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,21 +24,22 @@ from tieout.llm.common import blocks, cut_lineage, text_or_empty
 
 CAPACITY, END = 1024, 2
 #: Pieces of a lot, islands, genomes of an island, rounds of migration and crossovers a round.
-LOT, ISLANDS, GENOMES, ROUNDS, CROSSOVERS = 8192, 3, 4, 2, 6
-#: Characters of words a task remembers the ids of.
-REMEMBERED = 1 << 22
+LOT, ISLANDS, GENOMES, ROUNDS, CROSSOVERS = 8192, 3, 4, 2, 20
+#: Parts of texts a task remembers the ids of.
+REMEMBERED = 1 << 20
 
 
 # ---- tokens
 
 
 class Encoder:
-    """Token ids of whole texts by the tokenizer's file; words met before are looked up.
+    """Token ids of whole texts by the tokenizer's file; parts met before are looked up.
 
     A text is taken apart before every space that a character other than white space
     follows. The tokenizer's pattern always begins a new match there, so the ids of the
-    parts, one after the other, are those of the text. Nothing else is known of the
-    pattern; ``test_encoder_is_the_tokenizer`` holds both against each other.
+    parts, one after the other, are those of the text. New parts without further white
+    space are encoded as the lines of one text, which spares an object for each; a line
+    end is a token of its own. ``test_encoder_is_the_tokenizer`` holds both ways together.
     """
 
     def __init__(self, model: str):
@@ -45,10 +47,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
-        self.size = 0
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.forget()
+
+    def forget(self) -> None:
+        """``known`` numbers the parts; the ids of part k are ids[at[k]:at[k + 1]]."""
+        self.known: dict[str, int] = {}
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def parts(self, text: str) -> list[str]:
+        if any(s in text for s in self.special):
+            return [text]
         units = text.split(" ")
         out = [units[0]]
         for u in units[1:]:
@@ -58,18 +67,51 @@ class Encoder:
                 out[-1] += " " + u
         return out
 
+    def _add(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        for p in parts:
+            self.known[p] = len(self.known)
+        self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+
+    def _encoded(self, new: list[str]) -> None:
+        """Learns parts by the tokenizer."""
+        plain = [p for p in new if len(w := p.split()) == 1 and p in (w[0], " " + w[0]) and not any(s in p for s in self.special)]
+        if plain:
+            lines = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(lines == self.line), len(lines))
+            self._add(plain, lines[lines != self.line], np.diff(ends, prepend=-1) - 1)
+        rest = [p for p in new if p not in self.known]
+        if rest:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self._add(rest, np.concatenate(found), np.array([len(x) for x in found]))
+
+    def _learn(self, new: list[str]) -> None:
+        """Learns parts; marks after a letter or number are a match of their own, so they are learned apart."""
+        cut = [(p, w, p[len(w) :]) for p in new if len(w := p.rstrip(".,;:!?")) < len(p) and w and w[-1].isalnum()]
+        whole = set(new).difference(p for p, _, _ in cut)
+        self._encoded([p for p in dict.fromkeys(chain(whole, chain.from_iterable(x[1:] for x in cut))) if p not in self.known])
+        if cut:
+            ids, ends = self._of(list(chain.from_iterable(x[1:] for x in cut)))
+            self._add([p for p, _, _ in cut], ids, np.diff(ends[1::2], prepend=0))
+
+    def _of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known parts one after the other, and where each part's end."""
+        place = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        size = self.at[place + 1] - self.at[place]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.at[place] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as unsigned 32-bit numbers."""
-        plain = [not any(s in t for s in self.special) for t in texts]
-        cut = [self.parts(t) if p else [t] for t, p in zip(texts, plain)]
-        new = [p for p in dict.fromkeys(p for parts in cut for p in parts) if p not in self.known]
-        if new and self.size > REMEMBERED:
-            self.known, self.size = {}, 0
-            new = list(dict.fromkeys(p for parts in cut for p in parts))
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, np.uint32)
-        self.size += sum(map(len, new))
-        return [np.concatenate([self.known[p] for p in parts]) for parts in cut]
+        cut = [self.parts(t) for t in texts]
+        every = list(chain.from_iterable(cut))
+        new = [p for p in dict.fromkeys(every) if p not in self.known]
+        if new and len(self.known) > REMEMBERED:
+            self.forget()
+            new = list(dict.fromkeys(every))
+        if new:
+            self._learn(new)
+        found, ends = self._of(every)
+        return np.split(found, np.append(0, ends)[np.cumsum([len(c) for c in cut])][:-1])
 
 
 def pieces_of(n: int, capacity: int = CAPACITY) -> list[int]:
