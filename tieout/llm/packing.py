@@ -10,6 +10,7 @@ lost executor costs one round of the lots it held.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -27,10 +28,15 @@ CAPACITY, END = 1024, 2
 LOT, ISLANDS, GENOMES, ROUNDS, CROSSOVERS = 8192, 3, 4, 2, 20
 #: Parts of texts a task remembers the ids of.
 REMEMBERED = 1 << 20
+#: New parts that are encoded as one text.
+LINES = 1 << 13
 
 
 # ---- tokens
 
+#: A space that no new match begins with.
+_ODD = re.compile(r" (?:\s|\Z)")
+
 
 class Encoder:
     """Token ids of whole texts by the tokenizer's file; parts met before are looked up.
@@ -53,12 +59,14 @@ class Encoder:
     def forget(self) -> None:
         """``known`` numbers the parts; the ids of part k are ids[at[k]:at[k + 1]]."""
         self.known: dict[str, int] = {}
-        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.at, self.new = np.zeros(0, np.uint32), np.zeros(1, np.int64), []
 
     def parts(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
             return [text]
         units = text.split(" ")
+        if not _ODD.search(text):
+            return [units[0], *map(" ".__add__, units[1:])]
         out = [units[0]]
         for u in units[1:]:
             if u and not u[0].isspace():
@@ -68,17 +76,23 @@ class Encoder:
         return out
 
     def _add(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        for p in parts:
-            self.known[p] = len(self.known)
-        self.ids, self.at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.new.append((ids, sizes))
+
+    def _settle(self) -> None:
+        if self.new:
+            ids, sizes = zip(*self.new)
+            self.ids, self.new = np.concatenate([self.ids, *ids]), []
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
 
     def _encoded(self, new: list[str]) -> None:
         """Learns parts by the tokenizer."""
         plain = [p for p in new if len(w := p.split()) == 1 and p in (w[0], " " + w[0]) and not any(s in p for s in self.special)]
-        if plain:
-            lines = np.array(self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, np.uint32)
+        for i in range(0, len(plain), LINES):
+            some = plain[i : i + LINES]
+            lines = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(np.flatnonzero(lines == self.line), len(lines))
-            self._add(plain, lines[lines != self.line], np.diff(ends, prepend=-1) - 1)
+            self._add(some, lines[lines != self.line], np.diff(ends, prepend=-1) - 1)
         rest = [p for p in new if p not in self.known]
         if rest:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
@@ -87,7 +101,7 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Learns parts; marks after a letter or number are a match of their own, so they are learned apart."""
         cut = [(p, w, p[len(w) :]) for p in new if len(w := p.rstrip(".,;:!?")) < len(p) and w and w[-1].isalnum()]
-        whole = set(new).difference(p for p, _, _ in cut)
+        whole = set(new).difference([p for p, _, _ in cut])
         self._encoded([p for p in dict.fromkeys(chain(whole, chain.from_iterable(x[1:] for x in cut))) if p not in self.known])
         if cut:
             ids, ends = self._of(list(chain.from_iterable(x[1:] for x in cut)))
@@ -95,6 +109,7 @@ class Encoder:
 
     def _of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known parts one after the other, and where each part's end."""
+        self._settle()
         place = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         size = self.at[place + 1] - self.at[place]
         ends = np.cumsum(size)
@@ -104,16 +119,20 @@ class Encoder:
         """Ids of every text, as unsigned 32-bit numbers."""
         cut = [self.parts(t) for t in texts]
         every = list(chain.from_iterable(cut))
-        new = [p for p in dict.fromkeys(every) if p not in self.known]
+        new = set(every).difference(self.known)
         if new and len(self.known) > REMEMBERED:
             self.forget()
-            new = list(dict.fromkeys(every))
+            new = set(every)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         found, ends = self._of(every)
         return np.split(found, np.append(0, ends)[np.cumsum([len(c) for c in cut])][:-1])
 
 
+#: Encoders of a worker process, which serves many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def pieces_of(n: int, capacity: int = CAPACITY) -> list[int]:
     """Lengths of the pieces of ``n`` ids: all of ``capacity`` but the first."""
     first = n % capacity
@@ -125,7 +144,7 @@ PIECES = "_row bigint, doc_id bigint, piece int, start bigint, length bigint, id
 
 def _tokens(model: str, capacity: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(model)
+        encoder = _ENCODERS.get(model) or _ENCODERS.setdefault(model, Encoder(model))
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             texts = [text_or_empty(t) for t in batch["text"]]
