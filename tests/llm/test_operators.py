@@ -330,8 +330,9 @@ def test_pipeline_against_a_plain_version(spark):
     before, after = out["language_id"]
     assert set(after) <= set(before) and all(any(c.isalpha() for c in r.text) for r in after.values())
     before, after = out["near_dedup"]
-    parts = plain_components({d: plain_fingerprint(r.text) for d, r in before.items()}, 3)
-    assert set(after) == set(parts.values()) and all(after[d].text == before[d].text for d in after)
+    ids = sorted(before)
+    parts = plain_near_parts([before[d].text for d in ids])
+    assert set(after) == {ids[p] for p in parts} and all(after[d].text == before[d].text for d in after)
     before, after = out["substring_dedup"]
     assert set(after) <= set(before) and all(r.n_chars == len(r.text) for r in after.values())
     before, after = out["decontamination"]
@@ -353,7 +354,7 @@ def test_pipeline_against_a_plain_version(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(reg.oracle_sql()[name])
     df = reg.queries()[name](spark, SF)
@@ -391,6 +392,23 @@ def test_texts_that_share_a_line_do_not_become_pairs(spark):
     assert got == {i: i for i in range(120)} | {500: 7}
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Copies of one text with a few changed words each: most pairs lie below 0.8, all hang on the first text."""
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(150)]
+
+    def copy(k):
+        w = list(words)
+        for i in r.choice(150, 3, replace=False):
+            w[i] = f"new{k}x{i}"
+        return " ".join(w)
+
+    texts = [copy(0), " ".join(words), *(copy(k) for k in range(1, 160))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_near_parts(texts)
+
+
 def test_near_dedup_decides_row_by_row(spark):
     text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
     one, two = text("e"), text("f")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from tieout.llm.common import NO_ID, blocks, cut_lineage, mixed, text_or_empty,
 from tieout.llm.components import components
 
 SHINGLE, PERMS, BANDS, SIMILAR = 5, 128, 32, 0.8
+#: Low bits of a minimum that are compared before a pair is made; sixteen minima make a long.
+BITS = 4
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -178,7 +181,7 @@ def compared(docs: DataFrame, parts: int | None = None, perms: int = PERMS) -> D
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Digest and size of the shingle set, one hash per band of its signature and the low bit of every minimum."""
+    """Digest and size of the shingle set, one hash per band of its signature and the low BITS bits of every minimum."""
     fold = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(PERMS // BANDS)], np.uint64)
     for batch in batches:
         texts = [text_or_empty(t) for t in batch["text"]]
@@ -186,11 +189,12 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             h, at = shingle_hashes(texts[i:j])
             sig = signatures(h, at)
             bands = mixed(sig.reshape(j - i, BANDS, -1).astype(np.uint64).dot(fold))
-            low = np.packbits((sig & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+            low = (sig & np.uint32(15)).astype(np.uint64).reshape(j - i, -1, 16)
+            low = np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
             sets = [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
             yield pd.DataFrame({
                 "_id": batch["_id"].iloc[i:j].to_numpy(), "doc_id": batch["doc_id"].iloc[i:j].astype("Int64").to_numpy(), "key": batch["key"].iloc[i:j].to_numpy(),
-                "content": [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets], "size": [len(x) for x in sets], "low": low[:, 0], "high": low[:, 1], "bands": list(bands.view(np.int64)),
+                "content": [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets], "size": [len(x) for x in sets], "low": list(low), "bands": list(bands.view(np.int64)),
             }).astype({"doc_id": "Int64"})
 
 
@@ -213,16 +217,29 @@ def _alike(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 def _may_be_alike(a: str, b: str, similar: float) -> Column:
     """False where the sizes of two sets rule the similarity out, or the low bits of their minima do.
 
-    Of two sets that similar, each of PERMS bits differs with a chance of (1 - similar) / 2
-    at most; seven standard deviations more are let through (at 0.8 one pair in 10^8 is not).
+    Of two sets that similar, each of PERMS minima differs with a chance of 1 - similar at
+    most; six standard deviations more are let through (of such pairs one in 10^9 is not).
     """
-    p = (1 - similar) / 2
-    most = int(PERMS * p + 7 * (PERMS * p * (1 - p)) ** 0.5)
-    apart = F.bit_count(F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low"))) + F.bit_count(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high")))
+    p = (1 - similar) * (1 - 0.5**BITS)
+    most = int(PERMS * p + 6 * (PERMS * p * (1 - p)) ** 0.5)
+    mask = F.lit(0x1111111111111111)
+
+    def unequal(k: int) -> Column:
+        x = F.col(f"{a}.low")[k].bitwiseXOR(F.col(f"{b}.low")[k])
+        return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3)).bitwiseAND(mask))
+
+    apart = reduce(Column.__add__, [unequal(k) for k in range(PERMS // 16)])
     size = F.least(f"{a}.size", f"{b}.size") >= similar * F.greatest(f"{a}.size", f"{b}.size")
     return size & (apart <= most)
 
 
+def _shared(points: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shared): how many of a point's shingles any other of these points has."""
+    every = cut_lineage(sets.join(points.distinct(), "node").select("node", F.explode("shingles").alias("s")), "minhash-shingles")
+    common = every.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
+    return every.join(common, "s").groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+
+
 def text_key() -> Column:
     """Tells the texts of one doc_id apart; a null text has a key of its own."""
     return F.coalesce(F.md5("text"), F.lit(""))
@@ -232,31 +249,50 @@ def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     """Rows (_id, doc_id, key, content) and the part that each content belongs to.
 
     Texts with one shingle set are one point. Points of one band value are candidates. In
-    each such bucket all points meet its least one first; those not alike to it then meet
-    every point of the bucket. What is left out are pairs of points that are both linked
-    to the least one, so classes are those of all pairs, and a bucket of copies of any
-    size costs one comparison each. Points that only share a line do not become pairs:
-    sizes and low bits are compared where they meet. Pairs count if the Jaccard
-    similarity of their shingle sets is at least ``similar``. Null texts are empty, and alike.
+    each such bucket all points first meet its head, the one that shares most buckets with
+    others: the text that a group was copied from, where it is there. The parts so linked
+    are found, and points that are not alike to their head meet those points of the bucket
+    that belong to another part. What is left out are pairs whose ends are linked already,
+    so classes are those of all pairs. Three tests, none of which loses a pair beyond the
+    stated chance, keep texts that only share passages from becoming pairs: sizes, low bits
+    of the minima, and the number of shingles that any other candidate has at all, which
+    bounds what two sets can have in common. A pair is made in its first common band only.
+    Pairs count if the Jaccard similarity of their shingle sets is at least ``similar``.
+    Null texts are empty, and alike.
     """
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "doc_id", text_key().alias("key"), "text")
-    types = "_id bigint, doc_id bigint, key string, content binary, size int, low bigint, high bigint, bands array<bigint>"
+    types = "_id bigint, doc_id bigint, key string, content binary, size int, low array<bigint>, bands array<bigint>"
     rows = cut_lineage(base.mapInPandas(_signed, types), "minhash")
     first = F.min(F.struct("_id", "key")).alias("first")
-    points = cut_lineage(rows.groupBy("content").agg(first, *[F.first(c).alias(c) for c in ("size", "low", "high", "bands")]).withColumn("node", F.xxhash64("content")), "minhash-points")
-    banded = points.select(F.struct("node", "size", "low", "high").alias("x"), F.posexplode("bands").alias("band", "value"))
-    heads = cut_lineage(banded.groupBy("band", "value").agg(F.min("x").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "minhash-heads")
-    members = cut_lineage(banded.join(heads, ["band", "value"]), "minhash-members")
-    wanted = points.join(members.select("x.node").distinct(), "node").select("first._id", "first.key", "node")
-    sets = cut_lineage(base.join(wanted, ["_id", "key"]).select("text", "node").mapInPandas(_sets, "node bigint, shingles array<int>").dropDuplicates(["node"]), "minhash-sets")
-    others = members.where("x.node != head.node")
-    stars = others.where(_may_be_alike("head", "x", similar)).select(F.col("head.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    points = cut_lineage(rows.groupBy("content").agg(first, *[F.first(c).alias(c) for c in ("size", "low", "bands")]).withColumn("node", F.xxhash64("content")), "minhash-points")
+    at = ["band", "value"]
+    banded = points.select("node", F.posexplode("bands").alias(*at))
+    full = banded.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut_lineage(banded.join(full, at), "minhash-buckets")
+    wanted = cut_lineage(met.groupBy("node").agg(F.sum("n").alias("weight")).join(points.select("node", "first", "size", "low", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands")), "node"), "minhash-wanted")
+    weighed = met.select("node", *at).join(wanted.select("node", "weight", F.struct("node", "size", "low").alias("x")), "node")
+    heads = weighed.groupBy(*at).agg(F.max_by("x", F.struct("weight", "node")).alias("head"))
+    members = cut_lineage(weighed.select(*at, "x").join(heads, at).where("x.node != head.node"), "minhash-members")
+    texts = base.join(wanted.select("first._id", "first.key", "node"), ["_id", "key"]).select("text", "node")
+    sets = cut_lineage(texts.mapInPandas(_sets, "node bigint, shingles array<int>").dropDuplicates(["node"]), "minhash-sets")
+    stars = members.where(_may_be_alike("head", "x", similar)).select(F.col("head.node").alias("a"), F.col("x.node").alias("b")).distinct()
     linked = cut_lineage(_alike(stars, sets, similar), "minhash-links")
+    parts = components(linked)
     on = (F.col("head.node") == F.col("a")) & (F.col("x.node") == F.col("b"))
-    apart = cut_lineage(others.join(linked, on, "left_anti").select("band", "value", F.col("x").alias("y")), "minhash-apart")
-    meets = (F.col("y.node") != F.col("x.node")) & _may_be_alike("y", "x", similar)
-    met = apart.alias("l").join(others.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & meets)
-    rest = met.select(F.least("y.node", "x.node").alias("a"), F.greatest("y.node", "x.node").alias("b")).distinct()
+    apart = cut_lineage(members.join(linked, on, "left_anti").select(*at, F.col("x.node").alias("node")), "minhash-apart")
+    # the buckets that hold such a point, but for their heads, which all have met
+    open_ = cut_lineage(members.select(*at, F.col("x.node").alias("node")).join(apart.select(*at).distinct(), at, "left_semi"), "minhash-open")
+    known = wanted.join(_shared(open_.select("node").unionByName(apart.select("node")), sets), "node").join(parts, "node", "left")
+    known = cut_lineage(known.select("node", "size", "low", "bands", "shared", F.coalesce("part", "node").alias("part")), "minhash-known")
+    point = F.struct("node", "size", "low", "bands", "shared", "part")
+    left = apart.join(known, "node").select(*at, point.alias("y"))
+    right = open_.join(known, "node").select(*at, point.alias("x"))
+    most = F.least("l.y.shared", "r.x.shared")
+    bound = most >= similar * (F.col("l.y.size") + F.col("r.x.size") - most)
+    before = F.zip_with(F.slice("l.y.bands", F.lit(1), F.col("l.band")), F.slice("r.x.bands", F.lit(1), F.col("l.band")), lambda p, q: p == q)
+    meets = (F.col("l.y.part") != F.col("r.x.part")) & bound & _may_be_alike("l.y", "r.x", similar) & ~F.exists(before, lambda b: b)
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & meets)
+    rest = pairs.select(F.least("y.node", "x.node").alias("a"), F.greatest("y.node", "x.node").alias("b")).distinct()
     links = linked.unionByName(_alike(rest, sets, similar))
     named = points.select("node", "content", "first").join(components(links), "node", "left").withColumn("part", F.coalesce("part", "node"))
     return rows, cut_lineage(named.select("content", "first", "part"), "minhash-parts")
