@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tieout.llm.common import _LOWER, blocks, cut_lineage, fold_hash, mixed, spans_of, text_or_empty
 
 #: Suffixes of a group, and suffix prefixes of a counting bucket, of about 30 bytes each.
-BUDGET = 1 << 17
+BUDGET = 1 << 18
 #: Sums that reach the driver for the grouping, at most.
 SLOTS = 1 << 20
 #: Parts of a language that are ranked by themselves before they meet.
@@ -110,7 +110,7 @@ def filter_of(hashes: DataFrame, n: int) -> Filter:
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, langs = [text_or_empty(t) for t in batch["text"]], [text_or_empty(x) for x in batch["lang"]]
-        for a, b in blocks(texts, 4 << 20):
+        for a, b in blocks(texts, 2 << 20):
             w = words_of(texts[a:b], langs[a:b])
             code, first, count = np.unique(w.code, return_index=True, return_counts=True)
             if not len(code):
@@ -135,7 +135,7 @@ def _prefix_counts(words: Filter, hot: list[np.ndarray], level: int, buckets: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, langs = [text_or_empty(t) for t in batch["text"]], [text_or_empty(x) for x in batch["lang"]]
-            for a, b in blocks(texts, 4 << 20):
+            for a, b in blocks(texts, 2 << 20):
                 w = words_of(texts[a:b], langs[a:b])
                 path = paths(np.where(words.holds(w.code), w.code, np.uint64(0)), w.piece, level)
                 path = path[(path[:, :2] != 0).all(axis=1)]
@@ -187,7 +187,7 @@ def _routed(words: Filter, pairs: Filter, hot: list[np.ndarray], bounds: np.ndar
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, langs = [text_or_empty(t) for t in batch["text"]], [text_or_empty(x) for x in batch["lang"]]
-            for a, b in blocks(texts, 4 << 20):
+            for a, b in blocks(texts, 2 << 20):
                 w = words_of(texts[a:b], langs[a:b])
                 path = paths(np.where(words.holds(w.code), w.code, np.uint64(0)), w.piece, depth)
                 two = (path[:, :2] != 0).all(axis=1)
@@ -218,11 +218,11 @@ def _routed(words: Filter, pairs: Filter, hot: list[np.ndarray], bounds: np.ndar
     return run
 
 
-def _subtree(depth: int, least: int):
+def _subtree(depth: int, least: int, hot: list[np.ndarray]):
     """Nodes of two and more words of a group's subtree, with the totals of their leaves.
 
-    Where prefixes were extended (``split``) a node's leaves may lie in several groups;
-    then all nodes are returned and the totals are summed afterwards.
+    The leaves of an extended prefix lie in several groups; its own node is returned from
+    each, whatever its total there, and the totals are summed afterwards.
     """
 
     def totals(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +241,11 @@ def _subtree(depth: int, least: int):
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         nodes, d, total = totals(frame)
+        keep = total >= least
+        for k, known in enumerate(hot):
+            own = np.flatnonzero(d == k + 2)
+            keep[own] |= _among(prefix_hash(nodes[own], k + 2), known)
         nodes = np.where(np.arange(depth)[None, :] < d[:, None], nodes, np.uint64(0)).view(np.int64)
-        keep = total >= least if not frame["split"].iloc[0] else np.ones(len(total), bool)
         return pd.DataFrame({"d": d[keep], "path": list(nodes[keep]), "a": total[keep]})
 
     return build
@@ -293,8 +296,7 @@ def nodes_of(docs: DataFrame, vocabulary: DataFrame, least: int, depth: int, bud
     pair_filter = filter_of(pairs.select("h"), pairs.count())
     bounds = _bounds(ends, n, budget)
     rows = docs.mapInPandas(_routed(words, pair_filter, hot, bounds, depth), "bucket bigint, paths binary, counts binary")
-    rows = rows.withColumn("split", F.lit(bool(hot)))
-    found = rows.groupBy("bucket").applyInPandas(_subtree(depth, least), "d int, path array<bigint>, a bigint")
+    found = rows.groupBy("bucket").applyInPandas(_subtree(depth, least, hot), "d int, path array<bigint>, a bigint")
     if hot:
         found = found.groupBy("d", "path").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return cut_lineage(found, "phrase-nodes")
