@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions import blocks
+from tieout.functions.cleanup import is_likely_entity
 from tieout.functions.dates import parse_date
 from tieout.functions.labels import contains_any, has_thousand_marker, has_unit_marker, row_type, stage_of
 from tieout.functions.numbers import coerce_numeric
@@ -466,10 +467,16 @@ def language_vote(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
     return w.select("workbook_id", "chi", "eng", F.when(F.col("chi") > F.col("eng"), "Chi").otherwise("Eng").alias("language"), mode.alias("mode"))
 
 
-def entity_candidates(cells: DataFrame, scan_rows: int | None = None) -> DataFrame:
-    """Names after `` - `` in title rows and in sheet names, per workbook; kept from two sightings on."""
+def entity_candidates(cells: DataFrame) -> DataFrame:
+    """Names after `` - `` in the rows above a sheet's first stage row and in sheet names, per workbook.
+
+    Titles must be plausible names; names are kept from two sightings on. A sheet without
+    a stage row has no title rows.
+    """
     name = F.trim(F.regexp_extract("cell_text", r"\s[-–]\s(.+)$", 1))
-    titles = cells.where(first_rows(scan_rows) & (name != "")).select("workbook_id", name.alias("name"), F.lit("title").alias("source"))
+    head = stage_rows(cells).groupBy(*SHEET).agg(F.min("row_idx").alias("head_row"))
+    above = cells.join(head, SHEET).where(F.col("row_idx") < F.col("head_row")).select("workbook_id", name.alias("name"))
+    titles = above.where((F.col("name") != "") & is_likely_entity(F.col("name"))).withColumn("source", F.lit("title"))
     sheets = cells.select(*SHEET).distinct().select("workbook_id", F.regexp_replace("sheet", "^Financials ", "").alias("name"), F.lit("sheet").alias("source"))
     return titles.unionByName(sheets).groupBy("workbook_id", "name").agg(
         F.count(F.lit(1)).alias("seen"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")).where("seen >= 2")

@@ -160,7 +160,7 @@ def _(t):
 
 
 @query("period_matrix", """WITH m AS (SELECT entity_id, account, description, concat('fy', yr) AS fy, amount FROM detail_line)
-SELECT * FROM (PIVOT m ON fy USING max(amount) GROUP BY entity_id, account, description)""")
+SELECT * FROM (PIVOT m ON fy IN ('fy1995', 'fy1996', 'fy1997', 'fy1998', 'fy1999', 'fy2000', 'fy2001', 'fy2002') USING max(amount) GROUP BY entity_id, account, description)""")
 def _(t):
     return A.period_matrix(t.detail_line)
 
