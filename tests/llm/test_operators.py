@@ -348,6 +348,15 @@ def test_pipeline_against_a_plain_version(spark):
     assert whole == Counter((d, r.ids_sha256) for d, r in after.items())
 
 
+def test_items_without_id_and_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, words), (3, "w2 w3")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"a {words} b", 5, "x"), (2, "a b c", 6, "y"), (3, "w2 w3", 7, "z")], "doc_id bigint, text string, n_words int, _spans string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.item_ids, r.contaminated) for r in decontaminate.marked(docs, bench).collect()}
+    assert got == {1: (12, 1, ["3"], True), 2: (0, 0, [], False), 3: (2, 1, ["3"], True)}
+    assert [tuple(r) for r in decontaminate.clean(docs, bench).collect()] == [(2, "a b c", 6, "y")]
+
+
 # ---- oracles
 
 

@@ -149,7 +149,7 @@ def _numbered(benchmark: DataFrame) -> tuple[DataFrame, int]:
             rows = [(item, w) for item, t in zip(batch["item_id"], batch["text"]) for w in windows_of(text_or_empty(t))]
             yield pd.DataFrame(rows, columns=["item_id", "window"])
 
-    windows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInPandas(cut, "item_id string, window binary").distinct()
+    windows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInPandas(cut, "item_id string, window binary").distinct()
     size = windows.agg(F.sum(F.octet_length("window") + 64)).first()[0] or 0
     sets = 1 + size // SET_BYTES
     return windows.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(sets)).cast("int")), sets
@@ -174,6 +174,12 @@ def _summed(items_of: dict[int, list[str]]):
 OUT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_words array<struct<start:int,end:int>>, item_ids array<string>"
 
 
+def _in_order(windows: DataFrame) -> list[tuple[bytes, str | None]]:
+    """Windows of a set with the ids of their items, one row for all items without id."""
+    rows = [(bytes(r.window), r.item_id) for r in windows.select("item_id", "window").collect()]
+    return sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or ""))
+
+
 def _searched(docs: DataFrame, benchmark: DataFrame, carry: list[str]) -> tuple[DataFrame, dict[int, list[str]]]:
     """docs (doc_id, text and ``carry``) with n_words, hit word ranges and pattern numbers, and the items of every pattern.
 
@@ -184,9 +190,10 @@ def _searched(docs: DataFrame, benchmark: DataFrame, carry: list[str]) -> tuple[
     items_of: dict[int, list[str]] = {}
     for part in range(sets):
         patterns: dict[bytes, int] = {}
-        for item, window in sorted((r[0], bytes(r[1])) for r in windows.where(F.col("part") == part).select("item_id", "window").collect()):
-            number = patterns.setdefault(window, len(items_of))
-            items_of.setdefault(number, []).append(item)
+        for window, item in _in_order(windows.where(F.col("part") == part)):
+            items = items_of.setdefault(patterns.setdefault(window, len(items_of)), [])
+            if item is not None:
+                items.append(item)
         now = now.mapInPandas(_search([(n, w) for w, n in patterns.items()]), now.schema)
     return now, items_of
 
@@ -195,8 +202,9 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Words of every document that are inside an occurrence of a benchmark window, and the items found.
 
     ``hit_words`` are ranges of word numbers. Null texts have no words; items without
-    words or without id are never found; a window that several items share counts for
-    each.
+    words are never found; a window that several items share counts for each. Windows of
+    items without id make words hit and documents contaminated; such items are not among
+    ``n_items`` and their digest.
     """
     now, items_of = _searched(docs, benchmark, [])
     return now.select("doc_id", "n_words", "_spans", "_found").mapInPandas(_summed(items_of), OUT)
@@ -204,5 +212,7 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs."""
-    now, _ = _searched(docs, benchmark, [c for c in docs.columns if c not in ("doc_id", "text")])
-    return now.where(F.size("_spans") == 0).select(*docs.columns)
+    names = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    now, _ = _searched(renamed, benchmark, list(names.values()))
+    return now.where(F.size("_spans") == 0).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

@@ -168,7 +168,7 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHE
 ORACLES = {
     "op7_license_scan": _license_oracle(),
     "op8_decontamination": f"""
-WITH items AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH items AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
         FROM items, range(1, greatest(len(w) - 9, 1) + 1) r(i) WHERE len(w) > 0),
 docs AS MATERIALIZED (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
@@ -177,7 +177,7 @@ hits AS MATERIALIZED (SELECT d.doc_id, d.i, d.m, win.item_id
          FROM (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS s FROM docs, lengths, range(1, len(w) - m + 2) r(i)) d
          JOIN win ON win.m = d.m AND win.s = d.s),
 words AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT DISTINCT doc_id, i, m FROM hits), range(0, m) r(k) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
        sha256(coalesce(found.ids, '')) AS items_sha256, words.n IS NOT NULL AS contaminated
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""",
