@@ -1,8 +1,11 @@
 """Rows beyond limits that operators once had, and names in awkward places."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tieout.functions import blocks
 from tieout.operators import cells as K
 from tieout.operators import clauses as C
 from tieout.operators import hierarchy as H
@@ -43,6 +46,93 @@ def test_period_blocks_far_down_and_across_gaps(spark):
     assert got[0].last_row == 2 and got[300].last_row == 302 and got[300].data_rows == 2
 
 
+def plain_period_blocks(rows, blank=3):
+    """Scan from the top with the regions claimed so far, on {row: {col: text}}."""
+    dated = lambda x: x.startswith("20")
+    figure = lambda x: x.isdigit() and not dated(x)
+
+    def spans(r):
+        out, label, cols = [], None, []
+        for c, x in [*sorted(rows.get(r, {}).items()), (99, "end")]:
+            if dated(x):
+                cols += [c] * (label is not None)
+            else:
+                if len(cols) >= 2:
+                    out.append((label, cols))
+                label, cols = c, []
+        return out
+
+    found, claimed, n = [], [], max(rows, default=-1) + 10
+    for r in range(n):
+        for label, cols in spans(r):
+            if any(c == label and a <= r <= b for c, a, b in claimed):
+                continue
+            j, empty, data, last = r + 1, 0, 0, None
+            while j < n and empty < blank:
+                here = rows.get(j, {})
+                nums = any(figure(here.get(c, "")) for c in cols)
+                if label not in here and not nums:
+                    empty += 1
+                else:
+                    empty = 0
+                    if spans(j) and label in here and not nums:
+                        break
+                    data, last = data + nums, j if nums else last
+                j += 1
+            if data >= 2:
+                claimed.append((label, r, j))
+                found.append((label, r, len(cols), data, last))
+    return found
+
+
+def test_dated_blocks_against_a_scan_with_claims(spark):
+    draw = random.Random(11)
+    cells, want = [], set()
+    for k in range(60):
+        sheet = {}
+        for r in range(40):
+            if draw.random() < 0.15:
+                continue
+            kinds = draw.choice([["x", "d", "d", "1"], ["x", "1", "2", "3"], ["x", "d", "d", "d"], ["", "1", "", "2"], ["x", "d", "d", "1", "x", "d", "d"], ["x", "", "", "", "y", "5", "6"], ["7", "d", "", "d"], ["x"]])
+            sheet[r] = {c: "2021-12-31" if x == "d" else x for c, x in enumerate(kinds) if x}
+        sheet = {r + 10 * (r // 20): v for r, v in sheet.items()}
+        cells += [("w", f"s{k}", r, c, x) for r, row in sheet.items() for c, x in row.items()]
+        want |= {(f"s{k}", *b) for b in plain_period_blocks(sheet)}
+    got = {(r.sheet, r.label_col, r["head"], r.periods, r.data_rows, r.last_row) for r in K.period_blocks(K.typed(spark.createDataFrame(cells, CELLS))).collect()}
+    assert len(want) > 100 and got == want
+    assert K.period_blocks(K.typed(spark.createDataFrame([], CELLS))).count() == 0
+
+
+def test_claimed_spans_chain(spark):
+    """A chain of two hundred, spans that overlap it, and a group of its own."""
+    rows = [("a", i, i + 1) for i in range(400)] + [("b", 5, 90), ("b", 6, 7), ("b", 90, 95), ("b", 91, 92), ("b", 96, 96)]
+    got = {(r.k, r.s) for r in blocks.claim_spans(spark.createDataFrame(rows, "k string, s int, e int"), ["k"], "s", "e").collect()}
+    assert got == {("a", i) for i in range(0, 400, 2)} | {("b", 5), ("b", 91), ("b", 96)}
+
+
+def test_phase_tags_by_shared_columns(spark):
+    """Two tag rows for four blocks: most shared columns win, the smaller tag on a tie, none leaves the number."""
+    cells = []
+    put = lambda sheet, r, texts: cells.extend((sheet, r, c, t) for c, t in enumerate(texts) if t)
+
+    def block(sheet, top, figures, revenue="Dry revenue post VAT"):
+        put(sheet, top, ["", "Total occupancy rate"])
+        put(sheet, top + 1, ["", "Total leased area", *figures])
+        put(sheet, top + 2, ["", revenue, *figures])
+
+    put("s", 0, ["", "", *["wide"] * 8])
+    put("s", 1, ["", "", "", "", *["cold"] * 4])
+    block("s", 10, ["0", "0", "5", "6", "7", "8"])  # four of either: the smaller tag
+    block("s", 20, ["1", "2", "3", "4", "5", "6", "7", "8"])  # all eight of the wide one
+    block("s", 30, ["0"] * 8)  # nothing active
+    block("s", 40, ["0", "0", "1"])  # one of either again
+    block("t", 10, ["1"])
+    block("t", 20, ["1"])
+    block("t", 30, ["1"], "Gross revenue")
+    got = {(r.sheet, r.n): r.label for r in K.phase_blocks(spark.createDataFrame(cells, "sheet string, row_idx int, col_idx int, cell_text string")).collect()}
+    assert got == {("s", 1): "cold", ("s", 2): "wide", ("s", 3): "Phase 3", ("s", 4): "cold (2)", ("t", 1): "Dry", ("t", 2): "Dry (2)", ("t", 3): "Phase 3"}
+
+
 def test_segments_end_at_blank_rows(spark):
     rows = grid(spark, {0: ["x"], 1: ["x"], 3: ["x"], 9: ["x"]})
     assert {r.row_idx: r.segment for r in K.with_segment(rows, 1).collect()} == {0: 0, 1: 0, 3: 3, 9: 9}

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tieout.sources.sinks import cut_lineage
+
 RANGE = 4096
 
 
@@ -97,6 +99,27 @@ def claim_intervals(df: DataFrame, keys: list[str], start: str, end: str, reach:
     return kept.select(*keys, F.explode("_k").alias("_i")).select(*keys, F.col("_i.s").alias(start), F.col("_i.e").alias(end))
 
 
+def claim_spans(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """``claim_intervals`` for intervals of any length: (keys, start) of those kept.
+
+    ``start`` is unique within its group. A start that no earlier interval covers is
+    kept; from there each kept interval leads to the first start beyond its end. These
+    steps are doubled round by round, so a chain of n intervals takes log2(n) rounds.
+    """
+    x = running_max(df.select(*keys, start, end), keys, start, {"_cover": F.col(end)})
+    x = cut_lineage(x.withColumn("_free", F.col("_cover").isNull() | (F.col("_cover") < F.col(start))), "spans")
+    # read from the far end: a start at an even place, the question what follows an end at the odd one after it
+    here = x.select(*keys, start, (-2 * F.col(start)).alias("_at"), F.struct(F.col(start).alias("s"), F.col("_free").alias("free")).alias("_here"))
+    asks = x.select(*keys, start, (-2 * F.col(end) - 1).alias("_at"), F.lit(None).cast(here.schema["_here"].dataType).alias("_here"))
+    seen = fill_forward(here.unionByName(asks), keys, "_at", "_here", "_next").where(F.col("_here").isNull())
+    step = cut_lineage(seen.where(~F.col("_next.free")).select(*keys, start, F.col("_next.s").alias("_to")), "span-steps")
+    kept = x.where("_free").select(*keys, start)
+    while not (more := kept.join(step, [*keys, start]).select(*keys, F.col("_to").alias(start))).isEmpty():
+        kept = cut_lineage(kept.unionByName(more).distinct(), "spans-kept")
+        step = cut_lineage(step.join(step.select(*keys, F.col(start).alias("_to"), F.col("_to").alias("_on")), [*keys, "_to"]).select(*keys, start, F.col("_on").alias("_to")), "span-steps")
+    return kept
+
+
 def blocks_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return dense_index(df, keys, order, "_pos")
 

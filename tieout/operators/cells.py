@@ -19,6 +19,7 @@ from tieout.functions.cleanup import is_likely_entity
 from tieout.functions.dates import parse_date
 from tieout.functions.labels import contains_any, has_thousand_marker, has_unit_marker, row_type, stage_of
 from tieout.functions.numbers import coerce_numeric
+from tieout.sources.sinks import cut_lineage
 
 SHEET = ["workbook_id", "sheet"]
 ROW, COL = [*SHEET, "row_idx"], [*SHEET, "col_idx"]
@@ -561,66 +562,117 @@ def bridge_blocks(cells: DataFrame) -> DataFrame:
     return items.join(chk.select(*key, ok.alias("check_ok")), key).select(*key, "row_idx", "label", "kind", "value", "check_ok")
 
 
-def with_segment(rows: DataFrame, blank: int) -> DataFrame:
-    """``rows`` (SHEET, row_idx, ...) with ``segment``: the first row of their run, which ends where ``blank`` rows in a row are empty."""
-    filled = rows.select(*ROW).distinct()
-    after = filled.select(*SHEET, F.explode(F.sequence(F.col("row_idx") + 1, F.col("row_idx") + blank)).alias("row_idx")).distinct()
-    starts = filled.join(after, ROW, "left_anti").withColumn("_start", F.col("row_idx"))
-    marked = blocks.fill_forward(filled.join(starts, ROW, "left"), SHEET, "row_idx", "_start", "segment")
-    return rows.join(marked.select(*ROW, "segment"), ROW)
+def with_segment(rows: DataFrame, blank: int, keys: list[str] = SHEET) -> DataFrame:
+    """``rows`` (keys, row_idx, ...) with ``segment``: the first row of their run, which ends where ``blank`` rows in a row are empty."""
+    row = [*keys, "row_idx"]
+    filled = rows.select(*row).distinct()
+    after = filled.select(*keys, F.explode(F.sequence(F.col("row_idx") + 1, F.col("row_idx") + blank)).alias("row_idx")).distinct()
+    starts = filled.join(after, row, "left_anti").withColumn("_start", F.col("row_idx"))
+    marked = blocks.fill_forward(filled.join(starts, row, "left"), keys, "row_idx", "_start", "segment")
+    return rows.join(marked.select(*row, "segment"), row)
 
 
-def period_blocks(cells: DataFrame, blank: int = 3) -> DataFrame:
+def dated_headers(cells: DataFrame) -> DataFrame:
+    """Label cells followed by two or more dates before the next other cell: label_col, head, periods and the dates' columns."""
+    w = Window.partitionBy(*ROW).orderBy("col_idx").rowsBetween(Window.unboundedPreceding, 0)
+    is_date = F.col("date").isNotNull()
+    labelled = cells.withColumn("label_col", F.last(F.when(~is_date, F.col("col_idx")), True).over(w)).where(is_date & F.col("label_col").isNotNull())
+    spans = labelled.groupBy(*ROW, "label_col").agg(F.sort_array(F.collect_list("col_idx")).alias("cols"))
+    return spans.select(*SHEET, "label_col", "cols", F.col("row_idx").alias("head"), F.size("cols").cast("bigint").alias("periods")).where("periods >= 2")
+
+
+def period_blocks(cells: DataFrame, blank: int = 3, least: int = 2) -> DataFrame:
     """Dated blocks anywhere on a sheet: a label cell followed by two or more dates, then rows with figures.
 
-    Blocks side by side are told apart by their label column; a header inside the rows of
-    an earlier block of the same column is not a new one. ``blank`` empty rows end a block.
+    A block reads its label column and the columns of its dates. It ends before a row that
+    heads a dated block, has a label and no figure of this one, or where ``blank`` rows in a
+    row hold neither label nor figure; ``least`` rows need a figure. The rows down to the one
+    that ends a block, that one included, belong to it: from top to bottom, a header inside
+    the rows of a block kept before with the same label column is no block. Blocks side by
+    side have label columns of their own. Cost follows cells times layouts (label column and
+    dates' columns) of a sheet, not headers.
     """
-    t = with_segment(cells, blank)
-    w = Window.partitionBy(*ROW).orderBy("col_idx")
-    is_date = F.col("date").isNotNull()
-    spans = t.withColumn("label_col", F.last(F.when(~is_date, F.col("col_idx")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(
-        is_date & F.col("label_col").isNotNull()).groupBy(*ROW, "segment", "label_col").agg(F.count(F.lit(1)).alias("periods"), F.min("col_idx").alias("lo"), F.max("col_idx").alias("hi")).where("periods >= 2")
-    head = spans.select(*SHEET, "segment", "label_col", F.col("row_idx").alias("head"), "periods", "lo", "hi")
-    nxt = head.withColumn("next_head", F.lead("head").over(Window.partitionBy(*SHEET, "label_col").orderBy("head")))
-    nums = t.where("number IS NOT NULL").select(*SHEET, "segment", "row_idx", "col_idx")
-    body = nxt.join(nums, [*SHEET, "segment"]).where("row_idx > head AND (next_head IS NULL OR row_idx < next_head) AND col_idx BETWEEN lo AND hi").groupBy(
-        *SHEET, "label_col", "head", "periods").agg(F.count_distinct("row_idx").alias("data_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"))
-    titles = t.where("date IS NULL").select(*SHEET, F.col("col_idx").alias("label_col"), F.col("row_idx").alias("tr"), F.trim("cell_text").alias("t"))
-    title = head.join(titles, [*SHEET, "label_col"]).where("tr BETWEEN head - 2 AND head - 1").groupBy(*SHEET, "label_col", "head").agg(F.max_by("t", "tr").alias("title"))
-    return body.where("data_rows >= 2").join(title, [*SHEET, "label_col", "head"], "left").select(*SHEET, "label_col", "head", "periods", "data_rows", "last_row", "title")
+    heads = cut_lineage(dated_headers(cells), "dated-headers")
+    layout = [*SHEET, "label_col", "cols"]
+    layouts = heads.select(*layout).distinct()
+    filled = cells.select(*SHEET, F.col("col_idx").alias("label_col"), "row_idx")
+    figures = cells.where("number IS NOT NULL").select(*ROW, "col_idx")
+    labels = layouts.join(filled, [*SHEET, "label_col"]).select(*layout, "row_idx", F.lit(True).alias("label"), F.lit(False).alias("figure"))
+    counted = layouts.withColumn("col_idx", F.explode("cols")).join(figures, [*SHEET, "col_idx"]).select(*layout, "row_idx", F.lit(False).alias("label"), F.lit(True).alias("figure"))
+    rows = labels.unionByName(counted).groupBy(*layout, "row_idx").agg(F.bool_or("label").alias("label"), F.bool_or("figure").alias("figure"))
+    rows = with_segment(cut_lineage(rows, "block-rows"), blank, layout)
+    rows = rows.join(heads.select(*SHEET, F.col("head").alias("row_idx")).distinct().withColumn("dated", F.lit(True)), ROW, "left")
+    rows = rows.join(heads.select(*layout, F.col("head").alias("row_idx"), "periods"), [*layout, "row_idx"], "left")
+    run = [*layout, "segment"]
+    rows = blocks.fill_forward(rows.withColumn("_figure", F.when(F.col("figure"), F.col("row_idx"))), run, "row_idx", "_figure", "last")
+    # read from the far end: a row at an even place, what a header sees below itself at the odd one after it
+    places = F.when(F.col("periods").isNull(), F.array(-2 * F.col("row_idx"))).otherwise(F.array(-2 * F.col("row_idx"), -2 * F.col("row_idx") - 1))
+    rows = rows.withColumn("_at", F.explode(places)).withColumn("_asks", F.col("_at") % 2 != 0)
+    rows = blocks.running_sum(rows, run, "_at", (F.col("figure") & ~F.col("_asks")).cast("bigint"), "below")
+    stop = F.col("dated") & F.col("label") & ~F.col("figure") & ~F.col("_asks")
+    rows = rows.withColumn("_stop", F.when(stop, F.struct("row_idx", "below", "last")))
+    rows = blocks.fill_forward(rows, run, "_at", "_stop", "next")
+    whole = rows.groupBy(*run).agg(F.max("row_idx").alias("run_end"), F.max("_figure").alias("run_last"))
+    asked = rows.where("_asks").join(whole, run).select(
+        *SHEET, "label_col", F.col("row_idx").alias("head"), "periods", (F.col("below") - F.coalesce("next.below", F.lit(0))).alias("data_rows"),
+        F.when(F.col("next").isNull(), F.col("run_last")).otherwise(F.col("next.last")).alias("last_row"), F.coalesce("next.row_idx", F.col("run_end") + blank + 1).alias("end"))
+    found = cut_lineage(asked.where(F.col("data_rows") >= least), "dated-blocks")
+    key = [*SHEET, "label_col", "head"]
+    kept = found.join(blocks.claim_spans(found, key[:-1], "head", "end"), key)
+    titles = cells.where("date IS NULL").select(*SHEET, F.col("col_idx").alias("label_col"), F.col("row_idx").alias("_above"), F.trim("cell_text").alias("t"))
+    above = kept.select(*key, F.explode(F.array(F.col("head") - 1, F.col("head") - 2)).alias("_above"))
+    title = above.join(titles, [*SHEET, "label_col", "_above"]).groupBy(*key).agg(F.max_by("t", "_above").alias("title"))
+    return kept.join(title, key, "left").select(*key, "periods", "data_rows", "last_row", "title")
 
 
 # Metric rows of an operating sheet (fixed values).
 METRICS = (("occupancy", r"^total occupancy rate$"), ("area", r"leased area$|occupied area$"), ("rent", r"^rent$"), ("revenue", r"revenue"))
+# Words before "revenue" that name no type (fixed values).
+AGGREGATE_WORDS = ("gross", "total", "net")
 
 
-def phase_blocks(cells: DataFrame) -> DataFrame:
+def phase_blocks(cells: DataFrame, tail: int = 8, repeats: int = 4) -> DataFrame:
     """Phase blocks of operating sheets: rows by metric in the occupancy row's own column, and a label.
 
-    Labels: tag rows by position where their number fits the blocks, else the type named in
-    the revenue row, else ``Phase n``; repeated labels get a number. ``cells``: sheet, row_idx, col_idx, cell_text.
+    A block runs from its occupancy row to the next one, the last for ``tail`` rows. Tags are
+    short texts that stand ``repeats`` times in a row. Where a sheet has as many tag rows as
+    blocks, they go together by position; where the numbers differ, a block takes the tag
+    that shares most columns with its own figures other than zero (the tag of fewer columns
+    on a tie, then the upper one) and stays ``Phase n`` without any. A sheet without tags
+    takes the type named in the revenue row, else ``Phase n``. Repeated labels get a number.
+    ``cells``: sheet, row_idx, col_idx, cell_text.
     """
     text = F.trim("cell_text")
     metric = F.lit(None).cast("string")
     for name, pattern in reversed(METRICS):
         metric = F.when(F.rlike(F.lower(text), F.lit(pattern)), name).otherwise(metric)
     m = cells.withColumn("metric", metric).where("metric IS NOT NULL")
-    occ = m.where("metric = 'occupancy'").select("sheet", F.col("row_idx").alias("start"), F.col("col_idx").alias("anchor"))
-    w = Window.partitionBy("sheet").orderBy("start")
-    occ = occ.withColumn("n", F.row_number().over(w)).withColumn("end", F.coalesce(F.lead("start").over(w) - 1, F.col("start") + 8))
-    inside = occ.join(m.select("sheet", "row_idx", "col_idx", "metric", "cell_text"), "sheet").where("row_idx BETWEEN start AND end AND col_idx = anchor")
+    occ = m.where("metric = 'occupancy'").groupBy("sheet", F.col("row_idx").alias("start")).agg(F.max("col_idx").alias("anchor"))
+    occ = blocks.dense_index(occ, ["sheet"], "start", "n")
+    counts = occ.groupBy("sheet").agg(F.count(F.lit(1)).alias("blocks"))
+    # every metric row meets the block that starts at or above it
+    owned = m.select("sheet", "row_idx").distinct().join(occ.select("sheet", F.col("start").alias("row_idx"), F.col("start").alias("_start")), ["sheet", "row_idx"], "left")
+    owned = blocks.fill_forward(owned, ["sheet"], "row_idx", "_start", "start").where("start IS NOT NULL").select("sheet", "row_idx", "start")
+    inside = m.join(owned, ["sheet", "row_idx"]).join(occ.join(counts, "sheet"), ["sheet", "start"]).where((F.col("col_idx") == F.col("anchor")) & ((F.col("n") < F.col("blocks")) | (F.col("row_idx") <= F.col("start") + tail)))
     row = lambda k: F.max(F.when(F.col("metric") == k, F.col("row_idx")))
-    b = inside.groupBy("sheet", "n", "start").agg(row("area").alias("area_row"), row("rent").alias("rent_row"), row("revenue").alias("revenue_row"),
-                                                F.max_by("cell_text", F.when(F.col("metric") == "revenue", F.col("row_idx"))).alias("revenue_text"))
+    b = inside.groupBy("sheet", "n", "start", "blocks").agg(row("area").alias("area_row"), row("rent").alias("rent_row"), row("revenue").alias("revenue_row"),
+                                                          F.max_by("cell_text", F.when(F.col("metric") == "revenue", F.col("row_idx"))).alias("revenue_text"))
     short = F.rlike(text, F.lit(r"^\D{1,8}$")) & ~F.rlike(text, F.lit(r"(?i)年|月|日|LTM|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"))
-    tags = cells.where(short).groupBy("sheet", "row_idx", text.alias("tag")).agg(F.count(F.lit(1)).alias("c")).where("c >= 4")
-    tags = tags.groupBy("sheet", "row_idx").agg(F.array_join(F.array_sort(F.collect_set("tag")), "/").alias("tag"))
-    tags = tags.withColumn("n", F.row_number().over(Window.partitionBy("sheet").orderBy("row_idx")))
-    counts = b.groupBy("sheet").agg(F.count(F.lit(1)).alias("blocks")).join(tags.groupBy("sheet").agg(F.count(F.lit(1)).alias("tags")), "sheet", "left")
-    x = b.join(counts, "sheet").join(tags.select("sheet", "n", "tag"), ["sheet", "n"], "left")
-    derived = F.nullif(F.trim(F.regexp_replace("revenue_text", r"(?i)\s*rental revenue.*$", "")), F.lit(""))
-    label = F.coalesce(F.when(F.col("tags") == F.col("blocks"), F.col("tag")), F.when(F.col("tags").isNull(), derived), F.concat(F.lit("Phase "), F.col("n").cast("string")))
-    x = x.withColumn("base", label).withColumn("k", F.row_number().over(Window.partitionBy("sheet", "base").orderBy("n")))
+    named = cells.where(short).groupBy("sheet", "row_idx", text.alias("tag")).agg(F.collect_set("col_idx").alias("cols")).where(F.size("cols") >= repeats)
+    rows = blocks.dense_index(named.groupBy("sheet", "row_idx").agg(F.array_join(F.array_sort(F.collect_set("tag")), "/").alias("tag")), ["sheet"], "row_idx", "n")
+    x = b.join(rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("tags")), "sheet", "left").join(rows.select("sheet", "n", "tag"), ["sheet", "n"], "left")
+    spots = named.select("sheet", "tag", "row_idx", F.explode("cols").alias("col_idx")).groupBy("sheet", "tag", "col_idx").agg(F.min("row_idx").alias("tag_row"))
+    sizes = spots.groupBy("sheet", "tag").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("tag_row", "col_idx")).alias("place"))
+    amount = coerce_numeric(F.col("cell_text"), MONEY)
+    figures = cells.where(amount != 0).select("sheet", "row_idx", "col_idx")
+    sides = x.where("tags <> blocks").select("sheet", "n", F.explode(F.array("area_row", "revenue_row")).alias("row_idx"))
+    active = sides.join(figures, ["sheet", "row_idx"]).select("sheet", "n", "col_idx").distinct()
+    shared = active.join(spots, ["sheet", "col_idx"]).groupBy("sheet", "n", "tag").agg(F.count(F.lit(1)).alias("overlap")).join(sizes, ["sheet", "tag"])
+    nearest = shared.groupBy("sheet", "n").agg(F.min_by("tag", F.struct(-F.col("overlap"), "size", "place")).alias("nearest"))
+    derived = F.trim(F.regexp_replace("revenue_text", r"(?i)\s*(rental )?revenue.*$", ""))
+    derived = F.when(~F.lower(derived).isin("", *AGGREGATE_WORDS), derived)
+    label = F.when(F.col("tags") == F.col("blocks"), F.col("tag")).when(F.col("tags").isNull(), derived).otherwise(F.col("nearest"))
+    x = x.join(nearest, ["sheet", "n"], "left").withColumn("base", F.coalesce(label, F.concat(F.lit("Phase "), F.col("n").cast("string"))))
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("sheet", "base").orderBy("n")))
     return x.select("sheet", "n", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), F.col("k").cast("string"), F.lit(")"))).alias("label"),
                     F.col("start").alias("occupancy_row"), "area_row", "rent_row", "revenue_row")

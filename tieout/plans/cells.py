@@ -254,9 +254,22 @@ def _(t):
     return X.period_blocks(cells_of(t))
 
 
-@query("phase_blocks", """WITH b AS (SELECT entity_id, entity AS sheet, phase, k, row_number() OVER (PARTITION BY entity ORDER BY k) AS n, count(*) OVER (PARTITION BY entity) AS blocks, count(*) FILTER (yrs >= 4) OVER (PARTITION BY entity) AS tags, yrs
-  FROM (SELECT entity_id, entity, phase, k, count(*) AS yrs FROM ph GROUP BY ALL))
-SELECT sheet, n, CASE WHEN entity_id % 2 = 0 THEN CASE WHEN tags = blocks THEN concat('T', substr(phase, 1, 3)) ELSE concat('Phase ', n) END ELSE phase END AS label,
-  CAST(10 + k * 6 AS INT) AS occupancy_row, CAST(11 + k * 6 AS INT) AS area_row, CAST(12 + k * 6 AS INT) AS rent_row, CAST(13 + k * 6 AS INT) AS revenue_row FROM b""")
+@query("journal_blocks", """WITH e AS (SELECT portfolio AS workbook_id, concat('Journal ', entity) AS sheet, account, headed, row_at, lag(account) OVER (PARTITION BY portfolio, entity, headed ORDER BY row_at) AS before FROM journal_line)
+SELECT workbook_id, sheet, 0 AS label_col, 0 AS head, CAST(3 AS BIGINT) AS periods, 3 * count(*) AS data_rows, CAST(max(row_at) + 2 AS INT) AS last_row, CAST(NULL AS VARCHAR) AS title FROM e WHERE headed GROUP BY ALL
+UNION ALL SELECT workbook_id, sheet, 0, row_at, 2, 2, row_at + 2, 'Tax ' || lower(before) FROM e WHERE NOT headed AND (row_at - 1001) % 6 = 0""")
+def _(t):
+    """Blocks of journals whose rows are dated themselves."""
+    return X.period_blocks(cells_of(t, "journal_cells"))
+
+
+@query("phase_blocks", """WITH b AS (SELECT entity, phase, k, row_number() OVER (PARTITION BY entity ORDER BY k) AS n, count(*) OVER (PARTITION BY entity) AS blocks FROM (SELECT DISTINCT entity, phase, k FROM ph)),
+tg AS (SELECT entity, k AS tag_row, tag, count(*) AS size, count(*) OVER (PARTITION BY entity) AS tags FROM phase_tag GROUP BY entity, k, tag HAVING count(*) >= 4),
+o AS (SELECT ph.entity, ph.k, tg.tag, tag_row, size, count(*) AS overlap FROM ph JOIN phase_tag USING (entity, yr) JOIN tg ON tg.entity = ph.entity AND tg.tag_row = phase_tag.k WHERE ph.area <> 0 OR ph.revenue <> 0 GROUP BY ALL),
+best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY entity, k ORDER BY overlap DESC, size, tag_row) = 1),
+x AS (SELECT b.entity, n, b.k, CASE WHEN c.tags IS NULL THEN phase WHEN c.tags = blocks THEN concat('T', substr(phase, 1, 3)) ELSE coalesce(best.tag, concat('Phase ', n)) END AS base
+  FROM b LEFT JOIN (SELECT DISTINCT entity, tags FROM tg) c ON c.entity = b.entity LEFT JOIN best ON best.entity = b.entity AND best.k = b.k),
+y AS (SELECT *, row_number() OVER (PARTITION BY entity, base ORDER BY n) AS again FROM x)
+SELECT entity AS sheet, n, CASE WHEN again = 1 THEN base ELSE concat(base, ' (', again, ')') END AS label,
+  CAST(10 + k * 6 AS INT) AS occupancy_row, CAST(11 + k * 6 AS INT) AS area_row, CAST(12 + k * 6 AS INT) AS rent_row, CAST(13 + k * 6 AS INT) AS revenue_row FROM y""")
 def _(t):
     return X.phase_blocks(t.phase_cells)

@@ -201,11 +201,35 @@ FROM (
 ) x
 """
 
+# Journals in which rows carry dates themselves: under a header of three dates, and again far below without one.
+VIEWS["journal_line"] = """
+SELECT entity, portfolio, account, yr, period_end, amount, yr < 1997 AS headed,
+       CAST(3 * row_number() OVER (PARTITION BY entity, portfolio, yr < 1997 ORDER BY account, yr) - 2 + CASE WHEN yr < 1997 THEN 0 ELSE 1000 END AS INT) AS row_at
+FROM (SELECT entity, portfolio, account, yr, max(period_end) AS period_end, CAST(sum(amount) AS DECIMAL(20,2)) AS amount FROM schedule_line GROUP BY entity, portfolio, account, yr) x
+"""
+VIEWS["journal_cells"] = """
+SELECT portfolio AS workbook_id, concat('Journal ', entity) AS sheet, row_idx, col_idx, cell_text
+FROM (
+  SELECT DISTINCT entity, portfolio, 0 AS row_idx, h.col_idx, h.cell_text FROM journal_line
+  CROSS JOIN (VALUES (0, 'Booked'), (1, '1995-12-31'), (2, '1996-12-31'), (3, '1997-12-31')) AS h(col_idx, cell_text)
+  UNION ALL SELECT entity, portfolio, CAST(row_at + h.o AS INT), 0, concat(h.word, ' ', lower(account)) FROM journal_line CROSS JOIN (VALUES (0, 'Entry'), (1, 'Net'), (2, 'Tax')) AS h(o, word)
+  UNION ALL SELECT entity, portfolio, row_at, h.c, CAST(period_end AS VARCHAR(10)) FROM journal_line CROSS JOIN (VALUES (1), (2)) AS h(c)
+  UNION ALL SELECT entity, portfolio, row_at, 3, CAST(amount AS VARCHAR(30)) FROM journal_line
+  UNION ALL SELECT entity, portfolio, CAST(row_at + h.o AS INT), h.c, CAST(amount AS VARCHAR(30)) FROM journal_line CROSS JOIN (VALUES (1, 1), (1, 2), (2, 2)) AS h(o, c)
+) x
+"""
+
 VIEWS["ph"] = """
 SELECT entity_id, entity, phase, CASE phase WHEN 'STANDARD' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'PROMO' THEN 2 WHEN 'SMALL' THEN 3 WHEN 'MEDIUM' THEN 4 ELSE 5 END AS k,
        yr, CAST(sum(area) AS DECIMAL(20,2)) AS area, CAST(sum(revenue) AS DECIMAL(20,2)) AS revenue FROM metric_month GROUP BY ALL
 """
 
+# Tags of phases by year: on every fourth sheet one phase has none and another only some.
+VIEWS["phase_tag"] = """
+SELECT entity, k, yr, concat('T', substr(phase, 1, 3)) AS tag FROM ph
+WHERE entity_id % 2 = 0 AND NOT (entity_id % 4 = 0 AND (k = 2 OR (k = 1 AND yr % 4 = 3)))
+"""
+
 # Operating sheets: one block of metric rows per phase, months across, tags above, grand total below.
 VIEWS["phase_cells"] = """
 SELECT entity AS sheet, row_idx, col_idx, cell_text
@@ -216,7 +240,7 @@ FROM (
   UNION ALL SELECT entity, CAST(10 + k * 6 + 1 AS INT), CAST(yr - 1985 AS INT), CAST(area AS VARCHAR(30)) FROM ph
   UNION ALL SELECT entity, CAST(10 + k * 6 + 3 AS INT), CAST(yr - 1985 AS INT), CAST(revenue AS VARCHAR(30)) FROM ph
   UNION ALL SELECT DISTINCT entity, 60, 2, 'Total rental revenue' FROM ph
-  UNION ALL SELECT DISTINCT entity, CAST(2 + k AS INT), CAST(yr - 1985 AS INT), concat('T', substr(phase, 1, 3)) FROM ph WHERE entity_id % 2 = 0
+  UNION ALL SELECT entity, CAST(2 + k AS INT), CAST(yr - 1985 AS INT), tag FROM phase_tag
 ) x
 """
 # Parent rows before their parts, with no total row.
