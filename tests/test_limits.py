@@ -110,6 +110,34 @@ def test_claimed_spans_chain(spark):
     assert got == {("a", i) for i in range(0, 400, 2)} | {("b", 5), ("b", 91), ("b", 96)}
 
 
+def test_relaxed_headers_against_a_scan(spark):
+    """Every row of random sheets tried as the header, its columns profiled below."""
+    draw = random.Random(5)
+    cells, want = [], set()
+    for k in range(40):
+        sheet = [(r, c, draw.choice(["1.5", "2.5", "3", "text", "2021-12-31", "2022-12-31", "remarks"])) for r in range(12) for c in range(6) if draw.random() < 0.6]
+        sheet.append((0, 0, "CNY'000"))
+        sheet = list({(r, c): (r, c, x) for r, c, x in sheet}.values())
+        cells += [("w", f"s{k}", *x) for x in sheet]
+        for tier, (least, most) in enumerate(K.RELAXED, 1):
+            best = []
+            for row in range(12):
+                cols = []
+                for c in range(1, 6):
+                    body = [x for r, cc, x in sheet if cc == c and r > row]
+                    n = sum(x[0].isdigit() and "-" not in x for x in body)
+                    if any(r == row and cc == c and x.startswith("20") for r, cc, x in sheet) and n >= 1 and n / len(body) >= least and len(body) - n <= most:
+                        cols.append(c)
+                if len(cols) > len(best):
+                    best, at = cols, row
+            if best:
+                want |= {(f"s{k}", at, tier, c) for c in best}
+                break
+    typed = K.typed(spark.createDataFrame(cells, CELLS))
+    got = {(r.sheet, r.date_row, r.tier, r.col_idx) for r in K.relaxed_header(typed, K.description_column(typed)).collect()}
+    assert len({w[2] for w in want}) == 2 and got == want
+
+
 def test_phase_tags_by_shared_columns(spark):
     """Two tag rows for four blocks: most shared columns win, the smaller tag on a tie, none leaves the number."""
     cells = []

@@ -42,12 +42,18 @@ def fill_forward(df: DataFrame, keys: list[str], order: str, value: str, name: s
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, name: str, width: int = RANGE) -> DataFrame:
     """Sum of ``value`` over the group's rows up to and including each row."""
-    x = _ranged(df.withColumn("_v", value), order, width)
-    sums = x.groupBy(*keys, "_range").agg(F.sum("_v").alias("_s"))
-    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
-    local = F.sum("_v").over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return x.join(starts, [*keys, "_range"]).withColumn(name, local + F.col("_start")).drop("_range", "_v", "_start")
+    return running_sums(df, keys, order, {name: value}, width)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], width: int = RANGE) -> DataFrame:
+    """For each named expression, its sum over the group's rows up to and including each row."""
+    x = _ranged(df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()]), order, width)
+    sums = x.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in values])
+    local = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(starts, [*keys, "_range"])
+    return x.select(*df.columns, *[(F.sum(f"_v_{n}").over(local) + F.col(f"_start_{n}")).alias(n) for n in values])
 
 
 def with_following(df: DataFrame, keys: list[str], index: str, reach: int, make, width: int = RANGE) -> DataFrame:

@@ -170,36 +170,95 @@ def value_columns(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> Data
     return x.where(ok).select(*COL, "date", "numbers", "texts", F.coalesce("marked", F.lit(False)).alias("marked"))
 
 
-def best_header(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> DataFrame:
-    """Best (date row, marker row) near the header by markers, distinct dates, repeats and columns.
+def body_profiles(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """Numeric and text cells of a column from each asked row on.
+
+    ``asked``: workbook_id, sheet, col_idx, start, distinct. Counts run up from the end of
+    the column once, however many rows of it are asked for.
+    """
+    own = cells.join(asked.select(*COL).distinct(), COL, "left_semi")
+    empty = F.lit(0).cast("bigint")
+    counted = own.select(*COL, (-2 * F.col("row_idx")).alias("_at"), F.col("number").isNotNull().cast("bigint").alias("_n"), F.col("number").isNull().cast("bigint").alias("_t"), F.lit(None).cast(asked.schema["start"].dataType).alias("start"))
+    x = counted.unionByName(asked.select(*COL, (-2 * F.col("start") + 1).alias("_at"), empty.alias("_n"), empty.alias("_t"), "start"))
+    x = blocks.running_sums(x, COL, "_at", {"numbers": F.col("_n"), "texts": F.col("_t")})
+    return x.where("start IS NOT NULL").select(*COL, "start", "numbers", "texts")
+
+
+def header_candidates(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> DataFrame:
+    """Value columns (h, d, m, col_idx, date, marked) of every date row and marker row near a sheet's stage row.
 
-    A sheet has 6 x 3 candidates, enumerated by offset; column bodies are profiled once
-    and the few rows above a candidate's data start are taken off again.
+    A sheet has 6 x 3 candidates, enumerated by offset; a column counts if its marker says
+    so, or its body below both rows is empty or numeric enough.
     """
     h = headers.select(*SHEET, F.col("stage_row").alias("h"))
     d = F.sequence(F.greatest(F.col("h") - 2, F.lit(0)), F.col("h") + 3)
     cand = h.withColumn("d", F.explode(d)).withColumn("m", F.explode(F.array_distinct(F.array("h", F.col("d") - 1, F.col("d") + 1)))).where("m >= 0")
-    t = cells
-    body = t.groupBy(*COL).agg(F.count("number").alias("nb"), F.count_if(F.col("number").isNull()).alias("tx"))
-    top = t.join(cand.select(*SHEET, F.explode(F.array("d", "m")).alias("row_idx")).distinct(), ROW, "left_semi")
+    top = cells.join(cand.select(*SHEET, F.explode(F.array("d", "m")).alias("row_idx")).distinct(), ROW, "left_semi")
     dates = top.where("date IS NOT NULL").select(*SHEET, F.col("row_idx").alias("d"), "col_idx", "date", contains_any(F.lower("cell_text"), REMARK_WORDS).alias("r1"))
-    x = cand.join(dates, [*SHEET, "d"]).join(desc, SHEET).where("col_idx > desc_col")
     marks = top.select(*SHEET, F.col("row_idx").alias("m"), "col_idx", (F.col("stage") == PREFERRED_STAGE).alias("marked"),
                        contains_any(F.lower("cell_text"), REMARK_WORDS).alias("r2"))
-    x = x.join(marks, [*SHEET, "m", "col_idx"], "left")
-    above = x.select(*SHEET, "h", "d", "m", "col_idx").join(
-        cells.select(*COL, F.col("row_idx").alias("ar"), "number"), COL).where("ar < greatest(d, m) + 1").groupBy(
-        *SHEET, "h", "d", "m", "col_idx").agg(F.count("number").alias("an"), F.count_if(F.col("number").isNull()).alias("at"))
-    x = x.join(body, COL).join(above, [*SHEET, "h", "d", "m", "col_idx"], "left")
-    nb, tx = F.col("nb") - F.coalesce("an", F.lit(0)), F.col("tx") - F.coalesce("at", F.lit(0))
-    ok = ~F.col("r1") & ~F.coalesce("r2", F.lit(False)) & (F.coalesce("marked", F.lit(False)) | ((nb >= 1) & (nb >= tx) & (tx <= 2)) | (nb + tx == 0))
-    score = x.where(ok).groupBy(*SHEET, "h", "d", "m").agg(
-        F.count_if(F.coalesce("marked", F.lit(False))).alias("marked"), F.count_distinct("date").alias("dates"), F.count(F.lit(1)).alias("columns"))
+    x = cand.join(dates, [*SHEET, "d"]).join(desc, SHEET).where("col_idx > desc_col").join(marks, [*SHEET, "m", "col_idx"], "left")
+    x = x.withColumn("start", F.greatest("d", "m") + 1).withColumn("marked", F.coalesce("marked", F.lit(False)))
+    x = x.join(body_profiles(cells, x.select(*COL, "start").distinct()), [*COL, "start"])
+    numeric = (F.col("numbers") >= 1) & (F.col("numbers") >= F.col("texts")) & (F.col("texts") <= 2)
+    empty = (F.col("numbers") + F.col("texts")) == 0
+    ok = ~F.col("r1") & ~F.coalesce("r2", F.lit(False)) & (F.col("marked") | numeric | empty)
+    return x.where(ok).select(*SHEET, "h", "d", "m", "col_idx", "date", "marked")
+
+
+def best_header(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> DataFrame:
+    """Best (date row, marker row) near the header by markers, distinct dates, repeats and columns."""
+    return chosen_header(header_candidates(cells, headers, desc))
+
+
+def chosen_header(candidates: DataFrame) -> DataFrame:
+    score = candidates.groupBy(*SHEET, "h", "d", "m").agg(F.count_if("marked").alias("marked"), F.count_distinct("date").alias("dates"), F.count(F.lit(1)).alias("columns"))
     order = F.struct("marked", "dates", F.col("dates") - F.col("columns"), "columns", -F.col("d"), -F.when(F.col("m") == F.col("h"), 0).when(F.col("m") < F.col("d"), 1).otherwise(2))
     return score.groupBy(*SHEET).agg(F.max_by(F.struct("d", "m", "marked", "dates", "columns"), order).alias("b")).select(
         *SHEET, F.col("b.d").alias("date_row"), F.col("b.m").alias("marker_row"), "b.marked", "b.dates", "b.columns")
 
 
+#: (least share of numbers, most texts) in the body of a dated column, the stricter scan first. Fixed values.
+RELAXED = ((0.4, 2), (0.3, 3))
+
+
+def relaxed_header(cells: DataFrame, desc: DataFrame, tiers: tuple[tuple[float, int], ...] = RELAXED, scan_rows: int | None = None) -> DataFrame:
+    """Dated columns (date_row, tier, col_idx, date) of the row that has most of them, without any stage row.
+
+    Every row is a candidate; a dated cell right of the description counts if the cells
+    below it hold a number, numbers enough and few texts. The first tier that finds a column
+    on a sheet decides; of equal rows the upper one.
+    """
+    dated = cells.where(first_rows(scan_rows) & F.col("date").isNotNull() & ~contains_any(F.lower("cell_text"), REMARK_WORDS))
+    spots = dated.join(desc, SHEET).where("col_idx > desc_col").select(*ROW, "col_idx", "date", (F.col("row_idx") + 1).alias("start"))
+    x = spots.join(body_profiles(cells, spots.select(*COL, "start")), [*COL, "start"]).where("numbers >= 1")
+    share = F.col("numbers") / (F.col("numbers") + F.col("texts"))
+    fits = F.array(*[F.when((share >= least) & (F.col("texts") <= most), i + 1) for i, (least, most) in enumerate(tiers)])
+    x = x.withColumn("tier", F.explode(F.array_compact(fits))).select(*SHEET, "tier", "row_idx", "col_idx", "date")
+    rows = x.groupBy(*SHEET, "tier", "row_idx").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy(*SHEET).agg(F.min_by(F.struct("tier", "row_idx"), F.struct("tier", -F.col("n"), "row_idx")).alias("b")).select(*SHEET, "b.*")
+    return x.join(best, [*SHEET, "tier", "row_idx"]).select(*SHEET, F.col("row_idx").alias("date_row"), "tier", "col_idx", "date")
+
+
+def header_columns(cells: DataFrame, headers: DataFrame, desc: DataFrame) -> DataFrame:
+    """The value columns of every sheet's table: date_row, marker_row, tier, col_idx, date.
+
+    The best header near the stage row decides (tier 0); of its columns those from the first
+    to the last marked one stay, all where none is marked. Sheets without such a header take
+    the relaxed scan. Of columns of one date the first stays.
+    """
+    near = cut_lineage(header_candidates(cells, headers, desc), "header-candidates")
+    best = chosen_header(near).select(*SHEET, F.col("date_row").alias("d"), F.col("marker_row").alias("m"))
+    strict = near.join(best, [*SHEET, "d", "m"])
+    marked = F.when(F.col("marked"), F.col("col_idx"))
+    reach = strict.groupBy(*SHEET).agg(F.min(marked).alias("lo"), F.max(marked).alias("hi"))
+    strict = strict.join(reach, SHEET).where("lo IS NULL OR col_idx BETWEEN lo AND hi")
+    found = strict.select(*SHEET, F.col("d").alias("date_row"), F.col("m").alias("marker_row"), F.lit(0).alias("tier"), "col_idx", "date")
+    others = cells.join(best, SHEET, "left_anti")
+    relaxed = relaxed_header(others, desc).select(*SHEET, "date_row", F.lit(None).cast("int").alias("marker_row"), "tier", "col_idx", "date")
+    return found.unionByName(relaxed).groupBy(*SHEET, "date_row", "marker_row", "tier", "date").agg(F.min("col_idx").alias("col_idx"))
+
+
 def section_bounds(cells: DataFrame) -> DataFrame:
     """Statement sections: start row, and the first of end keyword, next section, indicator heading or ratio run."""
     rows = cells.where(F.trim("cell_text") != "").groupBy(*ROW).agg(F.lower(F.array_join(F.array_sort(F.collect_set("cell_text")), " ")).alias("text"))

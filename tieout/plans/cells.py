@@ -113,6 +113,22 @@ def _(t):
     return X.best_header(cells_of(t), *heads(t))
 
 
+@query("header_columns", f"""WITH c AS MATERIALIZED (SELECT *, {IS_NUM} AS num, CASE WHEN {IS_DATE} THEN CAST(cell_text AS DATE) END AS date, cell_text = 'Indicative adjusted' AS marked FROM header_cells),
+p AS MATERIALIZED (SELECT c.workbook_id, c.sheet, c.row_idx, c.col_idx, c.date, count(b.num) FILTER (b.num) AS n, count(b.num) FILTER (NOT b.num) AS x
+  FROM c LEFT JOIN c b ON b.workbook_id = c.workbook_id AND b.sheet = c.sheet AND b.col_idx = c.col_idx AND b.row_idx > c.row_idx WHERE c.date IS NOT NULL AND c.col_idx > 0 GROUP BY ALL),
+staged AS (SELECT DISTINCT workbook_id, sheet FROM c WHERE marked),
+s0 AS (SELECT p.*, coalesce(m.marked, false) AS marked FROM p SEMI JOIN staged USING (workbook_id, sheet) LEFT JOIN c m ON m.workbook_id = p.workbook_id AND m.sheet = p.sheet AND m.col_idx = p.col_idx AND m.row_idx = p.row_idx - 1
+  WHERE coalesce(m.marked, false) OR n + x = 0 OR (n >= 1 AND n >= x AND x <= 2)),
+s1 AS (SELECT *, min(col_idx) FILTER (marked) OVER w AS lo, max(col_idx) FILTER (marked) OVER w AS hi FROM s0 WINDOW w AS (PARTITION BY workbook_id, sheet)),
+tier AS (SELECT p.*, t.tier FROM p ANTI JOIN staged USING (workbook_id, sheet), (VALUES (1, 0.4, 2), (2, 0.3, 3)) t(tier, least, most) WHERE n >= 1 AND n / (n + x) >= least AND x <= most),
+best AS (SELECT * FROM (SELECT workbook_id, sheet, tier, row_idx, count(*) AS k FROM tier GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY workbook_id, sheet ORDER BY tier, k DESC, row_idx) = 1)
+SELECT workbook_id, sheet, row_idx AS date_row, row_idx - 1 AS marker_row, 0 AS tier, date, min(col_idx) AS col_idx FROM s1 WHERE col_idx BETWEEN lo AND hi GROUP BY ALL
+UNION ALL SELECT workbook_id, sheet, row_idx, NULL, tier, date, min(col_idx) FROM tier SEMI JOIN best USING (workbook_id, sheet, tier, row_idx) GROUP BY ALL""")
+def _(t):
+    """Value columns of sheets with and without a stage row."""
+    return X.header_columns(cells_of(t, "header_cells"), *heads(t, "header_cells"))
+
+
 @query("section_bounds", """SELECT DISTINCT workbook_id, sheet, s.section, s.start_row, s.end_row FROM statement_cells, (VALUES ('BS', 0, 6), ('IS', 7, 15)) s(section, start_row, end_row)""")
 def _(t):
     return X.section_bounds(cells_of(t, "statement_cells"))

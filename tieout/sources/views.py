@@ -201,6 +201,27 @@ FROM (
 ) x
 """
 
+# Sheets with headers of three kinds: stages over a part of the dates and a date twice; no stage and
+# texts below some or all dates; no stage and a row of dates above remarks.
+VIEWS["header_book"] = """
+SELECT entity_id, entity, portfolio, account, yr, period_end, amount, a.line_no, CAST(CASE entity_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 9 ELSE 12 END AS INT) AS hr
+FROM schedule_line s JOIN account_alias a ON a.tab_name = s.account
+"""
+VIEWS["header_cells"] = """
+SELECT portfolio AS workbook_id, concat('Header ', entity) AS sheet, row_idx, col_idx, cell_text
+FROM (
+  SELECT DISTINCT entity, portfolio, hr AS row_idx, 0 AS col_idx, 'CNY''000' AS cell_text FROM header_book
+  UNION ALL SELECT DISTINCT entity, portfolio, hr, CAST(yr - 1994 AS INT), CAST(period_end AS VARCHAR(10)) FROM header_book
+  UNION ALL SELECT DISTINCT entity, portfolio, CAST(hr + line_no AS INT), 0, account FROM header_book
+  UNION ALL SELECT entity, portfolio, CAST(hr + line_no AS INT), CAST(yr - 1994 AS INT), CAST(amount AS VARCHAR(30)) FROM header_book
+  UNION ALL SELECT DISTINCT entity, portfolio, hr - 1, CAST(yr - 1994 AS INT), CASE WHEN yr < 1997 THEN 'Mgt acc' ELSE 'Indicative adjusted' END FROM header_book WHERE entity_id % 3 = 0 AND yr BETWEEN 1995 AND 1999
+  UNION ALL SELECT DISTINCT entity, portfolio, h.o, 24, CASE h.o WHEN 1 THEN 'Indicative adjusted' ELSE CAST(period_end AS VARCHAR(10)) END FROM header_book CROSS JOIN (VALUES (1), (2)) AS h(o) WHERE entity_id % 3 = 0 AND yr = 1998
+  UNION ALL SELECT DISTINCT entity, portfolio, CAST(hr + 20 + h.o AS INT), CAST(yr - 1994 AS INT), 'see below' FROM header_book CROSS JOIN (VALUES (0), (1), (2)) AS h(o) WHERE entity_id % 3 = 1 AND (entity_id % 2 = 0 OR h.o <= yr % 3)
+  UNION ALL SELECT DISTINCT entity, portfolio, 3, CAST(yr - 1994 + h.o AS INT), CAST(period_end AS VARCHAR(10)) FROM header_book CROSS JOIN (VALUES (0), (1)) AS h(o) WHERE entity_id % 3 = 2 AND (h.o = 0 OR yr = 2002)
+  UNION ALL SELECT DISTINCT entity, portfolio, CAST(4 + h.o AS INT), CAST(yr - 1994 AS INT), 'see below' FROM header_book CROSS JOIN (VALUES (0), (1), (2)) AS h(o) WHERE entity_id % 3 = 2
+) x
+"""
+
 # Journals in which rows carry dates themselves: under a header of three dates, and again far below without one.
 VIEWS["journal_line"] = """
 SELECT entity, portfolio, account, yr, period_end, amount, yr < 1997 AS headed,
