@@ -81,6 +81,26 @@ def text_lines(cells: DataFrame) -> DataFrame:
     return x.select(*ROW, F.concat(F.lit("| "), (F.col("row_idx") + 1).cast("string"), F.lit(" | "), F.array_join(cols, " | "), F.lit(" |")).alias("line"))
 
 
+def column_letters(number: Column) -> Column:
+    """Letters of a column from its number (from 1): A to Z, then AA and so on, three letters at most."""
+    letter = lambda n: F.chr(n % 26 + 65)
+    n = number - 1
+    second, third = F.floor((n - 26) / 26), F.floor((n - 702) / 676)
+    return F.concat(F.when(n >= 702, letter(third)).otherwise(""), F.when(n >= 26, letter(second)).otherwise(""), letter(n))
+
+
+def sheet_export(cells: DataFrame) -> DataFrame:
+    """(SHEET, row_idx, line): ``text_lines`` below a title, the used range and the column names (rows -3 to -1) of each sheet."""
+    r = used_range(cells)
+    corner = lambda c, row: F.concat(column_letters(F.col(c) + 1), (F.col(row) + 1).cast("string"))
+    names = F.transform(F.sequence(F.lit(1), F.col("last_col") - F.col("first_col") + 1), lambda i: F.concat(F.lit("Col"), column_letters(i)))
+    heads = F.array(F.concat(F.lit("===== SHEET: "), F.col("sheet"), F.lit(" =====")),
+                    F.concat(F.lit("USED_RANGE: "), corner("first_col", "first_row"), F.lit(":"), corner("last_col", "last_row")),
+                    F.concat(F.lit("| ExcelRow | "), F.array_join(names, " | "), F.lit(" |")))
+    top = r.select(*SHEET, F.posexplode(heads).alias("i", "line")).select(*SHEET, (F.col("i") - 3).alias("row_idx"), "line")
+    return top.unionByName(text_lines(cells))
+
+
 def preview(cells: DataFrame, rows: int = 12) -> DataFrame:
     """Per sheet: non-blank cells among the first rows, hidden flag, and whether it is offered to the user."""
     full = F.trim(F.coalesce("cell_text", F.lit(""))) != ""

@@ -62,25 +62,28 @@ def resolve_aliases(names: DataFrame, chart: DataFrame) -> DataFrame:
     )
 
 
-def account_total(lines: DataFrame, keys: list[str], auxiliary: DataFrame | None = None) -> DataFrame:
-    """One total per (keys): auxiliary check total with the table's sign, first total row, else first valued row.
+def account_total(lines: DataFrame, keys: list[str], auxiliary: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """One total per (keys): stored projection total, auxiliary check total with the table's sign, first total row, else first valued row.
 
-    ``lines`` needs ``row_idx``, ``description`` and ``amount``; a single
-    aggregation with map-side partials, no window.
+    ``lines`` needs ``row_idx``, ``description`` and ``amount``; a single aggregation with
+    map-side partials, no window. ``auxiliary`` has auxiliary_total and ``stored`` has
+    stored_total, one row per key each; a stored total is taken with its own sign, zero too.
     """
     kind = row_type(F.col("description"))
-    by_row = lines.withColumn("kind", kind).groupBy(*keys).agg(
+    total = lines.withColumn("kind", kind).groupBy(*keys).agg(
         F.min_by("amount", F.when(F.col("kind") == "total", F.col("row_idx"))).alias("table_total"),
         F.min_by("amount", F.when(~F.col("kind").isin("breakdown", "subtotal") & (F.abs("amount") > 0),
                                   F.col("row_idx"))).alias("first_value"),
     )
-    if auxiliary is None:
-        return by_row.select(*keys, F.coalesce("table_total", "first_value").alias("total"))
-    joined = by_row.join(auxiliary.select(*keys, "auxiliary_total"), keys, "full_outer")
-    flip = (F.col("table_total") != 0) & ((F.col("table_total") > 0) != (F.col("auxiliary_total") > 0))
-    signed = F.when(flip, F.abs("auxiliary_total") * F.signum(F.col("table_total")).cast("int")).otherwise(
-        F.col("auxiliary_total"))
-    return joined.select(*keys, F.coalesce(signed, F.col("table_total"), F.col("first_value")).alias("total"))
+    tiers = [F.col("table_total"), F.col("first_value")]
+    if auxiliary is not None:
+        total = total.join(auxiliary.select(*keys, "auxiliary_total"), keys, "full_outer")
+        flip = (F.col("table_total") != 0) & ((F.col("table_total") > 0) != (F.col("auxiliary_total") > 0))
+        tiers.insert(0, F.when(flip, F.abs("auxiliary_total") * F.signum(F.col("table_total")).cast("int")).otherwise(F.col("auxiliary_total")))
+    if stored is not None:
+        total = total.join(stored.select(*keys, "stored_total"), keys, "full_outer")
+        tiers.insert(0, F.col("stored_total"))
+    return total.select(*keys, F.coalesce(*tiers).alias("total"))
 
 
 def _tie_status(source: Column, tab: Column, zero_with_adjacent: Column) -> Column:

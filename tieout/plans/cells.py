@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tieout.operators import cells as X
 from tieout.plans.registry import query
+from tieout.sources import sinks
 
 IS_DATE = "regexp_matches(cell_text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')"
 IS_NUM = "regexp_matches(cell_text, '^-?[0-9]+\\.[0-9]+$')"
@@ -56,6 +57,21 @@ def _(t):
     return X.text_lines(cells_of(t))
 
 
+@query("sheet_text_files", f"""WITH lines AS (SELECT workbook_id, sheet, line FROM (WITH g AS (SELECT workbook_id, sheet, row_idx, c.c AS col_idx FROM (SELECT DISTINCT workbook_id, sheet, row_idx FROM cells) r, (SELECT unnest(range(0, 20)) AS c) c),
+u AS (SELECT workbook_id, sheet, max(col_idx) AS last_col FROM cells GROUP BY ALL)
+SELECT g.workbook_id, g.sheet, g.row_idx, concat('| ', g.row_idx + 1, ' | ', string_agg(coalesce(CASE WHEN {IS_NUM} THEN regexp_replace(regexp_replace(cell_text, '0+$', ''), '\\.$', '') ELSE trim(cell_text) END, ''), ' | ' ORDER BY g.col_idx), ' |') AS line
+FROM g JOIN u USING (workbook_id, sheet) LEFT JOIN cells c USING (workbook_id, sheet, row_idx, col_idx) WHERE g.col_idx <= u.last_col GROUP BY 1, 2, 3)
+ UNION ALL SELECT workbook_id, sheet, unnest([concat('===== SHEET: ', sheet, ' ====='), concat('USED_RANGE: A1:', chr(CAST(65 + last_col AS INT)), last_row + 1),
+   concat('| ExcelRow | ', array_to_string(list_transform(range(0, last_col + 1), lambda c: concat('Col', chr(CAST(65 + c AS INT)))), ' | '), ' |')])
+ FROM (SELECT workbook_id, sheet, max(col_idx) AS last_col, max(row_idx) AS last_row FROM cells GROUP BY ALL) x)
+SELECT workbook_id, line, count(*) AS n FROM lines GROUP BY ALL""")
+def _(t):
+    """Workbooks written as text files, one folder each, and read back line by line."""
+    path = sinks.new_path(t.spark, "sheet-text")
+    sinks.write_lines(X.sheet_export(cells_of(t)), path, ["workbook_id"], ["sheet", "row_idx"])
+    return t.spark.read.text(path).groupBy("workbook_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sheet_preview", "SELECT workbook_id, sheet, count(*) FILTER (trim(cell_text) <> '') AS filled, bool_or(hidden) AS hidden, count(*) FILTER (trim(cell_text) <> '') > 0 AND NOT bool_or(hidden) AS offered FROM cells WHERE row_idx < 12 GROUP BY 1, 2")
 def _(t):
     return X.preview(t.cells)

@@ -9,7 +9,8 @@ from tieout.operators import reconcile as R
 from tieout.operators import runlog as L
 from tieout.plans.recon import RECON
 from tieout.plans.registry import query
-from tieout.sources.runlog import parse_logs
+from tieout.sources import sinks
+from tieout.sources.runlog import arriving_logs, parse_logs, read_logs
 from tieout.sources.views import read_base
 from tieout.streaming import jobs as S
 
@@ -25,6 +26,35 @@ def _(t):
     return parse_logs(t.run_log_line)
 
 
+RUN_TOTALS = "WITH p AS (" + PARSED + """) SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 8 END AS run, stage, count(*) AS items, sum(duration_s) AS seconds, CAST(sum(total_tokens) AS BIGINT) AS tokens
+FROM p GROUP BY ALL"""
+
+
+def log_tree(t) -> str:
+    """The log as a tree of text files, one folder per run; the first run holds a third of all lines."""
+    path = sinks.new_path(t.spark, "run-logs")
+    run = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % 8)
+    sinks.write_lines(t.run_log_line.withColumn("run", run), path, ["run"], ["event_id"])
+    return path
+
+
+def run_totals(rows):
+    run = F.regexp_extract("file", r"run=(\d+)/", 1).cast("bigint").alias("run")
+    return parse_logs(rows).groupBy(run, "stage").agg(F.count(F.lit(1)).alias("items"), F.sum("duration_s").alias("seconds"), F.sum("total_tokens").alias("tokens"))
+
+
+@query("run_log_files", RUN_TOTALS)
+def _(t):
+    """Logs written as a tree of text files, found below its folder and parsed."""
+    return run_totals(read_logs(t.spark, log_tree(t), "part-*"))
+
+
+@query("run_log_stream", RUN_TOTALS)
+def _(t):
+    """The same tree read as arriving files, two at a time."""
+    return run_totals(S.drain_append(arriving_logs(t.spark, log_tree(t), "part-*", 2), "run-log-lines"))
+
+
 @query("stage_stats", "WITH p AS (" + PARSED + """), u AS (SELECT *, CASE WHEN expected_max > 0 THEN completion_tokens / expected_max ELSE 0 END AS use FROM p)
 SELECT stage, count(*) AS items, sum(duration_s) AS seconds, round(CAST(sum(duration_s) AS DOUBLE) / count(*), 6) AS avg_seconds, round(sum(completion_tokens) / sum(expected_max), 6) AS cap_use,
   count(*) FILTER (output_chars = 0) AS empty, count(*) FILTER (use >= 0.95) AS near_cap, count(*) FILTER (use > 1.0) AS over_cap,

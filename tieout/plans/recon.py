@@ -116,15 +116,18 @@ def _(t):
 
 
 @query("account_total", """SELECT entity_id, account, period_end,
-  coalesce(CASE WHEN d.t IS NOT NULL AND d.t <> 0 AND (d.t > 0) <> (x.amount > 0) THEN abs(x.amount) * CAST(sign(d.t) AS INT) ELSE x.amount END, d.t, d.f) AS total
+  coalesce(p.amount, CASE WHEN d.t IS NOT NULL AND d.t <> 0 AND (d.t > 0) <> (x.amount > 0) THEN abs(x.amount) * CAST(sign(d.t) AS INT) ELSE x.amount END, d.t, d.f) AS total
 FROM (SELECT entity_id, account, period_end,
         arg_min(amount, row_idx) FILTER (row_idx = 7) AS t,
         arg_min(amount, row_idx) FILTER (row_idx IN (1, 2, 3, 5, 7) AND amount <> 0) AS f
       FROM detail_line GROUP BY ALL) d
-FULL JOIN (SELECT entity_id, account, period_end, amount FROM schedule_line WHERE account = 'SMALL') x USING (entity_id, account, period_end)""")
+FULL JOIN (SELECT entity_id, account, period_end, amount FROM schedule_line WHERE yr % 2 = 0) x USING (entity_id, account, period_end)
+FULL JOIN (SELECT entity_id, account, period_end, CAST(-amount - 1000 AS DECIMAL(20,2)) AS amount FROM schedule_line WHERE yr % 4 = 0) p USING (entity_id, account, period_end)""")
 def _(t):
-    auxiliary = t.schedule_line.where("account = 'SMALL'").withColumnRenamed("amount", "auxiliary_total")
-    return R.account_total(t.detail_line, ["entity_id", "account", "period_end"], auxiliary)
+    """Totals of all accounts: stored in every fourth year, with a check total in every second one."""
+    auxiliary = t.schedule_line.where("yr % 2 = 0").withColumnRenamed("amount", "auxiliary_total")
+    stored = t.schedule_line.where("yr % 4 = 0").withColumn("stored_total", (-F.col("amount") - 1000).cast("decimal(20,2)"))
+    return R.account_total(t.detail_line, ["entity_id", "account", "period_end"], auxiliary, stored)
 
 
 @query("report_order", """SELECT entity_id, account, mapping_key, statement_type, category,
@@ -140,6 +143,15 @@ def _(t):
     return R.first_occurrences(t.detail_line, ["entity_id"], "description", "row_idx")
 
 
+@query("sink_json_roundtrip", "WITH " + RECON + "SELECT statement_type, match, count(*) AS n, CAST(sum(financials_value) AS DECIMAL(24,2)) AS value FROM recon GROUP BY ALL")
+def _(t):
+    path = sinks.new_path(t.spark, "recon-json")
+    rows = recon_of(t)
+    sinks.write_partitioned(rows, path, ["statement_type"], kind="json")
+    return t.spark.read.schema(rows.schema).json(path).groupBy("statement_type", "match").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("financials_value").cast("decimal(24,2)").alias("value"))
+
+
 @query("sink_roundtrip", "WITH " + RECON + "SELECT statement_type, match, count(*) AS n, sum(financials_value) AS value FROM recon GROUP BY ALL")
 def _(t):
     path = sinks.new_path(t.spark, "recon")

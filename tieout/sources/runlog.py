@@ -21,6 +21,12 @@ def read_logs(spark: SparkSession, path: str, name: str = "processing.log") -> D
     return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
 
 
+def arriving_logs(spark: SparkSession, path: str, name: str = "processing.log", files: int = 64) -> DataFrame:
+    """``read_logs`` as a stream: logs that land below ``path``, ``files`` of them in a micro-batch."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("maxFilesPerTrigger", files).text(path)
+    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+
 def parse_logs(lines: DataFrame) -> DataFrame:
     """Typed columns for processed lines; other lines are dropped."""
     hit = lines.where(F.rlike("line", F.lit(LINE)))

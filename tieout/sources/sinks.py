@@ -1,4 +1,4 @@
-"""Sinks: partitioned Parquet, and steps written to the folder that the cluster shares."""
+"""Sinks: partitioned Parquet, JSON and text, and steps written to the folder that the cluster shares."""
 
 from __future__ import annotations
 
@@ -35,15 +35,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_task: int = 1_000_000) -> None:
-    """Parquet partitioned by low-cardinality columns.
+def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_task: int = 1_000_000, kind: str = "parquet") -> None:
+    """Files of ``kind`` (parquet or json) partitioned by low-cardinality columns.
 
     Each partition value is spread over as many tasks as its rows need, counted first, so
     that one value holding most rows still writes in parallel and a small one leaves one file.
     """
     sizes = cut_lineage(df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("_tasks")), "partition-sizes")
     salted = df.join(sizes, by).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.col("_tasks")))
-    salted.repartition(*by, "_salt").drop("_tasks", "_salt").write.mode("overwrite").partitionBy(*by).parquet(path)
+    salted.repartition(*by, "_salt").drop("_tasks", "_salt").write.mode("overwrite").partitionBy(*by).format(kind).save(path)
+
+
+def write_lines(df: DataFrame, path: str, by: list[str], order: list[str], line: str = "line") -> None:
+    """Text files, one folder per value of ``by``, lines by ``order`` (unique within ``by``).
+
+    Rows are dealt by ranges of (by, order): a folder's files in name order hold its lines in
+    order, and a long document lies in several files instead of one task. A task that is run
+    again writes its file anew, and nothing is seen before the whole job commits.
+    """
+    ranged = df.select(*by, *order, line).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    ranged.select(*by, line).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` ran to its end."""
+    return _folder(spark, f"{path}/_SUCCESS")[0].exists(_folder(spark, f"{path}/_SUCCESS")[1])
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder that a sink wrote; only below the shared folder. False where there is none."""
+    if not path.startswith(f"{shared_folder(spark).rstrip('/')}/") or ".." in path:
+        raise ValueError(f"not below the shared folder: {path}")
+    system, place = _folder(spark, path)
+    return system.delete(place, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 _LANDED: dict[tuple[str, str, str], str] = {}
