@@ -208,3 +208,26 @@ def test_a_cluster_needs_a_shared_folder():
 def test_first_rows_is_the_whole_sheet_by_default(spark):
     df = spark.range(5).select(F.col("id").alias("row_idx"))
     assert df.where(K.first_rows(None)).count() == 5 and df.where(K.first_rows(2)).count() == 2
+
+
+def test_candidates_are_decided_by_margin(spark):
+    """One key per rule: (score, matches, periods, gap, alias, exact) of its candidates in order."""
+    cases = {
+        "only": [(50.0, 0, 0, None, "a", False)],
+        "exact": [(50.0, 0, 2, 0.5, "a", True), (90.0, 0, 2, 0.1, "b", False)],
+        "periods": [(50.0, 2, 3, 0.1, "a", False), (50.0, 1, 3, 0.1, "b", False)],
+        "gap": [(50.0, 1, 3, 0.10, "a", False), (50.0, 1, 3, 0.125, "b", False)],
+        "gap and score": [(56.0, 1, 3, 0.10, "a", False), (50.0, 1, 3, 0.11, "b", False)],
+        "equal gap, high score": [(70.0, 1, 3, 0.1, "a", False), (50.0, 1, 3, 0.1, "b", False)],
+        "equal": [(60.0, 1, 3, 0.1, "a", False), (50.0, 1, 3, 0.1, "b", False)],
+        "score": [(60.0, 0, 0, None, "a", False), (50.0, 0, 0, None, "b", False)],
+        "near score": [(53.0, 0, 0, None, "a", False), (50.0, 0, 0, None, "b", False)],
+        "copy": [(60.0, 0, 0, None, "a", False), (50.0, 0, 0, None, "a", False)],
+    }
+    rows = [(k, f"{k} v{i}" if k == "copy" else f"{k} {i}", *c, i) for k, cs in cases.items() for i, c in enumerate(cs, 1)]
+    ranked = spark.createDataFrame(rows, "k string, sheet string, score double, matches int, periods int, avg_gap double, matched_alias string, exact boolean, rank int")
+    keys = spark.createDataFrame([(k,) for k in [*cases, "none"]], "k string")
+    got = {r.k: (r.decision, r.reason) for r in M.decide_candidates(ranked, keys, ["k"]).collect()}
+    assert got == {"only": ("accepted", "only candidate"), "exact": ("accepted", "exact alias"), "periods": ("accepted", "more periods tie"), "gap": ("accepted", "smaller gap"),
+                   "gap and score": ("accepted", "smaller gap"), "equal gap, high score": ("accepted", "smaller gap"), "equal": ("ambiguous", "too close"), "score": ("accepted", "score"),
+                   "near score": ("ambiguous", "too close"), "copy": ("ambiguous", "several versions"), "none": ("rejected", "no candidate")}

@@ -87,6 +87,38 @@ def rank_candidates(candidates: DataFrame, statement: DataFrame, totals: DataFra
     return a.withColumn("rank", F.row_number().over(w))
 
 
+# What sets the first candidate apart from the second (fixed values): mean gaps this far apart; a
+# smaller distance with this much score; equal gaps with more; names alone.
+GAP_CLEAR, GAP_SMALL, GAP_EQUAL = 0.02, 0.005, 0.001
+SCORE_SMALL, SCORE_EQUAL, SCORE_NAMES = 5, 20, 3
+VERSIONED = r"(?i)\bv\d+\b|version|\bcopy\b"
+
+
+def decide_candidates(ranked: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """accepted, ambiguous or rejected per key, with the first candidate and the reason.
+
+    ``ranked``: ``by``, sheet, score, matches, periods, avg_gap, rank, matched_alias, exact
+    (rank from 1 without ties); ``keys``: ``by``, one row each. A key without candidates is
+    rejected, one with a single candidate accepts it. Else the first is accepted if it alone
+    is an exact alias, ties more periods to the statement, has the clearly smaller mean gap,
+    or, where no figures were compared, leads by score with no sign of several versions of
+    one sheet among the first three names. What is left is ambiguous. Null scores count as 0.
+    """
+    at = lambda i: F.max_by(F.struct("sheet", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("periods", F.lit(0)).alias("periods"),
+                                     F.when(F.col("periods") > 0, F.col("avg_gap")).alias("gap"), "matched_alias", F.coalesce("exact", F.lit(False)).alias("exact")), F.when(F.col("rank") == i, 1))
+    pair = ranked.where("rank <= 3").groupBy(*by).agg(at(1).alias("a"), at(2).alias("b"), F.bool_or(F.rlike("sheet", F.lit(VERSIONED))).alias("versions"))
+    lead, ahead = F.col("a.score") - F.col("b.score"), F.col("b.gap") - F.col("a.gap")
+    level = F.col("a.matches") == F.col("b.matches")
+    near = level & ((ahead >= GAP_CLEAR) | ((ahead >= GAP_SMALL) & (lead >= SCORE_SMALL)) | ((F.abs(ahead) <= GAP_EQUAL) & (lead >= SCORE_EQUAL)))
+    unseen = (F.col("a.periods") == 0) & (F.col("b.periods") == 0)
+    several = F.col("versions") & F.col("a.matched_alias").eqNullSafe(F.col("b.matched_alias"))
+    reason = (F.when(F.col("a").isNull(), "no candidate").when(F.col("b").isNull(), "only candidate").when(F.col("a.exact") & ~F.col("b.exact"), "exact alias")
+              .when((F.col("a.periods") > 0) & (F.col("a.matches") > F.col("b.matches")), "more periods tie").when(near, "smaller gap")
+              .when(unseen & (lead > SCORE_NAMES) & ~several, "score").when(unseen & (lead > SCORE_NAMES), "several versions").otherwise("too close"))
+    decision = F.when(F.col("reason") == "no candidate", "rejected").when(F.col("reason").isin("several versions", "too close"), "ambiguous").otherwise("accepted")
+    return keys.select(*by).join(pair, by, "left").withColumn("reason", reason).select(*by, F.col("a.sheet").alias("sheet"), decision.alias("decision"), "reason")
+
+
 def assign_one_to_one(candidates: DataFrame) -> DataFrame:
     """Keys pick sheets in order of their best score; a sheet goes to one key per workbook.
 

@@ -57,7 +57,7 @@ ag AS (SELECT entity_id, mapping_key, sheet, score, count(*) FILTER (gap <= grea
 
 @query("rank_candidates", "WITH " + RANK[1:] + """SELECT entity_id, mapping_key, sheet, CAST(score AS DOUBLE) AS score, matches, periods, round(g, 6) AS avg_gap,
   row_number() OVER (PARTITION BY entity_id, mapping_key ORDER BY matches DESC, round(g, 6) ASC NULLS LAST, score DESC, sheet) AS rank FROM ag""")
-def _(t):
+def ranked(t):
     chart = t.account_alias
     nxt = chart.select(((F.col("line_no") + 3) % 5 + 1).alias("line_no"), F.col("tab_name").alias("next_tab"))
     st = t.statement_line.join(chart.select(F.col("tab_name").alias("account"), "mapping_key", "line_no"), "account")
@@ -67,6 +67,33 @@ def _(t):
     return M.rank_candidates(cand, st, t.schedule_line.withColumnRenamed("account", "sheet"))
 
 
+@query("candidate_decisions", "WITH " + RANK[1:] + r""",
+rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id, mapping_key ORDER BY matches DESC, round(g, 6) ASC NULLS LAST, score DESC, sheet) AS rank FROM ag),
+m AS (SELECT rk.entity_id, rk.mapping_key, CASE WHEN rk.entity_id % 5 = 0 THEN concat(sheet, ' v2') ELSE sheet END AS sheet, score + CASE WHEN rk.entity_id % 4 = 0 THEN 30 * (sheet = tab_name)::INT ELSE 0 END AS score,
+   CASE WHEN rk.entity_id % 7 = 0 THEN 0 ELSE matches END AS matches, CASE WHEN rk.entity_id % 7 = 0 THEN 0 ELSE periods END AS periods, CASE WHEN rk.entity_id % 7 <> 0 AND periods > 0 THEN round(g, 6) END AS gap, rank,
+   CASE WHEN rk.entity_id % 2 = 0 THEN rk.mapping_key ELSE sheet END AS alias, rk.entity_id % 3 = 0 AND sheet = tab_name AS exact FROM rk JOIN account_alias c ON c.mapping_key = rk.mapping_key),
+p AS (SELECT a.*, b.entity_id IS NULL AS alone, a.score - b.score AS lead, b.gap - a.gap AS ahead, b.matches AS matches2, b.periods AS periods2, b.alias AS alias2, b.exact AS exact2,
+   (SELECT bool_or(regexp_matches(sheet, '\bv\d+\b|version|\bcopy\b', 'i')) FROM m v WHERE v.entity_id = a.entity_id AND v.mapping_key = a.mapping_key AND v.rank <= 3) AS versions
+   FROM m a LEFT JOIN m b ON b.entity_id = a.entity_id AND b.mapping_key = a.mapping_key AND b.rank = 2 WHERE a.rank = 1),
+d AS (SELECT *, CASE WHEN alone THEN 'only candidate' WHEN exact AND NOT exact2 THEN 'exact alias' WHEN periods > 0 AND matches > matches2 THEN 'more periods tie'
+   WHEN matches = matches2 AND (ahead >= 0.02 OR (ahead >= 0.005 AND lead >= 5) OR (abs(ahead) <= 0.001 AND lead >= 20)) THEN 'smaller gap'
+   WHEN periods = 0 AND periods2 = 0 AND lead > 3 AND NOT (versions AND alias = alias2) THEN 'score' WHEN periods = 0 AND periods2 = 0 AND lead > 3 THEN 'several versions' ELSE 'too close' END AS reason FROM p)
+SELECT k.entity_id, k.mapping_key, d.sheet, CASE WHEN d.entity_id IS NULL THEN 'rejected' WHEN reason IN ('several versions', 'too close') THEN 'ambiguous' ELSE 'accepted' END AS decision, coalesce(reason, 'no candidate') AS reason
+FROM (SELECT DISTINCT entity_id, coalesce(mapping_key, s.account) AS mapping_key FROM statement_line s LEFT JOIN account_alias a ON a.tab_name = s.account) k LEFT JOIN d USING (entity_id, mapping_key)""")
+def _(t):
+    """Which first candidates are taken; figures, versions and exact names vary with the entity."""
+    chart = t.account_alias
+    e = F.col("entity_id")
+    unseen = e % 7 == 0
+    own = F.col("sheet") == F.col("tab_name")
+    x = ranked(t).join(chart.select("mapping_key", "tab_name"), "mapping_key").select(
+        "entity_id", "mapping_key", "rank", F.when(e % 5 == 0, F.concat("sheet", F.lit(" v2"))).otherwise(F.col("sheet")).alias("sheet"),
+        (F.col("score") + F.when((e % 4 == 0) & own, 30).otherwise(0)).alias("score"), F.when(unseen, 0).otherwise(F.col("matches")).alias("matches"),
+        F.when(unseen, 0).otherwise(F.col("periods")).alias("periods"), "avg_gap", F.when(e % 2 == 0, F.col("mapping_key")).otherwise(F.col("sheet")).alias("matched_alias"), ((e % 3 == 0) & own).alias("exact"))
+    keys = t.statement_line.join(chart.select(F.col("tab_name").alias("account"), "mapping_key"), "account", "left").select("entity_id", F.coalesce("mapping_key", "account").alias("mapping_key")).distinct()
+    return M.decide_candidates(x, keys, ["entity_id", "mapping_key"])
+
+
 @query("dynamic_discovery", """SELECT s.entity_id, s.description, s.account AS sheet, s.period_end, s.amount FROM statement_line s JOIN schedule_line t USING (entity_id, account, period_end)
 WHERE NOT EXISTS (SELECT 1 FROM account_alias a WHERE a.tab_name = s.account) AND abs(abs(s.amount) - abs(t.amount)) <= greatest(1, abs(s.amount) * 0.005)""")
 def _(t):
