@@ -33,11 +33,20 @@ def test_encoder_is_the_tokenizer(tokenizer, spark):
     texts = [t or "" for t in TEXTS] + [r.text or "" for r in documents(spark, SF).collect()]
     r = np.random.default_rng(3)
     texts += ["".join(r.choice(list("ab1.' \n\t é漢\x1c"), r.integers(0, 40))) for _ in range(2000)]
+    latin = [chr(c) for c in range(0x260)]
+    texts += [x for c in latin for x in (f"a{c}1", f" {c}", f"{c}{c}.", f"1{c} x", f"'{c}s{c}\n", f"  {c} {c}  ")]
     encoder = packing.Encoder(queries.tokenizer_json())
     for _ in range(2):  # again from memory
         assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_tokenizer_of_another_kind_is_left_to_itself():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path) as f:
+        encoder = packing.Encoder(f.read())
+    assert not encoder.known_kind
+
+
 def hold(rows, texts, tokenizer, capacity=1024):
     """Every document is there once, in order and whole; no sequence is too long or has gaps."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)

@@ -10,6 +10,7 @@ lost executor costs one round of the lots it held.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,10 +18,13 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieout.llm.bpe import byte_characters
 from tieout.llm.common import blocks, cut_lineage, text_or_empty
 
 CAPACITY, END = 1024, 2
@@ -28,14 +32,16 @@ CAPACITY, END = 1024, 2
 LOT, ISLANDS, GENOMES, ROUNDS, CROSSOVERS = 8192, 3, 4, 2, 20
 #: Parts of texts a task remembers the ids of.
 REMEMBERED = 1 << 20
-#: New parts that are encoded as one text.
-LINES = 1 << 13
 
 
 # ---- tokens
 
 #: A space that no new match begins with.
 _ODD = re.compile(r" (?:\s|\Z)")
+#: Characters that two regex libraries may class differently.
+_UNSURE = "[\x1c-\x1f\x85\u0250-\U0010ffff]"
+#: Fixed value: the pattern of the byte-level pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
@@ -43,17 +49,24 @@ class Encoder:
 
     A text is taken apart before every space that a character other than white space
     follows. The tokenizer's pattern always begins a new match there, so the ids of the
-    parts, one after the other, are those of the text. New parts without further white
-    space are encoded as the lines of one text, which spares an object for each; a line
-    end is a token of its own. ``test_encoder_is_the_tokenizer`` holds both ways together.
+    parts, one after the other, are those of the text. A new part in Latin characters is
+    taken apart by the pattern, and the matches that are new go through the tokenizer's own
+    model; a part with other characters or a special token, or a tokenizer of another kind,
+    goes through the tokenizer whole. ``test_encoder_is_the_tokenizer`` holds both together.
     """
 
     def __init__(self, model: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.unsure = re.compile("|".join([_UNSURE, *map(re.escape, self.special)])).search
+        said = json.loads(model)
+        first = said.get("pre_tokenizer") or {}
+        self.known_kind = (first.get("type"), first.get("use_regex"), first.get("add_prefix_space"), said.get("normalizer")) == ("ByteLevel", True, False, None)
+        self.find, self.model = regex.compile(PATTERN).findall, self.tokenizer.model
+        self.bytes = dict(enumerate(byte_characters()))
         self.forget()
 
     def forget(self) -> None:
@@ -85,48 +98,75 @@ class Encoder:
             self.ids, self.new = np.concatenate([self.ids, *ids]), []
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
 
-    def _encoded(self, new: list[str]) -> None:
-        """Learns parts by the tokenizer."""
-        plain = [p for p in new if len(w := p.split()) == 1 and p in (w[0], " " + w[0]) and not any(s in p for s in self.special)]
-        for i in range(0, len(plain), LINES):
-            some = plain[i : i + LINES]
-            lines = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(lines == self.line), len(lines))
-            self._add(some, lines[lines != self.line], np.diff(ends, prepend=-1) - 1)
-        rest = [p for p in new if p not in self.known]
-        if rest:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-            self._add(rest, np.concatenate(found), np.array([len(x) for x in found]))
+    def _matches(self, part: str) -> list[str]:
+        return [part] if part[part[:1] == " " :].isalpha() else self.find(part)
 
     def _learn(self, new: list[str]) -> None:
-        """Learns parts; marks after a letter or number are a match of their own, so they are learned apart."""
-        cut = [(p, w, p[len(w) :]) for p in new if len(w := p.rstrip(".,;:!?")) < len(p) and w and w[-1].isalnum()]
-        whole = set(new).difference([p for p, _, _ in cut])
-        self._encoded([p for p in dict.fromkeys(chain(whole, chain.from_iterable(x[1:] for x in cut))) if p not in self.known])
-        if cut:
-            ids, ends = self._of(list(chain.from_iterable(x[1:] for x in cut)))
-            self._add([p for p, _, _ in cut], ids, np.diff(ends[1::2], prepend=0))
+        whole = [p for p in new if not self.known_kind or self.unsure(p)]
+        new = list(set(new).difference(whole))
+        cut = list(map(self._matches, new))
+        matches = list(set(chain.from_iterable(cut)).difference(self.known))
+        tokens, mapped = self.model.tokenize, self.bytes
+        found = [[t.id for t in tokens(m.encode().decode("latin-1").translate(mapped))] for m in matches]
+        self._add(matches, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        many = [(p, c) for p, c in zip(new, cut) if p not in self.known]
+        if many:
+            ids, ends = self._of(list(chain.from_iterable(c for _, c in many)))
+            last = np.append(0, ends)[np.cumsum([len(c) for _, c in many])]
+            self._add([p for p, _ in many], ids, np.diff(last, prepend=0))
+        if whole:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+            self._add(whole, np.concatenate(found), np.array([len(x) for x in found]))
 
     def _of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known parts one after the other, and where each part's end."""
+        return self._at(self._places(parts))
+
+    def _places(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
+    def _at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self._settle()
-        place = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         size = self.at[place + 1] - self.at[place]
         ends = np.cumsum(size)
         return self.ids[np.repeat(self.at[place] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
+    def _numbered(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+        """Distinct parts of the texts, and the parts of each text as numbers of these.
+
+        Texts with spaces between words only are split and numbered by Arrow: number k is
+        the word after a space, the words that texts begin with come after all these.
+        """
+        even = [not _ODD.search(t) and not any(s in t for s in self.special) for t in texts]
+        units = pc.split_pattern(pa.array([t for t, e in zip(texts, even) if e], pa.large_string()), " ")
+        coded = units.flatten().dictionary_encode()
+        words, number = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        begin = units.offsets.to_numpy()
+        number, first = number.copy(), begin[:-1]
+        distinct = [" " + w for w in words] + [words[k] for k in number[first]]
+        number[first] = len(words) + np.arange(len(first))
+        found = iter(np.split(number, begin[1:-1]))
+        out = []
+        for t, e in zip(texts, even):
+            if e:
+                out.append(next(found))
+            else:
+                parts = self.parts(t)
+                out.append(np.arange(len(distinct), len(distinct) + len(parts)))
+                distinct += parts
+        return distinct, out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as unsigned 32-bit numbers."""
-        cut = [self.parts(t) for t in texts]
-        every = list(chain.from_iterable(cut))
-        new = set(every).difference(self.known)
+        distinct, numbers = self._numbered(texts)
+        new = set(distinct).difference(self.known)
         if new and len(self.known) > REMEMBERED:
             self.forget()
-            new = set(every)
+            new = set(distinct)
         if new:
             self._learn(list(new))
-        found, ends = self._of(every)
-        return np.split(found, np.append(0, ends)[np.cumsum([len(c) for c in cut])][:-1])
+        found, ends = self._at(self._places(distinct)[np.concatenate(numbers)])
+        return np.split(found, np.append(0, ends)[np.cumsum([len(n) for n in numbers])][:-1])
 
 
 #: Encoders of a worker process, which serves many tasks.
