@@ -14,7 +14,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,8 @@ from tieout.llm.common import blocks, cut_lineage, text_or_empty
 CAPACITY, END = 1024, 2
 #: Pieces of a lot, islands, genomes of an island, rounds of migration and crossovers a round.
 LOT, ISLANDS, GENOMES, ROUNDS, CROSSOVERS = 8192, 3, 4, 2, 20
+#: Characters that are encoded at once.
+CHARS = 1 << 21
 #: Parts of texts a task remembers the ids of.
 REMEMBERED = 1 << 20
 
@@ -70,9 +72,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """``known`` numbers the parts; the ids of part k are ids[at[k]:at[k + 1]]."""
+        """``known`` numbers the parts; the ids of part k are ids[at[k]:at[k + 1]], both arrays with room to grow."""
         self.known: dict[str, int] = {}
-        self.ids, self.at, self.new = np.zeros(0, np.uint32), np.zeros(1, np.int64), []
+        self.ids, self.at, self.new, self.settled = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), [], 0
 
     def parts(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -93,10 +95,16 @@ class Encoder:
         self.new.append((ids, sizes))
 
     def _settle(self) -> None:
-        if self.new:
-            ids, sizes = zip(*self.new)
-            self.ids, self.new = np.concatenate([self.ids, *ids]), []
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))])
+        for ids, sizes in self.new:
+            k, n = self.settled, self.at[self.settled]
+            if n + len(ids) > len(self.ids):
+                self.ids = np.append(self.ids, np.zeros(n + len(ids), np.uint32))
+            if k + len(sizes) >= len(self.at):
+                self.at = np.append(self.at, np.zeros(k + len(sizes), np.int64))
+            self.ids[n : n + len(ids)] = ids
+            self.at[k + 1 : k + 1 + len(sizes)] = n + np.cumsum(sizes)
+            self.settled = k + len(sizes)
+        self.new = []
 
     def _matches(self, part: str) -> list[str]:
         return [part] if part[part[:1] == " " :].isalpha() else self.find(part)
@@ -159,13 +167,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as unsigned 32-bit numbers."""
         distinct, numbers = self._numbered(texts)
-        new = set(distinct).difference(self.known)
+        place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = [distinct[k] for k in np.flatnonzero(place < 0).tolist()]
         if new and len(self.known) > REMEMBERED:
             self.forget()
-            new = set(distinct)
+            new = distinct
         if new:
-            self._learn(list(new))
-        found, ends = self._at(self._places(distinct)[np.concatenate(numbers)])
+            self._learn(list(dict.fromkeys(new)))
+            unplaced = slice(None) if new is distinct else place < 0
+            place[unplaced] = self._places(new)
+        found, ends = self._at(place[np.concatenate(numbers)])
         return np.split(found, np.append(0, ends)[np.cumsum([len(n) for n in numbers])][:-1])
 
 
@@ -189,7 +200,7 @@ def _tokens(model: str, capacity: int, end: int, keep_ids: bool):
         for batch in batches:
             texts = [text_or_empty(t) for t in batch["text"]]
             ids_of = batch["doc_id"].astype("Int64").tolist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, CHARS):
                 out = []
                 for doc, ids in zip(ids_of[a:b], encoder.encode(texts[a:b])):
                     ids, start = np.append(ids, np.uint32(end)).astype("<u4"), 0
