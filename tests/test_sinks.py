@@ -67,3 +67,28 @@ def test_account_total_tiers(spark):
     got = {r.k: r.total for r in R.account_total(lines, ["k"], auxiliary, stored).collect()}
     assert got == {1: 11, 2: -4, 3: 5, 4: None, 5: 0, 6: 12, 7: 8}
     assert {r.k: r.total for r in R.account_total(lines, ["k"], stored=stored).collect()} == {1: 11, 2: -7, 3: 5, 4: None, 5: 0, 6: 12}
+
+
+def test_late_lines_change_a_reconciliation(spark):
+    """Lines arrive in three files, a batch each; the state carries totals, the last row of a key is the batch result."""
+    from tieout.streaming import jobs
+
+    schema = "entity_id bigint, account string, side string, cents bigint"
+    arrivals = [
+        [(1, "Cash", "statement", 100_000), (2, "Cash", "statement", 50), (None, "Cash", "schedule", 5), (1, None, "schedule", 5), (1, "Cash", "note", 5)],
+        [(1, "Cash", "schedule", 60_000), (3, "Debt", "schedule", None)],
+        [(1, "Cash", "schedule", 39_600), (1, "Cash", "schedule", 100), (2, "Cash", "schedule", 150)] + [(4, "Hot", s, 1) for s in ("statement", "schedule")] * 15_000,
+    ]
+    folder = sinks.new_path(spark, "arrivals")
+    for rows in arrivals:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    changes = jobs.drain_append(jobs.balances(stream), "balances")
+    seen = {}
+    for r in changes.orderBy("change").collect():
+        seen.setdefault((r.entity_id, r.account), []).append((r.statement, r.schedule, r.status))
+    assert seen[1, "Cash"] == [(100_000, 0, R.NOT_FOUND), (100_000, 60_000, R.DIFF), (100_000, 99_700, R.IMMATERIAL)]
+    assert seen[2, "Cash"] == [(50, 0, R.NOT_FOUND), (50, 150, R.MATCH)]
+    assert seen[3, "Debt"] == [(0, 0, R.MATCH)] and seen[4, "Hot"] == [(15_000, 15_000, R.MATCH)] and len(seen) == 4
+    last = {(r.entity_id, r.account): (r.statement, r.schedule, r.statement_lines, r.schedule_lines) for r in jobs.present(changes).collect()}
+    assert last == {(1, "Cash"): (100_000, 99_700, 1, 3), (2, "Cash"): (50, 150, 1, 1), (3, "Debt"): (0, 0, 0, 1), (4, "Hot"): (15_000, 15_000, 15_000, 15_000)}
