@@ -231,3 +231,11 @@ def test_candidates_are_decided_by_margin(spark):
     assert got == {"only": ("accepted", "only candidate"), "exact": ("accepted", "exact alias"), "periods": ("accepted", "more periods tie"), "gap": ("accepted", "smaller gap"),
                    "gap and score": ("accepted", "smaller gap"), "equal gap, high score": ("accepted", "smaller gap"), "equal": ("ambiguous", "too close"), "score": ("accepted", "score"),
                    "near score": ("ambiguous", "too close"), "copy": ("ambiguous", "several versions"), "none": ("rejected", "no candidate")}
+
+
+def test_value_scale_reads_the_last_period(spark):
+    rows = [("a", 1, "5000000"), ("a", 2, "-1500"), ("a", 2, None), ("b", 1, "1000000"), ("c", 1, "999.99"), ("d", 1, "0"), ("d", 1, None), ("e", 1, "2000"), ("f", None, "1"), ("g", 1, "1000")]
+    statement = spark.createDataFrame(rows, "k string, period_end int, amount string").withColumn("amount", F.col("amount").cast("decimal(20,2)"))
+    printed = spark.createDataFrame([("a", "CNY'000"), ("b", "RMB'000"), ("c", "CNY"), ("d", "CNY"), ("e", "CNY")], "k string, unit string")
+    got = {r.k: (r.scale, r.mismatch) for r in K.value_scale(statement, printed, ["k"]).collect()}
+    assert got == {"a": ("thousands", False), "b": ("units", True), "c": ("small", None), "d": (None, None), "e": ("thousands", True), "g": ("thousands", None)}

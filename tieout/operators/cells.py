@@ -568,6 +568,30 @@ def unit_coverage(cells: DataFrame) -> DataFrame:
     return first.withColumn("coverage", F.when(F.col("marker_row") < UNIT_ROWS, "top").when(F.col("marker_row").isNotNull(), "later").otherwise("none"))
 
 
+#: Least size of the largest value that looks like whole units, and like thousands (fixed values).
+WHOLE_UNITS, THOUSANDS = 1_000_000, 1_000
+
+
+def value_scale(statement: DataFrame, printed: DataFrame, keys: list[str]) -> DataFrame:
+    """What scale a statement's values look like, next to the unit it prints.
+
+    ``statement``: keys, period_end, amount; ``printed``: keys and unit, one row per key. The
+    largest value of the last period decides; without a value there other than zero there is
+    no scale. ``mismatch``: printed thousands over values that look whole, or no thousands
+    marker over values that look like thousands; null where the unit or the scale is unknown
+    or the values are small. One aggregation, joined to the units on the keys.
+    """
+    size = F.abs(F.col("amount"))
+    last = statement.where("period_end IS NOT NULL").groupBy(*keys).agg(
+        F.max(F.struct("period_end", F.coalesce(size, F.lit(0)).alias("size"))).alias("x"))
+    largest = F.when(F.col("x.size") > 0, F.col("x.size"))
+    scaled = last.join(printed.select(*keys, "unit"), keys, "left").select(
+        *keys, "unit", F.col("x.period_end").alias("period_end"), largest.alias("largest"),
+        F.when(largest >= WHOLE_UNITS, "units").when(largest >= THOUSANDS, "thousands").when(largest.isNotNull(), "small").alias("scale"))
+    marked = has_thousand_marker(F.col("unit"))
+    return scaled.withColumn("mismatch", F.when(F.col("unit").isNotNull() & F.col("scale").isin("units", "thousands"), marked == (F.col("scale") == "units")))
+
+
 def stage_label_audit(cells: DataFrame) -> DataFrame:
     """Stage-row labels that are not recognised, and stage columns without a date."""
     s = stage_rows(cells).withColumnRenamed("row_idx", "stage_row")

@@ -243,6 +243,26 @@ def _(t):
     return X.unit_coverage(cells_of(t))
 
 
+SCALE = "CASE WHEN entity_id % 5 = 0 THEN 1 WHEN entity_id % 5 = 1 THEN 1000 WHEN entity_id % 5 = 2 THEN 1000000 WHEN entity_id % 5 = 3 THEN 0 END"
+PRINTED = "CASE WHEN entity_id % 4 = 0 THEN 'CNY''000' WHEN entity_id % 4 = 1 THEN '人民币千元' WHEN entity_id % 4 = 2 THEN 'CNY' END"
+
+
+@query("value_scale", f"""WITH s AS (SELECT entity_id, statement_type, period_end, CAST(amount AS DECIMAL(20,2)) / 1 AS a, {SCALE} AS f FROM statement_full),
+l AS (SELECT entity_id, statement_type, max(period_end) AS period_end FROM s GROUP BY ALL),
+m AS (SELECT entity_id, statement_type, period_end, max(CASE WHEN f = 0 THEN 0 ELSE abs(round(a / f, 2)) END) AS largest FROM s JOIN l USING (entity_id, statement_type, period_end) GROUP BY ALL),
+c AS (SELECT entity_id, statement_type, period_end, {PRINTED} AS unit, CASE WHEN largest > 0 THEN largest END AS v FROM m),
+d AS (SELECT *, CASE WHEN v >= 1000000 THEN 'units' WHEN v >= 1000 THEN 'thousands' WHEN v > 0 THEN 'small' END AS scale FROM c)
+SELECT entity_id, statement_type, unit, period_end, CAST(v AS DECIMAL(20,2)) AS largest, scale,
+  CASE WHEN unit IS NOT NULL AND scale <> 'small' THEN (unit <> 'CNY') = (scale = 'units') END AS mismatch FROM d""")
+def _(t):
+    """Statements in whole units, thousands, millions, zeros and blanks under printed units of three kinds or none."""
+    keys = ["entity_id", "statement_type"]
+    factor = F.expr(SCALE)
+    amount = F.when(factor == 0, F.lit(0)).otherwise(F.round(F.col("amount") / factor, 2)).cast("decimal(20,2)")
+    printed = t.statement_full.select(*keys).distinct().withColumn("unit", F.expr(PRINTED.replace("CNY''000", "CNY\\'000")))
+    return X.value_scale(t.statement_full.select(*keys, "period_end", amount.alias("amount")), printed, keys)
+
+
 @query("stage_label_audit", "SELECT workbook_id, sheet, 1 AS stage_row, count(*) FILTER (row_idx = 1) AS labels, count(*) FILTER (row_idx = 1 AND cell_text = 'Remarks') AS unrecognised, count(*) FILTER (row_idx = 1 AND cell_text = 'Remarks') AS undated FROM cells GROUP BY 1, 2")
 def _(t):
     return X.stage_label_audit(cells_of(t))
