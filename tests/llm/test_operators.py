@@ -426,3 +426,12 @@ def test_near_dedup_decides_row_by_row(spark):
     kept = Counter((r.doc_id, r.text) for r in stages.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect())
     first = min(text("d"), text("d") + " more", key=lambda t: hashlib.md5(t.encode()).hexdigest())
     assert kept == Counter([(None, text("a")), (None, text("b")), (1, text("c")), (None, first), (3, one), (3, two)])
+
+
+def test_near_dedup_follows_simhash_too(spark):
+    """A text of one word and one that repeats it beside others: one fingerprint, few five-word shingles in common."""
+    often, some = " ".join(["same"] * 400), " ".join(["same"] * 300 + [f"w{i}" for i in range(90)])
+    assert bin((simhash.fingerprint(often) ^ simhash.fingerprint(some)) & (2**64 - 1)).count("1") <= 3 and set(plain_near_parts([often, some])) == {0, 1}
+    rows = [(1, often, "en", "s", 0), (2, some, "en", "s", 0), (None, some, "en", "s", 0), (3, FILLER, "en", "s", 0), (3, FILLER, "en", "s", 0)]
+    kept = [(r.doc_id, r.text) for r in stages.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()]
+    assert sorted(kept) == [(1, often), (3, FILLER)]

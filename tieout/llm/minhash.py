@@ -306,7 +306,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return rows.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id")
 
 
-def first_rows(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(_id, key): doc_id (NO_ID where missing) and text key of the first row of every near-duplicate class."""
-    _, parts = _classes(docs, similar)
-    return parts.groupBy("part").agg(F.min("first").alias("first")).select("first._id", "first.key")
+def row_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(_id, key, part): doc_id (NO_ID where missing), text key and near-duplicate class of every row."""
+    rows, parts = _classes(docs, similar)
+    return rows.join(parts.select("content", "part"), "content").select("_id", "key", "part")

@@ -63,6 +63,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(_fingerprints, "doc_id bigint, fp bigint")
 
 
+def row_fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``fingerprints`` of texts that are told apart by ``keys`` instead of a doc_id."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[keys].assign(fp=[fingerprint(text_or_empty(t)) for t in batch["text"]])
+
+    return rows.select(*keys, "text").mapInPandas(run, f"{kinds}, fp bigint")
+
+
 _LOW = 0x5555555555555555
 
 
@@ -205,10 +216,15 @@ def near_classes(docs: DataFrame, distance: int = DISTANCE, groups: int = GROUPS
     """
     fps = cut_lineage(fingerprints(docs), "simhash")
     # nodes have ids of their own: documents without id must not meet in one node
-    points = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "simhash-points")
-    parts = components(linked(points.select("node", "fp"), distance, groups, block))
-    named = points.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    named = cut_lineage(named, "simhash-parts")
+    points = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-points")
+    named = cut_lineage(points.join(fingerprint_parts(points, distance, groups, block), "fp"), "simhash-parts")
     least = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = cut_lineage(named.join(least, "part").select("fp", "component_id"), "simhash-classes")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def fingerprint_parts(points: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+    """(fp, part): the component of every distinct fingerprint of ``points``, named by one of its fingerprints."""
+    nodes = points.select(F.col("fp").alias("node"), "fp")
+    parts = components(linked(nodes, distance, groups, block))
+    return nodes.join(parts, "node", "left").select("fp", F.coalesce("part", "node").alias("part"))
