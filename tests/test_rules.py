@@ -1,6 +1,7 @@
 """Golden values and brute-force checks on tiny tables."""
 
 import random
+from decimal import Decimal
 from difflib import SequenceMatcher
 
 import pytest
@@ -215,3 +216,33 @@ def test_ledger_rows_with_five_core_fields_are_kept(spark):
     six = wide.withColumn("g", F.lit("x")).withColumn("c", F.lit(None).cast("string"))
     assert [r.a for r in quality.reference_rows(wide, list("bcdef")).collect()] == ["5"]
     assert [r.a for r in quality.reference_rows(six, list("abcdefg")).collect()] == ["4", "5"]
+
+
+def test_band_buckets_of_targets_hold_every_source(spark):
+    """One or two buckets a target (up to eight before), and the bucket of every source that ties is among them."""
+    sources = [0, 1, 499, 500, 501, 9999, 10000, 10001, 123456, 987654321, 10**15] + [round(37 * 1.31**k, 4) for k in range(60)]
+    rows = [(Decimal(str(a)).quantize(Decimal("0.0001")), (Decimal(str(a)) * Decimal(m) + Decimal(d)).quantize(Decimal("0.0001")).copy_abs())
+            for a in sources for m in ("1", "0.95", "1.05", "0.9501") for d in ("0", "500", "-500", "0.5")]
+    t, a = F.col("t"), F.col("a")
+    df = spark.createDataFrame(rows, "a decimal(28,4), t decimal(28,4)").withColumn("b", clauses.target_buckets(t.cast("double")))
+    assert df.where(F.size("b") > 2).count() == 0
+    tied = df.where(clauses.in_band(t, a))
+    assert tied.count() > 300 and tied.where(~F.array_contains("b", clauses.pool_bucket(a.cast("double")))).count() == 0
+
+
+def test_verdicts_deal_clauses_once(spark):
+    """Reviews and figures meet clauses by attempt: one exchange a table, none for what follows by attempt."""
+    key = "entity_id bigint, account string, yr int, attempt int, clause_no int"
+    rows = spark.createDataFrame([(1, "A", 2000, 1, 0, 0, 9, "up by CNY5"), (1, "A", 2000, 1, 1, 9, 30, "driven by new contracts"), (1, "A", 2000, 1, 2, 30, 40, "all well")], f"{key}, start int, end int, clause string")
+    grounded = spark.createDataFrame([(1, "A", 2000, 1, 0, False), (1, "A", 2000, 1, 0, True)], f"{key}, grounded boolean")
+    reviews = spark.createDataFrame([(1, "A", 2000, 1, 1, "driven by", False, "Reasoning"), (1, "A", 2000, 1, 2, "driven by new", True, "data-backed"), (1, "A", 2000, 1, 3, "driven by new", False, "hallucination")],
+                                    "entity_id bigint, account string, yr int, attempt int, review_no int, clause string, supported boolean, category string")
+    verdicts = clauses.combine_verdicts(rows, grounded, reviews)
+    assert [(r.clause_no, r.category, r.supported) for r in verdicts.orderBy("clause_no").collect()] == [(0, "hallucination", False), (1, "data-backed", True), (2, "data-backed", True)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = clauses.arbiter(clauses.combine_verdicts(rows, grounded, reviews))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 4  # clauses, reviews, figures, then texts by account and year
