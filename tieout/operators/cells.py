@@ -312,6 +312,7 @@ def extract_statement(cells: DataFrame, bounds: DataFrame, desc: DataFrame) -> D
     b = bounds.withColumn("date_row", F.col("start_row") + 1)
     t = cells
     inside = t.join(b, SHEET).where("row_idx >= date_row AND row_idx < end_row").join(desc, SHEET)
+    inside = cut_lineage(inside.select(*SHEET, "section", "row_idx", "col_idx", "cell_text", "number", "date", "unit", "date_row", "desc_col"), "statement-cells")
     head = inside.where("row_idx = date_row")
     unit = head.groupBy(*SHEET, "section").agg(F.max(F.when(F.col("unit"), 1000).otherwise(1)).alias("multiplier"))
     dates = head.where("date IS NOT NULL AND col_idx > desc_col").groupBy(*SHEET, "section", "date").agg(F.min("col_idx").alias("col_idx"))
@@ -319,8 +320,9 @@ def extract_statement(cells: DataFrame, bounds: DataFrame, desc: DataFrame) -> D
     values = inside.where("row_idx > date_row AND number IS NOT NULL").select(*SHEET, "section", "row_idx", "col_idx", "number")
     x = values.join(dates, [*SHEET, "section", "col_idx"]).join(labels, [*SHEET, "section", "row_idx"]).join(unit, [*SHEET, "section"])
     x = x.withColumn("amount", F.bround(F.col("number") * F.col("multiplier"), 0).cast("decimal(24,0)"))
-    live = x.groupBy(*SHEET, "section", "row_idx").agg(F.max(F.abs("amount")).alias("peak")).where("peak > 0").drop("peak")
-    return x.join(live, [*SHEET, "section", "row_idx"], "left_semi").select(
+    # a window along one row, whose width the file format bounds
+    peak = F.max(F.abs("amount")).over(Window.partitionBy(*SHEET, "section", "row_idx"))
+    return x.withColumn("peak", peak).where("peak > 0").select(
         *SHEET, "section", "row_idx", "description", F.col("date").alias("period_end"), "amount")
 
 

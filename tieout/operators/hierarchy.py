@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions import blocks
 from tieout.functions.labels import row_type
+from tieout.sources.sinks import cut_lineage
 
 # Fixed values.
 MAX_PARTS, NEST_REACH, TIE = 19, 8, "0.005"
@@ -25,7 +26,7 @@ def implicit_breakdowns(lines: DataFrame, keys: list[str]) -> DataFrame:
     x = lines.withColumn("kind", row_type(F.col("description")))
     totals = x.where(F.col("kind").isin("total", "subtotal")).select(*keys).distinct()
     x = blocks.dense_index(x.join(totals, keys, "left_anti"), keys, "row_idx", "pos")
-    nxt = lambda w: {"nxt": F.collect_list(F.struct("amount", "kind")).over(w.rowsBetween(1, MAX_PARTS))}
+    nxt = lambda w: {"nxt": F.collect_list(F.struct("amount", "kind", "row_idx")).over(w.rowsBetween(1, MAX_PARTS))}
     x = blocks.with_following(x, keys, "pos", MAX_PARTS, nxt)
     x = x.where((F.col("kind") == "detail") & (F.abs("amount") >= 1))
     state = "struct<sum:decimal(26,2),n:int,hit:int,open:boolean>"
@@ -40,13 +41,12 @@ def implicit_breakdowns(lines: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(~fits, F.struct(acc["sum"].alias("sum"), acc["n"].alias("n"), acc["hit"].alias("hit"), F.lit(False).alias("open"))).otherwise(
             F.struct(total.alias("sum"), n.alias("n"), F.when(hit, n).otherwise(acc["hit"]).alias("hit"), (~hit).alias("open"))).cast(state)
 
-    x = x.withColumn("hit", F.aggregate("nxt", start, step)["hit"]).where("hit > 0").select(
-        *keys, F.col("pos").alias("first"), (F.col("pos") + F.col("hit")).alias("last"))
-    kept = blocks.claim_intervals(x, keys, "first", "last", MAX_PARTS)
-    rows = blocks.dense_index(lines, keys, "row_idx", "pos").select(*keys, "pos", "row_idx")
-    parts = kept.withColumn("pos", F.explode(F.sequence(F.col("first") + 1, F.col("last"))))
-    parents = rows.select(*keys, F.col("pos").alias("first"), F.col("row_idx").alias("parent_row"))
-    return parts.join(rows, [*keys, "pos"]).join(parents, [*keys, "first"]).select(*keys, "parent_row", "row_idx")
+    # outer: the fold is worked out once; the parts' rows travel with their parent
+    x = x.select(*keys, "pos", "row_idx", "nxt", F.explode_outer(F.array(F.aggregate("nxt", start, step)["hit"])).alias("hit")).where("hit > 0").select(
+        *keys, F.col("pos").alias("first"), (F.col("pos") + F.col("hit")).alias("last"), F.col("row_idx").alias("parent_row"), F.slice("nxt.row_idx", F.lit(1), F.col("hit")).alias("parts"))
+    x = cut_lineage(x, "breakdowns")
+    kept = blocks.claim_intervals(x.select(*keys, "first", "last"), keys, "first", "last", MAX_PARTS)
+    return x.join(kept, [*keys, "first", "last"]).select(*keys, "parent_row", F.explode("parts").alias("row_idx"))
 
 
 def indent_parents(lines: DataFrame, keys: list[str]) -> DataFrame:

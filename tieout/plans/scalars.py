@@ -127,12 +127,14 @@ def _(t):
 @query("rate_context", """WITH x AS (SELECT entity_id, phase, yr, mo, regexp_extract_all(text, 'CNY([0-9.]*[0-9])', 1) AS a FROM rate_text)
 SELECT entity_id, phase, yr, mo, n.n AS number_no, CAST(a[n.n + 1] AS DECIMAL(22,4)) AS value, n.n < 2 AS is_rate FROM x, (VALUES (0), (1), (2)) n(n)""")
 def _(t):
-    pattern = P.CURRENCY + r"\s*([0-9][0-9,]*(?:\.[0-9]+)?)(?=([\s\S]*))"
-    z = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("v"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("w"))
-    cut = F.regexp_replace("z.w", r"(\.(?![0-9])|[。\n])[\s\S]*$", "$1")
+    number = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+    # a number with what follows it up to the end of its sentence, a look ahead so that the next number is found inside
+    pattern = P.CURRENCY + rf"\s*(?=({number}[^.。\n]*(?:\.(?=[0-9])[^.。\n]*)*[.。\n]?)){number}"
     rate = r"(?i)per\s+(?:square|sq\.?|sqm|sq\s*m)\s*(?:metre|meter|m\b)?|/\s*(?:sq\.?\s*m|sqm)|psm\b"
-    return t.rate_text.select("entity_id", "phase", "yr", "mo", F.posexplode(z).alias("number_no", "z")).select(
-        "entity_id", "phase", "yr", "mo", "number_no", F.regexp_replace("z.v", ",", "").cast("decimal(22,4)").alias("value"), F.rlike(cut, F.lit(rate)).alias("is_rate"))
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    # outer, as a plain explode infers a filter that repeats the pattern
+    return t.rate_text.select("entity_id", "phase", "yr", "mo", F.posexplode_outer(found).alias("number_no", "z")).where("z IS NOT NULL").select(
+        "entity_id", "phase", "yr", "mo", "number_no", F.regexp_replace(F.regexp_extract("z", f"^{number}", 0), ",", "").cast("decimal(22,4)").alias("value"), F.rlike("z", F.lit(rate)).alias("is_rate"))
 
 
 @query("clean_output", r"""SELECT conv_id, turn, md5(trim(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN '' ELSE text END)) AS digest FROM conversations""")
