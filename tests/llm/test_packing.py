@@ -47,6 +47,34 @@ def test_a_tokenizer_of_another_kind_is_left_to_itself():
     assert not encoder.known_kind
 
 
+def test_a_full_memory_keeps_what_was_met_again(tokenizer, monkeypatch):
+    """Words met again stay when the memory is full, once-only ones go; too many of the former, and all go."""
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    encoder = packing.Encoder(queries.tokenizer_json())
+    for k in range(12):
+        texts = ["x often, again 漢字!", "x often, again 漢字!"] if k < 2 else [f"x new{k} " + " ".join(f"once{k}q{i}, r{i}" for i in range(8))]
+        assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        if k in (2, 3):
+            assert " often," in encoder.known and " 漢字!" in encoder.known
+    assert " often," not in encoder.known and len(encoder.known) < 80
+    for _ in range(3):
+        encoder.encode([" ".join(f"many{i}" for i in range(30))])
+    assert [x.tolist() for x in encoder.encode(["x often, many3", ""])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ("x often, many3", "")]
+
+
+def test_best_fit_takes_the_fullest_bin():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        sizes, room = r.integers(1, 60, 50), {b: int(f) for b, f in enumerate(r.integers(0, 101, 6))}
+        got = packing.best_fit(sizes, np.arange(50), np.full(50, -1, np.int32), room, 100)
+        free = dict(room)
+        for i, size in enumerate(sizes.tolist()):
+            fits = [f for f in free.values() if f >= size]
+            was = free.setdefault(int(got[i]), 100)
+            assert was == min(fits, default=100) and was >= size
+            free[int(got[i])] = was - size
+
+
 def hold(rows, texts, tokenizer, capacity=1024):
     """Every document is there once, in order and whole; no sequence is too long or has gaps."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)

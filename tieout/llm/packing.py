@@ -14,7 +14,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ LOT, ISLANDS, GENOMES, ROUNDS, CROSSOVERS = 8192, 3, 4, 2, 20
 CHARS = 1 << 21
 #: Parts of texts a task remembers the ids of.
 REMEMBERED = 1 << 20
+#: Matches that go through the tokenizer's model at once.
+MATCHES = 1 << 9
 
 
 # ---- tokens
@@ -60,6 +62,7 @@ class Encoder:
     def __init__(self, model: str):
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -67,14 +70,28 @@ class Encoder:
         said = json.loads(model)
         first = said.get("pre_tokenizer") or {}
         self.known_kind = (first.get("type"), first.get("use_regex"), first.get("add_prefix_space"), said.get("normalizer")) == ("ByteLevel", True, False, None)
-        self.find, self.model = regex.compile(PATTERN).findall, self.tokenizer.model
-        self.bytes = dict(enumerate(byte_characters()))
+        self.find, alone = regex.compile(PATTERN).findall, Tokenizer.from_str(model).model
+        if hasattr(alone, "_resize_cache"):
+            alone._resize_cache(0)  # no match comes twice
+        self.words = Tokenizer(alone)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.mapped = np.frombuffer("".join(byte_characters()).encode("utf-16-le"), "<u2")
+        self.parted = self.mapped[list("\uffff".encode())].tobytes().decode("utf-16-le")
         self.forget()
 
     def forget(self) -> None:
         """``known`` numbers the parts; the ids of part k are ids[at[k]:at[k + 1]], both arrays with room to grow."""
         self.known: dict[str, int] = {}
         self.ids, self.at, self.new, self.settled = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), [], 0
+        self.again = np.zeros(1 << 14, bool)
+
+    def thin_out(self) -> None:
+        """Forgets the parts that were not met again since the last time, or all if few would go."""
+        again = np.flatnonzero(self.again[: len(self.known)])
+        kept = list(compress(self.known, self.again.tolist())) if len(again) <= REMEMBERED // 2 else []
+        ids, ends = self._at(again[: len(kept)])
+        self.forget()
+        self._add(kept, ids, np.diff(ends, prepend=0))
 
     def parts(self, text: str) -> list[str]:
         if any(s in text for s in self.special):
@@ -106,34 +123,53 @@ class Encoder:
             self.settled = k + len(sizes)
         self.new = []
 
-    def _matches(self, part: str) -> list[str]:
-        return [part] if part[part[:1] == " " :].isalpha() else self.find(part)
+    def _whole(self, parts: list[str]) -> list[str]:
+        """Parts that the pattern and the model alone may not take as the tokenizer does."""
+        if not self.known_kind:
+            return parts
+        return [p for p in parts if self.unsure(p)] if self.unsure("\n".join(parts)) else []
+
+    def _cut(self, parts: list[str]) -> tuple[list[str], list[str], np.ndarray]:
+        """The parts in some order, their matches one after the other, and how many each has.
+
+        Parts that begin like those of ``parts`` are cut as one text: no match crosses from one to the next.
+        """
+        led = [p[:1] == " " and p[1:2] > "" and not p[1].isspace() for p in parts]
+        joined, alone = list(compress(parts, led)), [p for p, one in zip(parts, led) if not one]
+        matches, own = self.find("".join(joined)), list(map(self.find, alone))
+        ends = np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches)))
+        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))), side="right")
+        count = np.append(np.diff(last, prepend=0), np.fromiter(map(len, own), np.int64, len(own)))
+        return joined + alone, matches + list(chain.from_iterable(own)), count
+
+    def _tokenized(self, matches: list[str]) -> None:
+        """Matches without U+FFFF, which parts them here, through the tokenizer's model: as bytes' characters, a space between."""
+        for k in range(0, len(matches), MATCHES):
+            some = matches[k : k + MATCHES]
+            raw = np.frombuffer("\uffff".join(some).encode(), np.uint8)
+            said = self.words.encode(self.mapped[raw].tobytes().decode("utf-16-le").replace(self.parted, " "), add_special_tokens=False)
+            self._add(some, np.array(said.ids, np.uint32), np.bincount(np.array(said.word_ids, np.int64), minlength=len(some)))
 
     def _learn(self, new: list[str]) -> None:
-        whole = [p for p in new if not self.known_kind or self.unsure(p)]
-        new = list(set(new).difference(whole))
-        cut = list(map(self._matches, new))
-        matches = list(set(chain.from_iterable(cut)).difference(self.known))
-        tokens, mapped = self.model.tokenize, self.bytes
-        found = [[t.id for t in tokens(m.encode().decode("latin-1").translate(mapped))] for m in matches]
-        self._add(matches, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-        many = [(p, c) for p, c in zip(new, cut) if p not in self.known]
-        if many:
-            ids, ends = self._of(list(chain.from_iterable(c for _, c in many)))
-            last = np.append(0, ends)[np.cumsum([len(c) for _, c in many])]
-            self._add([p for p, _ in many], ids, np.diff(last, prepend=0))
+        whole = self._whole(new)
+        parts, matches, count = self._cut(list(set(new).difference(whole)) if whole else new)
+        many = count != 1  # any other part is its own match; a match cut again is one, so no part of many is a match
+        own = list(compress(parts, (~many).tolist()))
+        inner = list(compress(matches, np.repeat(many, count).tolist()))
+        self._tokenized(own + list(set(inner).difference(own, self.known)))
+        if many.any():
+            ids, ends = self._at(self._places(inner))
+            last = np.append(0, ends)[np.cumsum(count[many])]
+            self._add(list(compress(parts, many.tolist())), ids, np.diff(last, prepend=0))
         if whole:
             found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
             self._add(whole, np.concatenate(found), np.array([len(x) for x in found]))
 
-    def _of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known parts one after the other, and where each part's end."""
-        return self._at(self._places(parts))
-
     def _places(self, parts: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def _at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known parts one after the other, and where each part's end."""
         self._settle()
         size = self.at[place + 1] - self.at[place]
         ends = np.cumsum(size)
@@ -167,14 +203,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, as unsigned 32-bit numbers."""
         distinct, numbers = self._numbered(texts)
+        if len(self.known) > REMEMBERED:
+            self.thin_out()
         place = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = [distinct[k] for k in np.flatnonzero(place < 0).tolist()]
-        if new and len(self.known) > REMEMBERED:
-            self.forget()
-            new = distinct
-        if new:
+        unplaced = place < 0
+        if len(self.again) < len(self.known):
+            self.again = np.append(self.again, np.zeros(len(self.known), bool))
+        self.again[place[~unplaced]] = True
+        if unplaced.any():
+            new = list(compress(distinct, unplaced.tolist()))
             self._learn(list(dict.fromkeys(new)))
-            unplaced = slice(None) if new is distinct else place < 0
             place[unplaced] = self._places(new)
         found, ends = self._at(place[np.concatenate(numbers)])
         return np.split(found, np.append(0, ends)[np.cumsum([len(n) for n in numbers])][:-1])
@@ -216,45 +254,35 @@ def _tokens(model: str, capacity: int, end: int, keep_ids: bool):
 # ---- genomes: the bin of every piece
 
 
-class Bins:
-    """Free room of bins by amount, the least that suffices found by a bit set."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self.rooms, self.mask = capacity, [[] for _ in range(capacity + 1)], 0
-
-    def put(self, bin_: int, room: int) -> None:
-        self.rooms[room].append(bin_)
-        self.mask |= 1 << room
-
-    def take(self, size: int) -> tuple[int, int] | None:
-        """(bin, room) of a bin with the least room that holds ``size``."""
-        fits = self.mask >> size
-        if not fits:
-            return None
-        room = size + (fits & -fits).bit_length() - 1
-        bin_ = self.rooms[room].pop()
-        if not self.rooms[room]:
-            self.mask ^= 1 << room
-        return bin_, room
-
-
 def best_fit(sizes: np.ndarray, order: np.ndarray, genome: np.ndarray, room: dict[int, int], capacity: int) -> np.ndarray:
-    """Puts the pieces of ``order`` into the fullest bins that hold them, or into new ones; ``genome`` is changed."""
-    bins, fresh = Bins(capacity), max(room, default=-1) + 1
+    """Puts the pieces of ``order`` into the fullest bins that hold them, or into new ones; ``genome`` is changed.
+
+    ``rooms`` has the bins by free room; a bit set tells which rooms have any, so the least that suffices is its lowest bit.
+    """
+    rooms, bits, fresh = [[] for _ in range(capacity + 1)], [1 << k for k in range(capacity + 1)], max(room, default=-1) + 1
     for bin_, free in room.items():
-        bins.put(bin_, free)
-    for i, size in zip(order.tolist(), sizes[order].tolist()):
-        found = bins.take(size)
-        if found is None:
-            found = fresh, capacity
-            fresh += 1
-        genome[i] = found[0]
-        bins.put(found[0], found[1] - size)
+        rooms[free].append(bin_)
+    mask, chosen = sum(compress(bits, rooms)), []
+    for size in sizes[order].tolist():
+        fits = mask >> size
+        if fits:
+            free = size + (fits & -fits).bit_length() - 1
+            bin_ = rooms[free].pop()
+            if not rooms[free]:
+                mask ^= bits[free]
+        else:
+            bin_, free, fresh = fresh, capacity, fresh + 1
+        free -= size
+        rooms[free].append(bin_)
+        mask |= bits[free]
+        chosen.append(bin_)
+    genome[order] = chosen
     return genome
 
 
 def renumbered(genome: np.ndarray) -> np.ndarray:
-    return np.unique(genome, return_inverse=True)[1].astype(np.int32)
+    held = np.bincount(genome) > 0
+    return (np.cumsum(held) - 1)[genome].astype(np.int32)
 
 
 def worth(sizes: np.ndarray, genome: np.ndarray, capacity: int) -> tuple[int, float]:
@@ -301,9 +329,9 @@ def crossed(sizes: np.ndarray, giver: np.ndarray, taker: np.ndarray, rng: np.ran
     child[injected] = giver[injected]
     child[kept] = taker[kept] + len(fill)
     placed = child >= 0
-    names, at = np.unique(child[placed], return_inverse=True)
+    at = renumbered(child[placed])
     child[placed] = at
-    filled = np.bincount(at, weights=sizes[placed], minlength=len(names)).astype(np.int64)
+    filled = np.bincount(at, weights=sizes[placed]).astype(np.int64)
     loose = np.flatnonzero(~placed)
     order = loose[np.lexsort((rng.random(len(loose)), -sizes[loose]))]
     room = {b: capacity - f for b, f in enumerate(filled.tolist())}
