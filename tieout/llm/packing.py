@@ -156,7 +156,7 @@ class Encoder:
         many = count != 1  # any other part is its own match; a match cut again is one, so no part of many is a match
         own = list(compress(parts, (~many).tolist()))
         inner = list(compress(matches, np.repeat(many, count).tolist()))
-        self._tokenized(own + list(set(inner).difference(own, self.known)))
+        self._tokenized(own + list(set(inner).difference(self.known, own)))
         if many.any():
             ids, ends = self._at(self._places(inner))
             last = np.append(0, ends)[np.cumsum(count[many])]
