@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 import __spark_entry__ as reg
-from tieout.functions import cleanup
+from tieout.functions import blocks, cleanup
 from tieout.operators import cells as K
 from tieout.operators import clauses as C
 from tieout.operators import hierarchy as H
@@ -76,3 +76,30 @@ def test_statement_rows_are_read_once(spark):
 def test_journals_and_phases_start_from_landed_lines(spark):
     assert "Window" not in plan(table(spark, SF, "journal_cells"))
     assert "Aggregate" not in plan(table(spark, SF, "phase_cells"))
+
+
+def test_no_step_of_dated_blocks_grows_into_a_large_plan(spark, monkeypatch):
+    """Each pass over ordered rows holds its input twice, so the steps are landed in between (124 tables in one plan before)."""
+    sizes = []
+
+    def landing(df, name):
+        sizes.append(plan(df).count("Relation [") + plan(df).count("LogicalRDD"))
+        return cut(df, name)
+
+    cut = K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", landing)
+    cells = [(r, c, x) for r, row in enumerate([["Label", "2021-12-31", "2022-12-31"], ["a", "1", "2"], ["b", "", "4"], ["Label", "2021-12-31", "2022-12-31"], ["c", "5", "6"]]) for c, x in enumerate(row) if x]
+    typed = K.typed(spark.createDataFrame([("w", "s", *c) for c in cells], "workbook_id string, sheet string, row_idx int, col_idx int, cell_text string"))
+    x = K.period_blocks(typed)
+    assert [(r["head"], r.data_rows, r.last_row) for r in x.collect()] == [(0, 2, 2)]
+    assert len(sizes) > 2 and max(sizes) < 10
+
+
+def test_running_sums_and_maxima_go_in_one_pass(spark):
+    rows = spark.createDataFrame([("k", i, None if i % 3 else i) for i in range(0, 40, 2)] + [("m", 5, 1)], "k string, i int, v int")
+    x = blocks.running(rows, ["k"], "i", {"s": F.coalesce("v", F.lit(0))}, {"above": F.col("i"), "top": F.col("v")}, width=7)
+    got = {(r.k, r.i): (r.s, r.above, r.top) for r in x.collect()}
+    assert len(got) == 21 and got["m", 5] == (1, None, None) and got["k", 0] == (0, None, None)
+    for i in range(2, 40, 2):
+        below = [v for v in range(0, i, 2) if v % 3 == 0]
+        assert got["k", i] == (sum(below) + (0 if i % 3 else i), i - 2, max(below))
