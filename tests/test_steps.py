@@ -103,3 +103,24 @@ def test_running_sums_and_maxima_go_in_one_pass(spark):
     for i in range(2, 40, 2):
         below = [v for v in range(0, i, 2) if v % 3 == 0]
         assert got["k", i] == (sum(below) + (0 if i % 3 else i), i - 2, max(below))
+
+
+def test_ledger_years_lie_in_one_file_a_bucket(spark, monkeypatch):
+    """However many tasks sum the ledger (each wrote a file for every bucket of its suppliers before)."""
+    from tieout.sources import views
+
+    monkeypatch.setattr(views, "BUCKET_BYTES", 4000)
+    sf = f"{SF}/../{uuid.uuid4().hex}/../sf0.001"  # a scope of its own
+    monkeypatch.setattr(views, "read_base", lambda spark, sf_dir, name: spark.read.parquet(f"{SF}/{name}.parquet"))
+    n = views.ledger_buckets(spark, sf)
+    years = views.ledger_years(spark, sf, {})
+    assert n > 20 and len(years.inputFiles()) <= n
+    assert years.groupBy().agg(F.sum("amount")).first()[0] == table(spark, SF, "ledger_line").groupBy().agg(F.sum("amount")).first()[0]
+
+
+def test_typed_cells_lie_in_no_more_files_than_buckets(spark):
+    from tieout.plans import cells
+    from tieout.plans.registry import Tables
+
+    t = Tables(spark, SF)
+    assert len(cells.cells_of(t).inputFiles()) <= t.buckets()
