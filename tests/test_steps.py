@@ -168,3 +168,14 @@ def test_a_clause_key_drops_every_blank(spark):
     df = spark.createDataFrame([(" The\tRent\n\x0b\f\r rose , by 5%. ",), ("余额 合计。",), (None,)], "t string")
     assert [r[0] for r in df.select(C.clause_key(F.col("t"))).collect()] == ["therentrose,by5%", "余额合计", None]
     assert "regexp" not in plan(df.select(C.clause_key(F.col("t"))))
+
+
+def test_scale_errors_stay_in_the_buckets_of_their_entity(spark):
+    from tieout.plans import commentary
+    from tieout.plans.registry import Tables
+
+    t = Tables(spark, SF)
+    found = reg.queries()["scale_errors"](spark, SF)
+    assert "Exchange" not in plan(found.groupBy("entity_id").count(), True)
+    plain = C.scale_errors(commentary.grounded_of(t), commentary.pool_of(t))
+    assert found.count() > 100 and found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
